@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from phrasewell.llm import license_scan, mixing, token_counts
+from phrasewell.llm import decontaminate, license_scan, mixing, substring_dedup, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": license_scan.query,
+        "op4_decontaminate": decontaminate.query,
         "op6_mixing": mixing.query,
         "op8_token_counts": token_counts.query,
+        "op9_substring_dedup": substring_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.SQL}
+    return {"op4_decontaminate": decontaminate.SQL, "op6_mixing": mixing.SQL, "op9_substring_dedup": substring_dedup.SQL}
