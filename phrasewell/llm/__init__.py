@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from phrasewell.llm import decontaminate, license_scan, mixing, ngram_join, substring_dedup, token_counts
+from phrasewell.llm import decontaminate, language_id, license_scan, mixing, ngram_join, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": license_scan.query,
+        "op3_toxicity": toxicity.query,
         "op4_decontaminate": decontaminate.query,
         "op5_ngram_join": ngram_join.query,
         "op6_mixing": mixing.query,
+        "op7_language_id": language_id.query,
         "op8_token_counts": token_counts.query,
         "op9_substring_dedup": substring_dedup.query,
     }
