@@ -36,7 +36,9 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 EXCEPTIONS = ("clown fish", "class clown fish", "pathetic fallacy", "village idiot pub", "idiot proof", "worthless check", "white trash bag", "trash can", "trash bin", "pond scum", "sore loser rule")
 #: A stem has so many letters; an entry needs SUPPORT toxic documents and WEIGHT; at most MOST candidates reach the driver.
 STEMS = range(4, 9)
-SUPPORT, WEIGHT, MOST = 5, 2.5, 20_000
+SUPPORT, WEIGHT, MOST = 3, 2.5, 20_000
+#: Documents, share of the toxic documents and weight that make an entry stay whatever else explains its documents.
+FREQUENT = (6, 0.025, 3.5)
 #: The curve is fitted on at most so many labelled rows, those with the least hash.
 FIT_ROWS = 100_000
 THRESHOLD = 0.7
@@ -115,6 +117,23 @@ def _pruned(found: list[tuple[str, int, int, float]]) -> dict[str, float]:
     return kept
 
 
+def _needed(weights: dict[str, float], matched: list[list[str]], support: int) -> dict[str, float]:
+    """Of the entries those that explain documents no better entry explains: a greedy cover of the toxic documents.
+
+    Near copies make any word of theirs look toxic; once their real entry is taken, such words have nothing left to explain.
+    """
+    left = [set(m) for m in matched if m]
+    kept: dict[str, float] = {}
+    while left:
+        count = Counter(e for m in left for e in m)
+        best = max(count, key=lambda e: (count[e] * weights[e], e))
+        if count[best] < support:
+            break
+        kept[best] = weights[best]
+        left = [m for m in left if best not in m]
+    return kept
+
+
 class Matcher:
     """Sums of weights over folded texts."""
 
@@ -131,6 +150,11 @@ class Matcher:
         if not self.empty:
             self.find.make_automaton()
 
+    def entries(self, text: str | None) -> list[str]:
+        """All entries that occur."""
+        folded = fold(text or "")
+        return [] if self.empty else sorted({folded[end - length + 1 : end + 1] for end, (length, weight) in self.find.iter(folded) if weight is not None})
+
     def features(self, text: str | None) -> tuple[float, float, int, int]:
         """(sum of weights, largest weight, matched words, words)."""
         folded = fold(text or "")
@@ -194,7 +218,18 @@ def learn(labelled: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, support
     top = counts.where((F.col("entry") != " ") & (F.col("toxic") >= support)).withColumn("w", ratio).where(F.col("w") >= least_weight)
     found = [tuple(r) for r in top.orderBy(F.desc(F.col("w") * F.col("toxic")), "entry").limit(MOST).collect()]
     model["weights"] = _pruned(found)
-    shared = labelled.sparkSession.sparkContext.broadcast(model)  # at most MOST entries
+    some = labelled.withColumn("_h", F.xxhash64("text")).orderBy("_h").limit(FIT_ROWS).select("text", "toxic") if labelled.count() > FIT_ROWS else labelled
+    first = labelled.sparkSession.sparkContext.broadcast(model)  # at most MOST entries
+
+    def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _matcher(first.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([m.entries(x.as_py()) for x in b.column(0)], pa.list_(pa.string()))], ["e"])
+
+    # An entry of a fair share of all toxic documents stays in any case.
+    frequent = {e for e, t, _, w in found if t >= max(FREQUENT[0], FREQUENT[1] * toxic) and w >= FREQUENT[2]} & model["weights"].keys()
+    model = model | {"weights": {e: model["weights"][e] for e in sorted(frequent)} | _needed(model["weights"], [r[0] for r in some.where("toxic = 1").select("text").mapInArrow(matches, "e array<string>").collect()], support)}
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _matcher(shared.value)
@@ -202,7 +237,6 @@ def learn(labelled: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, support
             out = [_vector(m.features(x.as_py())) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64())), b.column(1)], ["x", "toxic"])
 
-    some = labelled.withColumn("_h", F.xxhash64("text")).orderBy("_h").limit(FIT_ROWS).select("text", "toxic") if labelled.count() > FIT_ROWS else labelled
     rows = some.mapInArrow(features, "x array<double>, toxic int").groupBy("x", "toxic").count().collect()
     rows.sort()
     x, y = np.repeat([r[0] for r in rows], [r[2] for r in rows], axis=0), np.repeat([r[1] for r in rows], [r[2] for r in rows])
