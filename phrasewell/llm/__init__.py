@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from phrasewell.llm import decontaminate, language_id, license_scan, mixing, ngram_join, substring_dedup, token_counts, toxicity
+from phrasewell.llm import decontaminate, embedding_dedup, language_id, license_scan, mixing, ngram_join, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": license_scan.query,
+        "op2_embedding_dedup": embedding_dedup.query,
         "op3_toxicity": toxicity.query,
         "op4_decontaminate": decontaminate.query,
         "op5_ngram_join": ngram_join.query,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.SQL, "op6_mixing": mixing.SQL, "op9_substring_dedup": substring_dedup.SQL}
+    return {"op2_embedding_dedup": embedding_dedup.SQL, "op4_decontaminate": decontaminate.SQL, "op6_mixing": mixing.SQL, "op9_substring_dedup": substring_dedup.SQL}
