@@ -7,8 +7,9 @@ Newton's steps run for all sources side by side, on one row per source, wherever
 
 Rounding: each document gets floor(rate) copies and those that come first in a fixed pseudo-random order (md5 of doc_id) get
 one more, as far as the source's token budget goes; the document at the boundary is taken in part. So taken words meet
-the target to a word and no document exceeds ceil(rate) copies. The order's running sums are made in two levels, over 4096
-ranges of each source and within a range, so that a source with most of the rows is never in one task.
+the target to a word and no document exceeds ceil(rate) copies. The order's running sums are made over 4096 ranges of each
+source; only the one range in which a source's budget ends is ordered row by row, so that a source with most of the rows is
+never in one task.
 
 Null sources are a group of their own, ranked last. Null or empty texts have size 0 and are taken 0 times. Repeated rows count
 each; an empty table gives an empty result; extra columns are ignored.
@@ -78,13 +79,19 @@ def mix(docs: DataFrame) -> DataFrame:
     per_source = per_source.withColumn("_base", F.floor(F.col("rate") + 1e-9))
     per_source = per_source.withColumn("_extra", F.greatest(F.lit(0), F.floor(F.col("rate") * F.col("source_size") + 0.500001) - F.col("_base") * F.col("source_size")))
     so_far = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_in").over(so_far), F.lit(0))).drop("_in")
-    per_source = per_source.withColumnRenamed("source", "_s")
-    plan = ranges.join(per_source, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumnsRenamed({"source": "_s", "_range": "_r"})
-    out = sized.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-    inside = Window.partitionBy("source", "_range").orderBy("_at", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    out = out.withColumn("_before", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    more = F.least(F.col("size"), F.greatest(F.lit(0), F.col("_extra") - F.col("_before")))
+    edges = ranges.withColumn("_before", F.coalesce(F.sum("_in").over(so_far), F.lit(0))).withColumnRenamed("source", "_s")
+    edges = edges.join(per_source, F.col("source").eqNullSafe(F.col("_s")))
+    # The range in which the source's budget runs out, and what is left of it there.
+    edges = edges.where(F.col("_before") + F.col("_in") > F.col("_extra")).groupBy("source").agg(F.min_by(F.struct(F.col("_range").alias("r"), (F.col("_extra") - F.col("_before")).alias("left")), "_range").alias("_edge"))
+    per_source = per_source.join(edges.withColumnRenamed("source", "_e"), F.col("source").eqNullSafe(F.col("_e")), "left").drop("_e").withColumnRenamed("source", "_s")
+    out = sized.join(per_source, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    before = F.coalesce(F.col("_range") < F.col("_edge.r"), F.lit(True))
+    sure = out.where(~F.col("_range").eqNullSafe(F.col("_edge.r"))).withColumn("_more", F.when(before, F.col("size")).otherwise(F.lit(0).cast("long")))
+    inside = Window.partitionBy("source").orderBy("_at", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    at_edge = out.where(F.col("_range").eqNullSafe(F.col("_edge.r")))
+    at_edge = at_edge.withColumn("_more", F.least(F.col("size"), F.greatest(F.lit(0), F.col("_edge.left") - F.coalesce(F.sum("size").over(inside), F.lit(0)))))
+    out = sure.unionByName(at_edge)
+    more = F.col("_more")
     return out.select(
         "doc_id",
         "source",
