@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from phrasewell.llm import decontaminate, embedding_dedup, language_id, license_scan, mixing, ngram_join, substring_dedup, token_counts, toxicity
+from phrasewell.llm import decontaminate, embedding_dedup, language_id, license_scan, lm_score, mixing, ngram_join, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": license_scan.query,
+        "op10_lm_score": lm_score.query,
         "op2_embedding_dedup": embedding_dedup.query,
         "op3_toxicity": toxicity.query,
         "op4_decontaminate": decontaminate.query,
