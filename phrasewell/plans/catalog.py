@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phrasewell.plans import search_queries, text_queries, vector_queries  # noqa: F401  they register their queries
+from phrasewell.plans import corpus_queries, search_queries, text_queries, vector_queries  # noqa: F401  they register their queries
 from phrasewell.plans.registry import ORACLES, QUERIES, Query
 
 

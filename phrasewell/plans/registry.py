@@ -37,10 +37,13 @@ def query(name: str, sql: str | None = None, views: str = "") -> Callable[[Query
                 need += [x for x in [*NEEDS.get(v, []), v] if x not in need]
             head = ", ".join(VIEWS[v] for v in VIEWS if v in need)
             body = sql.strip()
+            start = "WITH"
+            if body.startswith("RECURSIVE "):
+                start, body = "WITH RECURSIVE", body.removeprefix("RECURSIVE ")
             if head:
-                body = f"WITH {head}, {body}" if body.split(None, 2)[1].upper() == "AS" else f"WITH {head} {body}"
+                body = f"{start} {head}, {body}" if body.split(None, 2)[1].upper() == "AS" else f"{start} {head} {body}"
             elif body.split(None, 2)[1].upper() == "AS":
-                body = f"WITH {body}"
+                body = f"{start} {body}"
             ORACLES[name] = body
         return f
 
