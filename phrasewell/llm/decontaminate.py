@@ -35,6 +35,11 @@ def _grams(ws: Column, gram: int) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(gram)])))
 
 
+def _runs(ws: Column, n: int) -> Column:
+    """Hashes of all runs of n consecutive words, each taken as a whole."""
+    return let(ws, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.slice(w, i + 1, n)))))
+
+
 def _lowest(h: Column, hs: Column, at: Column, span: int) -> Column:
     """Whether h = hs[at] is the least, or as low as the least, in some run of span neighbours."""
 
@@ -73,8 +78,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GR
             # The outer form keeps the optimizer from adding a filter on hs, which would compute hs twice.
             prints = hashed.select("doc_id", "_text", "ws", "hs", F.posexplode_outer("hs").alias("p", "h")).where(_lowest(F.col("h"), F.col("hs"), F.col("p"), window - gram + 1))
         else:
-            all_hs = let(F.col("ws"), lambda ws, n=n: F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(0), F.size(ws) - n), lambda i: F.xxhash64(F.slice(ws, i + 1, n)))))
-            prints = texts.select("doc_id", "_text", "ws", F.posexplode_outer(all_hs).alias("p", "h"))
+            prints = texts.select("doc_id", "_text", "ws", F.posexplode_outer(_runs(F.col("ws"), n)).alias("p", "h"))
         wanted = distinct.where(F.col("len") == n)
         if small:
             met = prints.select("doc_id", "_text", "ws", "p", "h").join(F.broadcast(wanted), "h")
