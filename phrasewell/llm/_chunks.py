@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from phrasewell.llm._shared import shared_dir
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 LEAST_CHUNKS = 16
 
 
@@ -30,7 +30,7 @@ def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
     total = docs.agg(F.sum(F.octet_length(text))).collect()[0][0] or 0
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     names = [*docs.columns, "_chunk", "_row"]
-    at = names.index(text)
+    at, most = names.index(text), CHUNK_BYTES
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 32
@@ -38,16 +38,16 @@ def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             n = len(b)
             size = np.asarray(pc.fill_null(pc.binary_length(b.column(at)), 0), np.int64) + 8
-            chunk = part + (held + np.cumsum(size)) // CHUNK_BYTES
+            chunk = part + (held + np.cumsum(size)) // most
             held += int(size.sum())
             rows = part + np.arange(row, row + n)
             row += n
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunk, pa.int64()), pa.array(rows, pa.int64())], names)
 
     name = f"phrasewell_{uuid.uuid4().hex}"
-    buckets = max(LEAST_CHUNKS, -(-total // CHUNK_BYTES))
+    buckets = max(LEAST_CHUNKS, -(-total // most))
     path = shared_dir(spark)
-    docs.mapInArrow(assign, f"{fields}, _chunk long, _row long").write.bucketBy(int(buckets), "_chunk").sortBy("_chunk").option("path", path).format("parquet").saveAsTable(name)
+    docs.mapInArrow(assign, f"{fields}, _chunk long, _row long").write.bucketBy(int(buckets), "_chunk").sortBy("_chunk").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 

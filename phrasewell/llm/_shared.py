@@ -47,7 +47,7 @@ def _drop_quietly(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there, and any executor can be lost later."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ doc_id or before it in the same document. Steps, each over all texts:
    equal anchors. Anchors that occur once in the corpus end the matter for their windows.
 2. The other windows go, batch after batch in doc_id order, to the index: sorted immutable runs of the hashes of historical windows
    with their first place. A batch is merge-joined with each run, bucket by bucket; a hit is verified by a second, independent
-   64-bit hash; what is new becomes a run, and runs are compacted once there are too many.
+   32-bit hash; what is new becomes a run, and runs are compacted once there are too many.
 3. Each chunk of texts learns which of its windows were there before and cuts the words they cover.
 
 Chunks combine equal windows before anything is shuffled, so a passage in a third of all documents gives one entry per chunk.
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from phrasewell.llm._vec import gram_hashes, word_hashes
 
 WINDOW = 20
 #: A batch is a range of doc_id; the index compacts when it has more runs than this.
-BATCHES, MOST_RUNS = 4, 2
+BATCHES, MOST_RUNS = 2, 2
 LAST = np.iinfo(np.int64).max
 TOP = np.uint64(2**64 - 1)
 _SPLIT = re.compile(r"[\x20\x09-\x0D]+")
@@ -65,10 +66,11 @@ class Windows:
         self.key = ids[self.doc] if len(texts) else np.empty(0, np.int64)
         if len(self.place):
             self.h1 = gram_hashes(words, window, 1)[self.place]
-            self.h2 = gram_hashes(words, window, 2)[self.place]
+            self.h2 = (gram_hashes(words, window, 2)[self.place] >> np.uint64(32)).astype(np.uint32)
             self.anchor = _slide_min(gram_hashes(words, gram, 3), span)[self.place]
         else:
-            self.h1 = self.h2 = self.anchor = np.empty(0, np.uint64)
+            self.h1 = self.anchor = np.empty(0, np.uint64)
+            self.h2 = np.empty(0, np.uint32)
 
     def firsts(self, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Of the windows (or those in `of`): indices of each hash's first place here, sorted by hash; and which windows repeat an earlier place."""
@@ -124,10 +126,11 @@ def _shared_anchors(requests: DataFrame) -> DataFrame:
     return requests.groupBy("bucket").applyInArrow(work, "chunk long, keys binary")
 
 
-def _joined(blobs: pa.ChunkedArray) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, np.uint64) for x in blobs.to_pylist()] or [np.empty(0, np.uint64)])
+def _joined(blobs: pa.ChunkedArray, kind: type = np.uint64) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in blobs.to_pylist()] or [np.empty(0, kind)])
 
 
+KINDS = {"h1": np.uint64, "h2": np.uint32, "doc": np.int64, "start": np.int64}
 ENTRY = "bucket int, chunk long, h1 binary, h2 binary, doc binary, start binary"
 
 
@@ -153,9 +156,9 @@ class _Entries:
     """Entries of one bucket as columns, in order of (h1, h2, doc, start)."""
 
     def __init__(self, t: pa.Table) -> None:
-        cols = [[np.frombuffer(x, kind) for x in t[c].to_pylist()] for c, kind in (("h1", np.uint64), ("h2", np.uint64), ("doc", np.int64), ("start", np.int64))]
+        cols = [[np.frombuffer(x, kind) for x in t[c].to_pylist()] for c, kind in KINDS.items()]
         self.chunk = np.repeat(np.asarray(t["chunk"].to_pylist(), np.int64), [len(x) for x in cols[0]]) if t.num_rows else np.empty(0, np.int64)
-        self.h1, self.h2, self.doc, self.start = (np.concatenate(c) if c else np.empty(0, k) for c, k in zip(cols, (np.uint64, np.uint64, np.int64, np.int64), strict=True))
+        self.h1, self.h2, self.doc, self.start = (np.concatenate(c) if c else np.empty(0, k) for c, k in zip(cols, KINDS.values(), strict=True))
         self.take(np.lexsort((self.start, self.doc, self.h2, self.h1)))
 
     def take(self, order: np.ndarray) -> None:
@@ -187,7 +190,7 @@ class FingerprintIndex:
         return self.spark.read.schema(MERGED).parquet(path)
 
     def _history(self) -> DataFrame:
-        return self._read(self.runs[0]) if len(self.runs) == 1 else self.spark.read.schema(MERGED).parquet(*self.runs)
+        return reduce(DataFrame.unionByName, map(self._read, self.runs))
 
     def add(self, batch: DataFrame) -> DataFrame:
         """batch: ENTRY rows, all later in order than what was added before. Returns (chunk, h1, h2) of the entries that have an earlier place."""
@@ -202,7 +205,7 @@ class FingerprintIndex:
             late = (e.doc > e.doc[new][group]) | (e.start > e.start[new][group])
             known = np.zeros(len(e.h1), bool)
             for a, b in zip(runs["h1"].to_pylist(), runs["h2"].to_pylist(), strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                a, b = np.frombuffer(a, KINDS["h1"]), np.frombuffer(b, KINDS["h2"])
                 lo, hi = np.searchsorted(a, e.h1), np.searchsorted(a, e.h1, "right")
                 for step in range(int((hi - lo).max(initial=0))):  # verified by the second hash; more than one step only where first hashes collide
                     ok = lo + step < hi
@@ -219,7 +222,7 @@ class FingerprintIndex:
         path = shared_dir(self.spark)
         history = self._history() if self.runs else self.spark.createDataFrame([], MERGED)
         history = history.where("kind = 'run'").select("bucket", "h1", "h2")
-        batch.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(merge, MERGED).write.partitionBy("kind").parquet(path)
+        batch.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(merge, MERGED).write.option("compression", "zstd").partitionBy("kind").parquet(path)
         self.runs.append(path)
         lost = self.spark.read.schema(MERGED).parquet(path).where("kind = 'lost'").select("chunk", "h1", "h2")
         if len(self.runs) > self.most_runs:
@@ -234,7 +237,7 @@ class FingerprintIndex:
             return _merged([_row("run", t["bucket"][0].as_py(), -1, e.h1, e.h2, e.doc, e.start)])
 
         path = shared_dir(self.spark)
-        self._history().where("kind = 'run'").select("bucket", "chunk", "h1", "h2", "doc", "start").groupBy("bucket").applyInArrow(join, MERGED).write.partitionBy("kind").parquet(path)
+        self._history().where("kind = 'run'").select("bucket", "chunk", "h1", "h2", "doc", "start").groupBy("bucket").applyInArrow(join, MERGED).write.option("compression", "zstd").partitionBy("kind").parquet(path)
         for old in self.runs:
             drop(self.spark, f"{old}/kind=run")
         self.runs = [path]
@@ -244,7 +247,7 @@ def _marked(w: Windows, lost: pa.Table, window: int) -> np.ndarray:
     """For each word whether it goes."""
     _, late = w.firsts()
     if lost.num_rows:
-        h1, h2 = _joined(lost["h1"]), _joined(lost["h2"])
+        h1, h2 = _joined(lost["h1"]), _joined(lost["h2"], KINDS["h2"])
         order = np.argsort(h1, kind="stable")
         h1, h2 = h1[order], h2[order]
         lo, hi = np.searchsorted(h1, w.h1), np.searchsorted(h1, w.h1, "right")
@@ -260,19 +263,25 @@ def _marked(w: Windows, lost: pa.Table, window: int) -> np.ndarray:
 
 def dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
     """docs(doc_id, text, ...) with n_words, n_removed, kept_sha256 and kept_text (null where nothing goes)."""
+    docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept_text", "_chunk", "_row")
     chunks = chunked(docs)
     stats = chunks.agg(F.sum(F.octet_length("text")), F.min("doc_id"), F.max("doc_id")).collect()[0]
     buckets = bucket_count((stats[0] or 0) // 40)
     shared = materialize(_shared_anchors(_anchor_requests(chunks, window, buckets)))
     release(docs)
-    entries = materialize(_candidates(chunks, shared, window, buckets))
-    release(docs)
+    path = shared_dir(docs.sparkSession)
+    _candidates(chunks, shared, window, buckets).write.option("compression", "zstd").parquet(path)
+    entries = docs.sparkSession.read.schema(ENTRY).parquet(path)
     # A chunk holds its own range of documents: a batch takes the entries of a doc_id range from every chunk.
     index = FingerprintIndex(docs.sparkSession)
-    lost = [index.add(_between(entries, lo, hi)) for lo, hi in _ranges(stats[1], stats[2], batches)]
-    for more in lost[1:]:
-        lost[0] = lost[0].unionByName(more)
-    kept = [f for f in docs.columns]
+    lost = []
+    for lo, hi in _ranges(stats[1], stats[2], batches):
+        release(docs)
+        lost.append(index.add(_between(entries, lo, hi)))
+    drop(docs.sparkSession, path)
+    release(docs)
+    gone_by_chunk = reduce(DataFrame.unionByName, lost).withColumnRenamed("chunk", "_chunk")
+    kept = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def finish(t: pa.Table, gone: pa.Table) -> pa.Table:
@@ -291,7 +300,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> Data
             rest.append(left if some else None)
         return pa.table([*(t[c] for c in kept), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(rest, pa.string())], names=[*kept, "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return chunks.groupBy("_chunk").cogroup(lost[0].withColumnRenamed("chunk", "_chunk").groupBy("_chunk")).applyInArrow(finish, f"{fields}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return chunks.groupBy("_chunk").cogroup(gone_by_chunk.groupBy("_chunk")).applyInArrow(finish, f"{fields}, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def _ranges(lo: int | None, hi: int | None, batches: int) -> Iterator[tuple[int, int]]:
@@ -311,8 +320,8 @@ def _between(entries: DataFrame, lo: int, hi: int) -> DataFrame:
                 doc = np.frombuffer(r["doc"], np.int64)
                 some = (doc >= lo) & ((doc < hi) | (hi == LAST))
                 if some.any():
-                    for k in ("h1", "h2", "doc", "start"):
-                        r[k] = blob(np.frombuffer(r[k], np.uint64)[some])
+                    for k, kind in KINDS.items():
+                        r[k] = blob(np.frombuffer(r[k], kind)[some])
                     for k, v in r.items():
                         rows[k].append(v)
             yield pa.RecordBatch.from_pydict(rows, schema=b.schema)
