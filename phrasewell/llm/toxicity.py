@@ -42,6 +42,8 @@ FREQUENT = (6, 0.025, 3.5)
 #: The curve is fitted on at most so many labelled rows, those with the least hash.
 FIT_ROWS = 100_000
 THRESHOLD = 0.7
+#: At most so many labels (16 bytes each) are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
 
 _map: dict[int, str] = {}
 
@@ -262,6 +264,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 3) != 1).select("doc_id", "toxic")
-    model = learn(docs.join(labels, "doc_id").select("text", "toxic"))
+    # Texts stay where they are while the labels are few enough to be sent to them.
+    few = labels.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    model = learn(docs.join(F.broadcast(labels) if few else labels, "doc_id").select("text", "toxic"))
     out = score(docs, model)
     return out.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "n_matches")
