@@ -44,6 +44,21 @@ def basic_tokens(text: str | None, lower: bool = True) -> list[str]:
     return out
 
 
+def cleaned(text: str | None) -> str:
+    """What basic_tokens does short of splitting at punctuation: words without accents and control characters, one space between them."""
+    clean = "".join(" " if _is_space(c) else c for c in text or "" if not (c in "\x00\ufffd" or _is_control(c)))
+    words = _CJK.sub(r" \1 ", clean).lower().split()
+    return " ".join("".join(c for c in unicodedata.normalize("NFD", w) if unicodedata.category(c) != "Mn") for w in words)
+
+
+def all_but_split(c: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(cleaned)
+
+    return run(c)
+
+
 def pieces(token: str, vocab: frozenset[str] | dict, unknown: bool = False, longest: int = 100) -> list[str]:
     """Longest known pieces from the left, those after the first marked by ##; the token itself (or [UNK]) if there is no way."""
     fail = ["[UNK]"] if unknown else [token]

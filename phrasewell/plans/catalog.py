@@ -9,7 +9,7 @@ from phrasewell.plans.registry import ORACLES, QUERIES, Query
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["a15_best_span"](spark, sf_dir)
+    return QUERIES["q1_dense_search"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

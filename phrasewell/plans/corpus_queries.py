@@ -271,6 +271,11 @@ def f19(spark, d):
     return D.table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.basic(F.col("text")), " ").alias("tokens"))
 
 
+@query("f20_all_but_split")
+def f20(spark, d):
+    return D.table(spark, d, "conversations").select("conv_id", "turn", T.all_but_split(F.col("text")).alias("clean"))
+
+
 @query("f22_wordpiece")
 def f22(spark, d):
     return D.table(spark, d, "benchmark").select("item_id", F.array_join(T.wordpiece(X.white_tokens(F.lower("text")), _vocab()), " ").alias("pieces"))

@@ -132,6 +132,7 @@ def test_gaps(spark):
 def test_tokenizers():
     assert T.basic_tokens("Héllo, wörld! 中文") == ["hello", ",", "world", "!", "中", "文"]
     assert T.basic_tokens(None) == []
+    assert T.cleaned("Héllo,\u00a0 wörld!\x00") == "hello, world!" and T.cleaned(None) == ""
     v = {"un", "##aff", "##able"}
     assert T.pieces("unaffable", v) == ["un", "##aff", "##able"]
     assert T.pieces("xyz", v) == ["xyz"] and T.pieces("xyz", v, True) == ["[UNK]"]
