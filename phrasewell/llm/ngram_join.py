@@ -3,15 +3,18 @@
 A document's set holds the hashes of its distinct 5-word shingles. Documents with one set are one class (any number of exact
 copies costs one row per document). Classes link when 7 * overlap >= 3 * (size + size), that is at a Jaccard similarity of 3/4.
 
-The global order has the n-grams that many classes share last, by count, and all others first, by hash. Any fixed order
-gives right results; this one keeps common passages out of the prefixes. The order is cut into fragments:
+The global order has the n-grams that many classes share last, by count, and all others first, by hash. What is common is found in two
+passes: what chunks hold more than once, then what many classes have in their prefixes. Any fixed order gives right results; this one
+keeps common passages out of the prefixes. The order is cut into fragments:
 
 1. Each class sends the first n - ceil(3n/4) + 1 n-grams of its set (two linked classes share one of them) to their fragments. Each
    fragment counts, for the pairs of classes that meet in it, the n-grams they share there; the counts are summed per pair, and
-   pairs that can't reach the threshold any more are dropped. An n-gram with more than SMALL classes pairs them with one hub only.
-2. The pairs left are verified: whole sets, again cut into fragments, give partial overlaps that are summed per pair.
-3. Links give components. In an n-gram's group of more than SMALL classes the pairs that step 1 left out matter only where they
-   join different components: those pairs are made in tiles and verified in the same way. So no link between components is lost.
+   pairs that can't reach the threshold are dropped. Where more than two classes hold an n-gram, each is first paired with one of
+   them only, the hub.
+2. Pairs are verified: whole sets, again cut into fragments, give partial overlaps that are summed per pair. First, in HUB_ROUNDS
+   rounds, each class with the hub it shares most n-grams with, as long as they are in different components.
+3. Then all other pairs that meet in an n-gram, of more than two classes too (made in tiles there), in so far as their components
+   still differ: a link inside a component changes nothing, so no link that matters is left out.
 
 Null or empty texts have an empty set and link with nothing. One to four words are one shingle. A null doc_id never names a component
 but where all its members are null. Rows with one doc_id and different texts are documents of their own. Extra columns are ignored.
@@ -34,10 +37,12 @@ from phrasewell.llm._shared import materialize, table
 from phrasewell.llm._vec import gram_hashes, mix64, word_hashes
 
 GRAM = 5
-#: A group of at most so many classes pairs all of them.
-SMALL = 32
+#: Rounds in which classes are verified against hubs, before all pairs that are left.
+HUB_ROUNDS = 2
 #: At most so many common n-grams are ordered by count (8 bytes each); they are seen in at least LEAST_SEEN classes of chunks that hold them twice.
-COMMON, LEAST_SEEN = 1 << 18, 8
+COMMON, LEAST_SEEN = 1 << 18, 2
+#: What so many classes have in their first prefixes is common, too.
+WIDE = 6
 FRAGMENTS = 4
 TILE = 1000
 
@@ -116,6 +121,28 @@ def _common(seen: DataFrame, buckets: int, most: int) -> tuple[np.ndarray, np.nd
     return key[top], total[top]
 
 
+def _wide(prefixes: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: int, most: int, least: int = WIDE) -> tuple[np.ndarray, np.ndarray]:
+    """common with the n-grams that at least `least` classes have in their prefixes, by that number: again at most `most`."""
+    each = max(16, 2 * most // buckets)
+
+    def work(t: pa.Table) -> pa.Table:
+        key, count = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]), return_counts=True)
+        top = np.flatnonzero(count >= least)
+        top = top[np.argsort(-count[top], kind="stable")][:each]
+        return pa.table({"keys": pa.array([blob(key[top])], pa.binary()), "counts": pa.array([blob(count[top].astype(np.int64))], pa.binary())})
+
+    rows = prefixes.groupBy("bucket").applyInArrow(work, "keys binary, counts binary").collect()
+    key = np.concatenate([common[0], *(np.frombuffer(r[0], np.uint64) for r in rows)])
+    total = np.concatenate([common[1], *(np.frombuffer(r[1], np.int64) for r in rows)])
+    order = np.lexsort((-total, key))
+    key, total = key[order], total[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key, total = key[new], total[new]
+    top = np.sort(np.lexsort((key, -total))[:most])
+    return key[top], total[top]
+
+
 def _prefixes(chunks: DataFrame, reps: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: int, gram: int) -> DataFrame:
     """(bucket, part, keys, low, n): the prefix n-grams of the chunk's classes by fragment; _row is part << 32 | low."""
     shared = chunks.sparkSession.sparkContext.broadcast(common)  # at most COMMON entries
@@ -170,8 +197,10 @@ def _counted(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
     return a[head], b[head], na[head], nb[head], np.diff(np.append(head, len(a)))
 
 
-def _meet(prefixes: DataFrame, small: int) -> DataFrame:
-    """Rows of kind pair (two classes and their shared n-grams in a fragment) and of kind big (a: n-gram, b: class, of a group of more than `small`)."""
+def _meet(prefixes: DataFrame) -> DataFrame:
+    """What the classes that hold an n-gram give, by kind. pair: the two of an n-gram that two hold; hub: the least and each other of more
+    than two, both with the number of n-grams they meet in within a fragment; big: a (n-gram) and b (class) of more than two, c of them.
+    """
 
     def work(t: pa.Table) -> pa.Table:
         key = np.concatenate([np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()])
@@ -183,19 +212,10 @@ def _meet(prefixes: DataFrame, small: int) -> DataFrame:
         head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(head, len(key)))
         lead, width = np.repeat(head, size), np.repeat(size, size)
-        left, right = [], []
-        for step in range(1, small):
-            i = np.flatnonzero((width <= small) & (np.arange(len(key)) - lead >= step))
-            if not len(i):
-                break
-            left.append(i - step)
-            right.append(i)
-        big = np.flatnonzero(width > small)
-        left, right = np.concatenate([*left, lead[big]]).astype(np.int64), np.concatenate([*right, big]).astype(np.int64)
-        some = row[left] != row[right]
-        left, right = left[some], right[some]
-        out = _met("pair", *_counted(row[left], row[right], n[left], n[right]))
-        return pa.concat_tables([out, _met("big", key[big].view(np.int64), row[big], n[big], n[big], width[big])])
+        at = np.arange(len(key))
+        two, hub, big = np.flatnonzero((width == 2) & (at > lead)), np.flatnonzero((width > 2) & (at > lead)), np.flatnonzero(width > 2)
+        parts = [_met(kind, *_counted(row[lead[i]], row[i], n[lead[i]], n[i])) for kind, i in (("pair", two), ("hub", hub))]
+        return pa.concat_tables([*parts, _met("big", key[big].view(np.int64), row[big], n[big], n[big], width[big])])
 
     return prefixes.groupBy("bucket").applyInArrow(work, MET)
 
@@ -232,34 +252,70 @@ def _linked(chunks: DataFrame, pairs: DataFrame, rows: DataFrame, gram: int) ->
     return whole.where(7 * F.col("i") >= 3 * (F.col("na") + F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _pairs_within(key: np.ndarray, row: np.ndarray, n: np.ndarray, comp: np.ndarray) -> pa.Table:
+    """All pairs of different components within each key, with counts."""
+    order = np.lexsort((row, key))
+    key, row, n, comp = key[order], row[order], n[order], comp[order]
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+    size = np.diff(np.append(head, len(key)))
+    mixed = np.repeat(np.minimum.reduceat(comp, head) != np.maximum.reduceat(comp, head), size) if len(key) else np.empty(0, bool)
+    at, last = np.flatnonzero(mixed), np.repeat(head + size - 1, size)
+    left, right, step = [], [], 1
+    while len(at := at[at + step <= last[at]]):
+        apart = at[comp[at] != comp[at + step]]
+        left.append(apart)
+        right.append(apart + step)
+        step += 1
+    i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+    return _met("pair", *_counted(row[i], row[j], n[i], n[j]))
+
+
 def _across(big: DataFrame, comps: DataFrame, buckets: int) -> DataFrame:
-    """Pairs of classes in different components within one big group, made tile by tile."""
-    named = big.join(comps.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
+    """Pairs (with counts) of classes in different components that hold one n-gram of more than two classes; long groups are made tile by tile."""
+    named = big.join(comps.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("comp", "row")).select("key", "row", "n", "c", "comp")
+
+    def short(t: pa.Table) -> pa.Table:
+        return _pairs_within(*(t[c].to_numpy() for c in ("key", "row", "n", "comp")))
+
+    out = named.where(F.col("c") <= TILE).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(short, MET)
+    named = named.where(F.col("c") > TILE)
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     named = named.join(mixed, "key").withColumn("tiles", F.ceil(F.col("c") / TILE).cast("int"))
     named = named.withColumn("tile", F.pmod(F.xxhash64("row"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     named = named.select("key", "row", "n", "comp", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile")
     named = named.withColumn("bucket", F.pmod(F.xxhash64("key", "t1", "t2"), F.lit(buckets)).cast("int"))
 
-    def work(t: pa.Table) -> pa.Table:
-        key, row, n, comp, t1, t2, tile = (np.asarray(t[c].to_pylist(), np.int64) for c in ("key", "row", "n", "comp", "t1", "t2", "tile"))
+    def tiled(t: pa.Table) -> pa.Table:
+        key, row, n, comp, t1, t2, tile = (t[c].to_numpy().astype(np.int64) for c in ("key", "row", "n", "comp", "t1", "t2", "tile"))
         order = np.lexsort((t2, t1, key))
         edges = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(t1[order]) != 0) | (np.diff(t2[order]) != 0)) + 1
         parts = []
         for g in np.split(order, edges):
             one, two = g[tile[g] == t1[g]], g[tile[g] == t2[g]]
-            ok = (comp[one][:, None] != comp[two][None, :]) & (4 * np.minimum(n[one][:, None], n[two][None, :]) >= 3 * np.maximum(n[one][:, None], n[two][None, :]))
-            i, j = np.nonzero(ok)
+            i, j = np.nonzero(comp[one][:, None] != comp[two][None, :])
+            if t1[g[0]] == t2[g[0]]:
+                i, j = i[i < j], j[i < j]
             parts.append((one[i], two[j]))
         left, right = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in (0, 1))
         return _met("pair", *_counted(row[left], row[right], n[left], n[right]))
 
-    return named.groupBy("bucket").applyInArrow(work, MET).select("a", "b", "na", "nb").distinct()
+    return out.unionByName(named.groupBy("bucket").applyInArrow(tiled, MET)).select("a", "b", "na", "nb", "c")
+
 
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
 
-def join(docs: DataFrame, gram: int = GRAM, small: int = SMALL, common: int = COMMON) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_shingles and component_id."""
-    chunks = chunked(docs.select("doc_id", "text"))
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose components differ."""
+    one, two = (comps.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+    out = pairs.join(one, "a", "left").join(two, "b", "left")
+    return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
+
+
+def _classified(docs: DataFrame, gram: int = GRAM, hub_rounds: int = HUB_ROUNDS, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
+    """The chunks of docs, and for each of their rows _row, _chunk, doc_id, n_shingles, component_id and kept (one row of each component)."""
+    chunks = chunked(docs.drop("_chunk", "_row"))
     size = (chunks.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0) // 7
     buckets = bucket_count(size // 4)
     described = materialize(_describe(chunks, buckets, gram))
@@ -269,27 +325,62 @@ def join(docs: DataFrame, gram: int = GRAM, small: int = SMALL, common: int = CO
     first = F.min_by(F.struct(F.col("_row").alias("rep"), "chunk"), F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
     classes = materialize(rows.where("n > 0").groupBy("sig", "n").agg(first.alias("f"), F.min("doc_id").alias("least")).select("sig", "n", "f.rep", "f.chunk", "least"))
     reps = classes.select(F.col("rep").alias("_row"), F.col("chunk").alias("_chunk"))
-    met = materialize(_meet(_prefixes(chunks, reps, order, buckets, gram), small))
+    order = _wide(_prefixes(chunks, reps, order, buckets, gram), order, buckets, common)
+    release(docs)
+    met = materialize(_meet(_prefixes(chunks, reps, order, buckets, gram)))
     release(docs)
     big = met.where("kind = 'big'").select(F.col("a").alias("key"), F.col("b").alias("row"), F.col("na").alias("n"), "c")
-    in_big = big.groupBy("row").agg(F.count("*").alias("g"))
-    pairs = met.where("kind = 'pair'").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
-    pairs = pairs.join(in_big.select(F.col("row").alias("a"), F.col("g").alias("ga")), "a", "left").join(in_big.select(F.col("row").alias("b"), F.col("g").alias("gb")), "b", "left")
-    # Of n-grams up to the smaller of the two prefixes' ends all shared ones are counted or in a big group; the rest is at most a suffix.
+    # Worth a look first: what shares a fifth of its prefix with a hub.
+    hubs = _summed(met.where("kind = 'hub'").select("a", "b", "na", "nb", "c")).where(5 * F.col("c") >= F.col("nb") / 4)
+    hubs = materialize(hubs)
+    none = docs.sparkSession.createDataFrame([], "a long, b long")
+    done, links, comps = none, none.toDF("u", "v"), none.toDF("node", "comp")
+    for _ in range(hub_rounds):
+        left = _apart(hubs, comps).join(done, ["a", "b"], "left_anti")
+        best = F.max_by(F.struct("a", "na", "nb"), F.struct("c", -F.col("a")))
+        pairs = materialize(left.groupBy("b").agg(best.alias("h")).select("h.a", "b", "h.na", "h.nb"))
+        links = links.unionByName(materialize(_linked(chunks, pairs, rows, gram)))
+        done = done.unionByName(pairs.select("a", "b"))
+        comps = materialize(components(links))
+    parts = met.where("kind = 'pair'").select("a", "b", "na", "nb", "c").unionByName(_across(big, comps, buckets))
+    # Of n-grams up to the smaller of the two prefixes' ends all shared ones are counted; beyond it is at most a suffix.
     rest = lambda n: F.ceil(F.col(n) * 3 / 4) - 1
-    most = F.col("c") + F.least(F.coalesce("ga", F.lit(0)), F.coalesce("gb", F.lit(0))) + F.greatest(rest("na"), rest("nb"))
-    pairs = materialize(pairs.where(7 * most >= 3 * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb"))
-    links = materialize(_linked(chunks, pairs, rows, gram))
-    comps = components(links)
-    if big.limit(1).count():
-        more = materialize(_across(big, comps, buckets).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-        if more.limit(1).count():
-            comps = components(links.unionByName(materialize(_linked(chunks, more, rows, gram))))
+    left = _summed(parts).where(7 * (F.col("c") + F.greatest(rest("na"), rest("nb"))) >= 3 * (F.col("na") + F.col("nb")))
+    left = materialize(_apart(left, comps).join(done, ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
+    if left.limit(1).count():
+        comps = components(links.unionByName(materialize(_linked(chunks, left, rows, gram))))
     named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    named = named.join(named.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("sig", "n", "component_id")
+    first = F.min_by("rep", F.struct(F.col("least").isNull(), "least", "rep"))
+    named = named.join(named.groupBy("comp").agg(F.min("least").alias("component_id"), first.alias("stays")), "comp").select("sig", "n", "component_id", "stays")
     out = rows.join(named, ["sig", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    some = F.col("n") > 0
+    return chunks, out.select(
+        "_row",
+        F.col("chunk").alias("_chunk"),
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(some, F.col("_row") == F.col("stays")).otherwise(F.lit(True)).alias("kept"),
+    )
+
+
+def join(docs: DataFrame, gram: int = GRAM, hub_rounds: int = HUB_ROUNDS, common: int = COMMON) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id and kept, true for one row of each component."""
+    return _classified(docs.select("doc_id", "text"), gram, hub_rounds, common)[1].drop("_row", "_chunk")
+
+
+def representatives(docs: DataFrame, gram: int = GRAM) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) of which one per component stays; documents without words all stay."""
+    chunks, rows = _classified(docs, gram)
+    names = [c for c in docs.columns if c not in ("_chunk", "_row")]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
+
+    def work(t: pa.Table, r: pa.Table) -> pa.Table:
+        return t.filter(pc.is_in(t["_row"], r["_row"].combine_chunks())).select(names)
+
+    kept = rows.where("kept").select("_row", "_chunk")
+    return chunks.groupBy("_chunk").cogroup(kept.groupBy("_chunk")).applyInArrow(work, fields)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents")).drop("kept")
