@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": embedding_dedup.SQL, "op4_decontaminate": decontaminate.SQL, "op6_mixing": mixing.SQL, "op9_substring_dedup": substring_dedup.SQL}
+    return {"op1_license_scan": license_scan.sql(), "op2_embedding_dedup": embedding_dedup.SQL, "op4_decontaminate": decontaminate.SQL, "op6_mixing": mixing.SQL, "op9_substring_dedup": substring_dedup.SQL}

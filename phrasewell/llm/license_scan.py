@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from phrasewell.llm._shared import WORD_GAP, ascii_lower, let, table, text_or_empty
+from phrasewell.llm._shared import LOWER, UPPER, WORD_GAP, ascii_lower, let, table, text_or_empty
 
 # The three base phrases and their labels, from the query's contract.
 BASE_PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
@@ -225,4 +225,44 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-__all__ = ["rules", "scan", "digest", "query"]
+
+def sql() -> str:
+    """The digest in DuckDB SQL. Its regexes have no look-around, so there each word has a space of its own on both sides."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ",\n  ".join(f"({i}, {quote(label)}, {quote(kw)}, {quote(' (?:' + rx.replace(' ', '(?:  )') + ') ')}, {pr}, {conf}::DOUBLE, {base})" for i, (_, label, kw, rx, pr, conf, base) in enumerate(rules()))
+    return f"""
+WITH rules(id, label, kw, rx, pr, conf, base) AS (VALUES
+  {rows}),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         trim(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD_GAP}', ' ', 'g'), ' ') AS bare
+  FROM documents),
+n AS (
+  SELECT r, doc_id, CASE WHEN bare = '' THEN 0 ELSE len(bare) - len(replace(bare, ' ', '')) + 1 END::BIGINT AS n_words,
+         ' ' || bare || ' ' AS norm, CASE WHEN bare = '' THEN '' ELSE ' ' || replace(bare, ' ', '  ') || ' ' END AS twice
+  FROM d),
+hit AS (
+  SELECT r, id, label, pr, conf, base, regexp_split_to_array(twice, rx) AS rest, regexp_extract_all(twice, rx) AS hits
+  FROM n JOIN rules ON contains(norm, kw)),
+found AS (
+  SELECT *, s + (len(h) - len(replace(h, ' ', ''))) // 2 AS e
+  FROM (
+    SELECT r, id, label, pr, conf, base, hits[i] AS h,
+           (len(b) - len(replace(b, ' ', ''))) // 2 AS s
+    FROM (SELECT *, array_to_string(rest[1:i], '') || array_to_string(hits[1:i - 1], '') AS b
+          FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM hit WHERE len(hits) > 0)))),
+judged AS (
+  SELECT *, e > coalesce(max(e) OVER (PARTITION BY r ORDER BY s, e DESC, pr, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS kept
+  FROM found),
+per AS (
+  SELECT r, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR kept) AS labels, max(conf) FILTER (kept) AS score
+  FROM judged GROUP BY r)
+SELECT doc_id, n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM n LEFT JOIN per USING (r)
+"""
+
+
+__all__ = ["rules", "scan", "digest", "query", "sql"]

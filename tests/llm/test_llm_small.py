@@ -417,3 +417,16 @@ def test_crc_agrees():
     from phrasewell.llm._vec import crc_mod
 
     assert crc_mod([5, None], 7).tolist() == [zlib.crc32(b"5") % 7, 0]
+
+
+def test_license_sql_agrees(spark):
+    import duckdb
+
+    rows = [(1, "Licensed under CC BY-NC 4.0. All rights reserved; all rights reserved."), (2, "GNU General Public License v3, see the general public license"), (3, None), (4, ""), (5, "SPDX-License-Identifier: MIT OR Apache-2.0"), (6, "All Rights\nReserved. " * 200), (7, "cc by cc by sa, in the public domain MIT License")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    c = duckdb.connect()
+    c.execute("create table documents (doc_id bigint, text varchar)")
+    c.executemany("insert into documents values (?, ?)", rows)
+    rel = c.sql(license_scan.sql())
+    got = license_scan.digest(license_scan.scan(docs)).select(*rel.columns)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(rel.fetchall(), key=repr)
