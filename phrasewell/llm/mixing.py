@@ -25,6 +25,8 @@ from phrasewell.llm._shared import SPACE_WORD, materialize, table
 WEIGHTS = (5, 2, 1)
 CAP = 3
 NEWTON_STEPS = 64
+#: At most so many sources (one row each) are broadcast to the documents.
+BROADCAST_SOURCES = 100_000
 #: The top 12 of the order's 60 bits name a range.
 RANGE_BITS, ORDER_BITS = 12, 60
 
@@ -84,7 +86,9 @@ def mix(docs: DataFrame) -> DataFrame:
     # The range in which the source's budget runs out, and what is left of it there.
     edges = edges.where(F.col("_before") + F.col("_in") > F.col("_extra")).groupBy("source").agg(F.min_by(F.struct(F.col("_range").alias("r"), (F.col("_extra") - F.col("_before")).alias("left")), "_range").alias("_edge"))
     per_source = per_source.join(edges.withColumnRenamed("source", "_e"), F.col("source").eqNullSafe(F.col("_e")), "left").drop("_e").withColumnRenamed("source", "_s")
-    out = sized.join(per_source, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    per_source = materialize(per_source)
+    few = per_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    out = sized.join(F.broadcast(per_source) if few else per_source, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     before = F.coalesce(F.col("_range") < F.col("_edge.r"), F.lit(True))
     sure = out.where(~F.col("_range").eqNullSafe(F.col("_edge.r"))).withColumn("_more", F.when(before, F.col("size")).otherwise(F.lit(0).cast("long")))
     inside = Window.partitionBy("source").orderBy("_at", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
