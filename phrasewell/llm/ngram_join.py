@@ -45,6 +45,8 @@ COMMON, LEAST_SEEN = 1 << 18, 2
 WIDE = 6
 FRAGMENTS = 4
 TILE = 1000
+#: A family of at most so many classes is counted in one place (a matrix of 16 MB).
+FAMILY = 2000
 
 
 def shingle_sets(texts: list[bytes | None], gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -270,9 +272,47 @@ def _pairs_within(key: np.ndarray, row: np.ndarray, n: np.ndarray, comp: np.ndar
     return _met("pair", *_counted(row[i], row[j], n[i], n[j]))
 
 
-def _across(big: DataFrame, comps: DataFrame, buckets: int) -> DataFrame:
-    """Pairs (with counts) of classes in different components that hold one n-gram of more than two classes; long groups are made tile by tile."""
-    named = big.join(comps.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("comp", "row")).select("key", "row", "n", "c", "comp")
+def _within_families(rows: DataFrame, buckets: int) -> DataFrame:
+    """Pairs of different components within each family (fam), with all n-grams they share counted in one place."""
+
+    def work(t: pa.Table) -> pa.Table:
+        key, row, n, comp, fam = (t[c].to_numpy() for c in ("key", "row", "n", "comp", "fam"))
+        order = np.argsort(fam, kind="stable")
+        parts = []
+        for g in np.split(order, np.flatnonzero(np.diff(fam[order])) + 1):
+            ids, first, at = np.unique(row[g], return_index=True, return_inverse=True)
+            label, size = comp[g][first], n[g][first]
+            if not len(g) or label.min() == label.max():
+                continue
+            _, col = np.unique(key[g], return_inverse=True)
+            total = np.zeros((len(ids), len(ids)), np.float32)
+            for lo in range(0, int(col.max()) + 1, TILE):  # an incidence matrix of TILE n-grams at a time
+                some = (col >= lo) & (col < lo + TILE)
+                hold = np.zeros((len(ids), TILE), np.float32)
+                hold[at[some], col[some] - lo] = 1
+                total += hold @ hold.T
+            i, j = np.nonzero(np.triu(total, 1) * (label[:, None] != label[None, :]))
+            ok = 4 * np.minimum(size[i], size[j]) >= 3 * np.maximum(size[i], size[j])
+            i, j = i[ok], j[ok]
+            parts.append(_met("pair", ids[i], ids[j], size[i], size[j], total[i, j]))
+        return pa.concat_tables([*parts, _met("pair", *[np.empty(0, np.int64)] * 5)])
+
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("fam"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(work, MET)
+
+
+def _across(big: DataFrame, comps: DataFrame, families: DataFrame, buckets: int) -> DataFrame:
+    """Pairs (with counts) of classes in different components that hold one n-gram of more than two classes.
+
+    Classes of one family (joined by hubs they share much with, verified or not) are counted per family, if it has at most FAMILY
+    classes; all other pairs per n-gram, long groups of those tile by tile. A component lies within a family.
+    """
+    sizes = families.groupBy("comp").agg(F.count("*").alias("members")).withColumnRenamed("comp", "fam")
+    members = families.withColumnsRenamed({"node": "row", "comp": "fam"}).join(sizes, "fam")
+    known = members.join(comps.withColumnRenamed("node", "row"), "row", "left")
+    named = big.join(known, "row", "left").withColumns({"comp": F.coalesce("comp", "row"), "fam": F.coalesce("fam", "row"), "members": F.coalesce("members", F.lit(1))})
+    named = materialize(named.select("key", "row", "n", "c", "comp", "fam", "members"))
+    inside = _within_families(named.where((F.col("members") > 1) & (F.col("members") <= FAMILY)).select("key", "row", "n", "comp", "fam"), buckets)
+    named = named.select("key", "row", "n", "c", F.when(F.col("members") <= FAMILY, F.col("fam")).otherwise(F.col("comp")).alias("comp"))
 
     def short(t: pa.Table) -> pa.Table:
         return _pairs_within(*(t[c].to_numpy() for c in ("key", "row", "n", "comp")))
@@ -299,7 +339,7 @@ def _across(big: DataFrame, comps: DataFrame, buckets: int) -> DataFrame:
         left, right = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in (0, 1))
         return _met("pair", *_counted(row[left], row[right], n[left], n[right]))
 
-    return out.unionByName(named.groupBy("bucket").applyInArrow(tiled, MET)).select("a", "b", "na", "nb", "c")
+    return out.unionByName(named.groupBy("bucket").applyInArrow(tiled, MET)).unionByName(inside).select("a", "b", "na", "nb", "c")
 
 
 def _summed(parts: DataFrame) -> DataFrame:
@@ -334,6 +374,7 @@ def _classified(docs: DataFrame, gram: int = GRAM, hub_rounds: int = HUB_ROUNDS,
     hubs = _summed(met.where("kind = 'hub'").select("a", "b", "na", "nb", "c")).where(5 * F.col("c") >= F.col("nb") / 4)
     hubs = materialize(hubs)
     none = docs.sparkSession.createDataFrame([], "a long, b long")
+    families = materialize(components(hubs.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     done, links, comps = none, none.toDF("u", "v"), none.toDF("node", "comp")
     for _ in range(hub_rounds):
         left = _apart(hubs, comps).join(done, ["a", "b"], "left_anti")
@@ -342,7 +383,7 @@ def _classified(docs: DataFrame, gram: int = GRAM, hub_rounds: int = HUB_ROUNDS,
         links = links.unionByName(materialize(_linked(chunks, pairs, rows, gram)))
         done = done.unionByName(pairs.select("a", "b"))
         comps = materialize(components(links))
-    parts = met.where("kind = 'pair'").select("a", "b", "na", "nb", "c").unionByName(_across(big, comps, buckets))
+    parts = met.where("kind = 'pair'").select("a", "b", "na", "nb", "c").unionByName(_across(big, comps, families, buckets))
     # Of n-grams up to the smaller of the two prefixes' ends all shared ones are counted; beyond it is at most a suffix.
     rest = lambda n: F.ceil(F.col(n) * 3 / 4) - 1
     left = _summed(parts).where(7 * (F.col("c") + F.greatest(rest("na"), rest("nb"))) >= 3 * (F.col("na") + F.col("nb")))

@@ -275,13 +275,17 @@ def test_representatives(spark):
     assert ngram_join.representatives(empty(spark)).count() == 0
 
 
-def test_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("most", [0, 3, 2000])
+def test_tiles_and_families(spark, monkeypatch, most):
     monkeypatch.setattr(ngram_join, "TILE", 4)
+    monkeypatch.setattr(ngram_join, "FAMILY", most)
+    families = spark.createDataFrame([*((r, 0) for r in range(8) if r % 2 == 0 or r < 6), (8, 8), (10, 8), (7, 7), (9, 7)], "node long, comp long")
     big = spark.createDataFrame([(1, r, 10, 11) for r in range(11)] + [(2, r, 10, 3) for r in range(3)], "key long, row long, n long, c long")
-    comps = spark.createDataFrame([(r, r % 2) for r in range(11)], "node long, comp long")
-    got = Counter((r["a"], r["b"]) for r in ngram_join._across(big, comps, 7).collect())
-    want = Counter((a, b) for m in (11, 3) for a in range(m) for b in range(a + 1, m) if a % 2 != b % 2)
-    assert set(got) == set(want)
+    comp = {0: 0, 1: 1, 2: 0, 3: 1, 4: 4, 5: 5, 6: 4, 7: 7, 8: 8, 9: 7, 10: 10}
+    got = Counter()
+    for r in ngram_join._across(big, spark.createDataFrame(list(comp.items()), "node long, comp long"), families, 7).collect():
+        got[r["a"], r["b"]] += r["c"]
+    assert got == Counter((a, b) for m in (11, 3) for a in range(m) for b in range(a + 1, m) if comp[a] != comp[b])
 
 
 # 6 ---
