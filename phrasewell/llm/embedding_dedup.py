@@ -1,6 +1,7 @@
 """Embedding near-dedup with a pivot-permutation index.
 
-Pivots are a bounded sample of the vectors. Each vector is described by its `nearest` pivots in order of similarity; an inverted list
+Pivots are vectors of a bounded sample, no two of them nearer to each other than twice the angle of a link: however many rows a group of near
+copies holds, few pivots lie in it, so its members have them and the pivots around in common. Each vector is described by its `nearest` pivots in order of similarity; an inverted list
 holds, for a label and a pivot, all vectors described by it. Vectors of one list that share at least `shared` pivots are candidates,
 and candidates are verified by cosine in double precision. A pair is counted in the list of the least pivot it shares, so once.
 
@@ -29,8 +30,10 @@ from phrasewell.llm._components import components
 from phrasewell.llm._shared import materialize, table
 
 COSINE, NEAREST, SHARED = 0.93, 10, 2
-#: Pivots: PER_ROOT times the root of the number of vectors, within these bounds; they are broadcast.
+#: Pivots: at most PER_ROOT times the root of the number of vectors, within these bounds; they are broadcast.
 PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS = 2, 16, 4096
+#: Pivots are chosen among so many times their number of sampled vectors.
+SAMPLED = 4
 TILE = 512
 
 
@@ -57,6 +60,23 @@ def _unit(blobs: list[bytes], kind) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _spread(sample: np.ndarray, most: int, cosine: float) -> np.ndarray:
+    """At most `most` unit vectors of the sample, in its order, no two of them within twice the angle that `cosine` is of."""
+    near = 2 * cosine * cosine - 1
+    held = sample[:0]
+    for at in range(0, len(sample), 256):
+        block = sample[at : at + 256]
+        block = block[(block @ held.T < near).all(axis=1)]
+        close, taken = block @ block.T >= near, []
+        for i in range(len(block)):
+            if not close[i, taken].any():
+                taken.append(i)
+        held = np.concatenate([held, block[taken]])
+        if len(held) >= most:
+            break
+    return held[:most]
+
+
 def _described(classes: DataFrame, pivots: dict[int, np.ndarray], kind, nearest: int) -> DataFrame:
     """Adds perm: the places of the nearest pivots of the vector's length, the nearest first."""
     shared = classes.sparkSession.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS vectors
@@ -145,8 +165,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, nearest: int = N
     classes = materialize(classes.withColumn("rid", F.monotonically_increasing_id()))
     count = classes.count()
     wanted = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, PER_ROOT * count**0.5)))
-    sample = [r[0] for r in classes.select("vec", F.xxhash64("vec").alias("h")).distinct().orderBy("h", "vec").limit(wanted).select("vec").collect()]
-    pivots = {n: _unit([x for x in sample if len(x) == n], kind) for n in {len(x) for x in sample}}
+    sample = [r[0] for r in classes.select("vec", F.xxhash64("vec").alias("h")).distinct().orderBy("h", "vec").limit(wanted * SAMPLED).select("vec").collect()]
+    pivots = {}
+    for n in {len(x) for x in sample}:
+        own = [x for x in sample if len(x) == n]
+        pivots[n] = _spread(_unit(own, kind), -(-wanted * len(own) // len(sample)), cosine)
     entries = materialize(_described(classes.select("rid", "label", "size", "vec"), pivots, kind, nearest))
     found = materialize(_pieces(entries, kind, cosine, shared, max(64, count * nearest // 4000)))
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))

@@ -163,6 +163,43 @@ def test_embedding_recall(spark, sf):
     assert all(got[i] <= n for (i, _, _), n in zip(v, links.tolist())) and found >= 0.9 * links.sum()
 
 
+def planted(rng, n, sizes):
+    """n unit vectors of 64 numbers, the first of them in groups of near copies (cosine about 0.95) of these sizes; each vector's group."""
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    parts = []
+    for m in sizes:
+        c, u = unit(rng.normal(size=(1, 64))), rng.normal(size=(m, 64))
+        parts.append(math.sqrt(0.95) * c + math.sqrt(0.05) * unit(u - (u @ c.T) * c))
+    x = np.concatenate([*parts, unit(rng.normal(size=(n - sum(sizes), 64)))]).astype(np.float32)
+    return x, np.repeat([*sizes, 1], [*sizes, n - sum(sizes)])
+
+
+def links_of(spark, folder, x):
+    """n_links by the operator and by brute force, one label for all."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path = f"{folder}/planted.parquet"
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": np.zeros(len(x), np.int32)}), path)
+    got = dict(tuple(r) for r in embedding_dedup.near_duplicates(spark.read.parquet(path)).select("vec_id", "n_links").collect())
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = np.concatenate([(y[i : i + 1000] @ y.T >= 0.93).sum(axis=1) - 1 for i in range(0, len(y), 1000)])
+    return np.asarray([got[i] for i in range(len(x))]), want
+
+
+def test_embedding_dense_group(spark, tmp_path):
+    x, _ = planted(np.random.default_rng(5), 6000, [2000])
+    got, want = links_of(spark, tmp_path, x)
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum()
+
+
+def test_embedding_pivots_are_spread():
+    x, _ = planted(np.random.default_rng(6), 3000, [1000])
+    p = embedding_dedup._spread(x.astype(float), 400, 0.93)
+    assert len(p) == 400 and (p @ p.T - 2 * np.eye(400)).max() < 2 * 0.93**2 - 1
+    assert len(embedding_dedup._spread(x[:1000].astype(float), 400, 0.93)) == 1
+
+
 # 3 ---
 
 
