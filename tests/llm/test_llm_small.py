@@ -193,6 +193,14 @@ def test_embedding_dense_group(spark, tmp_path):
     assert (got <= want).all() and got.sum() >= 0.99 * want.sum()
 
 
+def test_embedding_recall_by_group_size(spark, tmp_path):
+    x, size = planted(np.random.default_rng(11), 24_000, [8000, 2000, 300, 50, 10, *[5] * 40, *[2] * 400])
+    got, want = links_of(spark, tmp_path, x)
+    assert len(np.unique(x, axis=0)) == 24_000 and (got <= want).all()
+    for m in (8000, 2000, 300, 50, 10, 5, 2):
+        assert 0 < 0.99 * want[size == m].sum() <= got[size == m].sum(), m
+
+
 def test_embedding_pivots_are_spread():
     x, _ = planted(np.random.default_rng(6), 3000, [1000])
     p = embedding_dedup._spread(x.astype(float), 400, 0.93)
