@@ -33,8 +33,8 @@ from phrasewell.llm._shared import drop, materialize, shared_dir, table
 from phrasewell.llm._vec import gram_hashes, word_hashes
 
 WINDOW = 20
-#: A batch is a range of doc_id; the index compacts when it has more runs than this.
-BATCHES, MOST_RUNS = 2, 2
+#: A batch is a range of doc_id; the index compacts when it has more runs than this, so the last batch meets one compacted run.
+BATCHES, MOST_RUNS = 4, 2
 LAST = np.iinfo(np.int64).max
 TOP = np.uint64(2**64 - 1)
 _SPLIT = re.compile(r"[\x20\x09-\x0D]+")

@@ -436,6 +436,26 @@ def test_substring_dedup(spark, batches):
     assert substring_dedup.dedup(empty(spark)).count() == 0
 
 
+def test_runs_are_compacted_between_batches(spark, monkeypatch):
+    """With the batches of the query some batch meets an index that has been compacted, and later ones lose no history."""
+    met, add, compact = [], substring_dedup.FingerprintIndex.add, substring_dedup.FingerprintIndex.compact
+    state = {"compacted": False}
+
+    def seen_compact(self):
+        compact(self)
+        state["compacted"] = True
+
+    def seen_add(self, batch):
+        met.append(state["compacted"])
+        return add(self, batch)
+
+    monkeypatch.setattr(substring_dedup.FingerprintIndex, "compact", seen_compact)
+    monkeypatch.setattr(substring_dedup.FingerprintIndex, "add", seen_add)
+    rows = [(i, f"{i} {PASSAGE if i % 2 else LONG[:400]} {i}", "", "", 1) for i in range(40)]
+    got = sorted((tuple(r) for r in substring_dedup.dedup(frame(spark, rows)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=repr)
+    assert got == brute_dedup([r[:2] for r in rows]) and any(met)
+
+
 # 10 ---
 
 
