@@ -38,12 +38,17 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item's window; rows of one doc_id and text share one verdict."""
+    """Drops documents that hold a full window of a benchmark item, or of whose words items shorter than a window make up half or more.
+
+    A short item is found in any document that holds its few words, so one hit of it says nothing. Rows of one doc_id and text share one verdict.
+    """
     docs = docs.select(*COLUMNS)
     hits = decontaminate.hits(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    hits = hits.select(F.col("doc_id").alias("_d"), F.col("_text").alias("_t")).distinct()
+    hits = hits.groupBy("doc_id", "_text").agg(F.max(F.col("len") == decontaminate.WINDOW).alias("_whole"), decontaminate.spans().alias("_spans"))
+    hits = hits.select(F.col("doc_id").alias("_d"), F.col("_text").alias("_t"), "_whole", decontaminate.covered("_spans").alias("_n"))
     out = docs.withColumn("_text", F.xxhash64("text"))
-    return out.join(hits, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_t")), "left_anti").select(*COLUMNS)
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_t"))
+    return out.join(hits, same & (F.col("_whole") | (2 * F.col("_n") >= F.size(decontaminate.words("text")))), "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,18 +97,26 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GR
     return out.join(F.broadcast(of) if small else of, "window_words").select("doc_id", "_text", "s", "len", "item")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, min_items: int = 2, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, n_items, items (sorted), contaminated."""
-    found = hits(docs, items, window, gram, broadcast_windows)
-    spans = F.array_sort(F.collect_set(F.struct("s", (F.col("s") + F.col("len")).alias("e"))))
-    covered = F.aggregate(
-        "spans",
+def spans() -> Column:
+    """An aggregate of hits: their distinct spans (s, e), in order."""
+    return F.array_sort(F.collect_set(F.struct("s", (F.col("s") + F.col("len")).alias("e"))))
+
+
+def covered(of: str) -> Column:
+    """The number of words in spans."""
+    return F.aggregate(
+        of,
         F.struct(F.lit(0).alias("e"), F.lit(0).cast("long").alias("n")),
         lambda a, x: F.struct(F.greatest(a.e, x.e).alias("e"), (a.n + F.greatest(F.lit(0), x.e - F.greatest(a.e, x.s))).alias("n")),
         lambda a: a.n,
     )
-    per_doc = found.groupBy("doc_id", "_text").agg(spans.alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
-    per_doc = per_doc.select(F.col("doc_id").alias("_d"), F.col("_text").alias("_t"), covered.alias("n_hit"), "items")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, min_items: int = 2, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_hit, n_items, items (sorted), contaminated."""
+    found = hits(docs, items, window, gram, broadcast_windows)
+    per_doc = found.groupBy("doc_id", "_text").agg(spans().alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    per_doc = per_doc.select(F.col("doc_id").alias("_d"), F.col("_text").alias("_t"), covered("spans").alias("n_hit"), "items")
     rows = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.size(words("text")).cast("long").alias("n_words"))
     out = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_t")), "left")
     out = out.withColumn("items", F.coalesce("items", F.expr("cast(array() as array<string>)")))

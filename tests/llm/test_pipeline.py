@@ -70,6 +70,22 @@ def test_stages(spark, folder, monkeypatch):
     assert Counter((r["doc_id"], r["taken"]) for r in whole.collect()) == Counter((r["doc_id"], r["taken"]) for r in last)
 
 
+def test_short_items_drop_no_clean_documents(spark, tmp_path):
+    spark.createDataFrame([(1, ITEM), (2, "maison"), (3, "le chat"), (4, "of")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [
+        (1, "dans la maison le chat dort toute la nuit", "fr", "a", 1),  # clean: short items in passing
+        (2, f"la maison {ITEM}", "fr", "a", 1),
+        (3, "Le chat!", "fr", "a", 1),  # nothing but an item
+        (4, "le chat of maison dort", "fr", "a", 1),  # mostly items
+        (5, "many words of a clean text", "fr", "a", 1),
+        (6, " ".join(ITEM.split()[:7]), "fr", "a", 1),  # less than a window
+        (7, None, "fr", "a", 1),
+        (None, "maison", "fr", "a", 1),
+    ]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {r["doc_id"] for r in pipeline.benchmarks(spark, docs, str(tmp_path)).collect()} == {1, 5, 6, 7}
+
+
 def test_without_labels_letters_decide(spark, folder):
     sf, _ = folder
     docs = spark.createDataFrame([(1, "abc", None, "a", 3), (2, "12", None, "a", 2), (3, None, None, "a", 0)], DOCS)
