@@ -34,9 +34,9 @@ LOOK_ALIKE = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
 #: Phrases in which an entry's words don't count.
 EXCEPTIONS = ("clown fish", "class clown fish", "pathetic fallacy", "village idiot pub", "idiot proof", "worthless check", "white trash bag", "trash can", "trash bin", "pond scum", "sore loser rule")
-#: A stem has so many letters; an entry needs SUPPORT toxic documents and WEIGHT; at most MOST candidates reach the driver.
+#: A stem has so many letters; an entry needs SUPPORT toxic documents and WEIGHT.
 STEMS = range(4, 9)
-SUPPORT, WEIGHT, MOST = 3, 2.5, 20_000
+SUPPORT, WEIGHT = 3, 2.5
 #: Documents, share of the toxic documents and weight that make an entry stay whatever else explains its documents.
 FREQUENT = (6, 0.025, 3.5)
 #: The curve is fitted on at most so many labelled rows, those with the least hash.
@@ -119,6 +119,17 @@ def _pruned(found: list[tuple[str, int, int, float]]) -> dict[str, float]:
     return kept
 
 
+def _distinct_stems(top: DataFrame) -> DataFrame:
+    """The rows that `_pruned` keeps. All that stand for an entry share its shortest stem, so each such group is pruned for itself."""
+
+    def work(t: pa.Table) -> pa.Table:
+        kept = _pruned([tuple(r.values()) for r in t.select(["entry", "toxic", "clean", "w"]).to_pylist()])
+        return t.select(["entry", "toxic", "clean", "w"]).filter(pa.array([e in kept for e in t["entry"].to_pylist()], pa.bool_()))
+
+    rows = top.select("entry", "toxic", "clean", "w").withColumn("root", F.substring(F.rtrim("entry"), 1, 1 + STEMS.start))
+    return rows.groupBy("root").applyInArrow(work, "entry string, toxic long, clean long, w double")
+
+
 def _needed(weights: dict[str, float], matched: list[list[str]], support: int) -> dict[str, float]:
     """Of the entries those that explain documents no better entry explains: a greedy cover of the toxic documents.
 
@@ -218,10 +229,10 @@ def learn(labelled: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, support
         return model
     ratio = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     top = counts.where((F.col("entry") != " ") & (F.col("toxic") >= support)).withColumn("w", ratio).where(F.col("w") >= least_weight)
-    found = [tuple(r) for r in top.orderBy(F.desc(F.col("w") * F.col("toxic")), "entry").limit(MOST).collect()]
-    model["weights"] = _pruned(found)
+    found = [tuple(r) for r in _distinct_stems(top).collect()]
+    model["weights"] = {e: w for e, _, _, w in found}
     some = labelled.withColumn("_h", F.xxhash64("text")).orderBy("_h").limit(FIT_ROWS).select("text", "toxic") if labelled.count() > FIT_ROWS else labelled
-    first = labelled.sparkSession.sparkContext.broadcast(model)  # at most MOST entries
+    first = labelled.sparkSession.sparkContext.broadcast(model)  # what passes support, weight and pruning
 
     def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _matcher(first.value)

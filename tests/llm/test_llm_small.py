@@ -234,6 +234,24 @@ def test_toxicity_learns(spark):
     assert toxicity.score(frame(spark), model).count() == len(EDGE)
 
 
+def test_rare_entries_are_not_crowded_out(spark):
+    """Copies of a long toxic text add more than 20,000 entries of more weight than a rarer word."""
+    rng = np.random.default_rng(8)
+    long = " ".join("".join(w) for w in rng.choice(list("bcdfgklmnprtuvz"), (5000, 9)))
+    rows = [(long, 1)] * 60 + [(f"a vexoqua day {i}", 1) for i in range(5)] + [(f"a calm day {i}", 0) for i in range(200)]
+    model = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int").repartition(4))
+    assert any(" vexoqua ".startswith(e) for e in model["weights"])
+    docs = spark.createDataFrame([(1, "a vexoqua day"), (2, "a calm day")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_matches"] for r in toxicity.score(docs, model).collect()}
+    assert got == {1: 1, 2: 0}
+
+
+def test_pruning_by_stem_is_pruning_of_all(spark):
+    rows = [(" idio", 9, 0, 3.0), (" idiot", 8, 0, 3.5), (" idiot ", 8, 0, 5.0), (" idiotic ", 3, 0, 4.0), (" fop ", 3, 0, 3.0), (" fopp", 3, 0, 3.0), (" fopp ", 3, 0, 3.0), (" idle", 4, 0, 2.5)]
+    df = spark.createDataFrame(rows, "entry string, toxic long, clean long, w double").repartition(4)
+    assert {r["entry"]: r["w"] for r in toxicity._distinct_stems(df).collect()} == toxicity._pruned(rows)
+
+
 # 4 ---
 
 
