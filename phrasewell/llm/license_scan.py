@@ -117,7 +117,7 @@ def rules() -> list[tuple[str, str, str, str, int, float, bool]]:
         for kind, text, priority, confidence in TEMPLATES:
             gate = "spdx license identifier" if kind == "spdx" else keyword
             if kind == "field":
-                gate = " license " if " license " not in keyword else keyword
+                gate = " licen"  # in both spellings
             out.append((f"{label}:{kind}", label, gate, text.format(name=f"(?:{name})", id=f"(?:{ids})"), priority, confidence, False))
     out += [(f"{label}:{kind}", label, *rest, False) for label, kind, *rest in SINGLE]
     return out

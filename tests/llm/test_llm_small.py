@@ -112,6 +112,12 @@ def test_license_scan(spark):
     assert sorted(r["n_words"] for r in out.collect()) == sorted(len(alnum(r[1])) for r in EDGE)
 
 
+def test_license_fields_in_both_spellings(spark):
+    rows = [(1, "Licence: MIT"), (2, "The licence is Apache 2.0."), (3, "License: MIT"), (4, "licence")]
+    got = {r["doc_id"]: (r["labels"], r["score"], r["n_base"]) for r in license_scan.digest(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == {1: ("mit", 0.8, 0), 2: ("apache-2.0", 0.8, 0), 3: ("mit", 0.8, 0), 4: ("", 0.0, 0)}
+
+
 # 2 ---
 
 
