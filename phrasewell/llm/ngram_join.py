@@ -7,14 +7,15 @@ The global order has the n-grams that many classes share last, by count, and all
 passes: what chunks hold more than once, then what many classes have in their prefixes. Any fixed order gives right results; this one
 keeps common passages out of the prefixes. The order is cut into fragments:
 
-1. Each class sends the first n - ceil(3n/4) + 1 n-grams of its set (two linked classes share one of them) to their fragments. Each
-   fragment counts, for the pairs of classes that meet in it, the n-grams they share there; the counts are summed per pair, and
-   pairs that can't reach the threshold are dropped. Where more than two classes hold an n-gram, each is first paired with one of
-   them only, the hub.
-2. Pairs are verified: whole sets, again cut into fragments, give partial overlaps that are summed per pair. First, in HUB_ROUNDS
-   rounds, each class with the hub it shares most n-grams with, as long as they are in different components.
-3. Then all other pairs that meet in an n-gram, of more than two classes too (made in tiles there), in so far as their components
-   still differ: a link inside a component changes nothing, so no link that matters is left out.
+1. Each class sends the first n - ceil(3n/4) + 1 n-grams of its set (two linked classes share one of them) to their fragments. A
+   fragment joins the classes that meet in it and may link by their sizes, and sends on a forest of such edges, never pairs.
+2. What these edges connect is a family; two linked classes are in one. A family's whole sets come to one place. It counts the
+   overlaps of pairs fragment by fragment, sums them per pair and sends on a tree of each component of links, so that rows grow
+   with a family's classes and not with its pairs.
+3. A family of more than TILE classes or GRAMS n-grams is cut into tiles by size and hash: each tile is counted for itself, then against
+   the tiles' best linked members, then what is outside the family's largest component against the tiles it may link with.
+   A link inside a component changes nothing, so no link that matters is left out. Work grows with the square of a family only as
+   far as its classes don't link.
 
 Null or empty texts have an empty set and link with nothing. One to four words are one shingle. A null doc_id never names a component
 but where all its members are null. Rows with one doc_id and different texts are documents of their own. Extra columns are ignored.
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phrasewell.llm._chunks import blob, bucket_count, chunked, cut, release, texts_of
@@ -37,16 +38,16 @@ from phrasewell.llm._shared import materialize, table
 from phrasewell.llm._vec import gram_hashes, mix64, word_hashes
 
 GRAM = 5
-#: Rounds in which classes are verified against hubs, before all pairs that are left.
-HUB_ROUNDS = 2
 #: At most so many common n-grams are ordered by count (8 bytes each); they are seen in at least LEAST_SEEN classes of chunks that hold them twice.
 COMMON, LEAST_SEEN = 1 << 18, 2
 #: What so many classes have in their first prefixes is common, too.
 WIDE = 6
-FRAGMENTS = 4
-TILE = 1000
-#: A family of at most so many classes is counted in one place (a matrix of 16 MB).
-FAMILY = 2000
+#: A place counts at most so many classes and n-grams (8 bytes each) against as many; larger families are cut into tiles.
+TILE, GRAMS = 1024, 1_500_000
+#: Hubs of a tiled family.
+HUBS = 256
+#: An n-gram of so few pairs of holders is counted pair by pair; so many such pairs, and numbers of a fragment's matrices, are held at once.
+FEW, PAIRS, CELLS = 256, 2_000_000, 4_000_000
 
 
 def shingle_sets(texts: list[bytes | None], gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -177,31 +178,29 @@ def _prefixes(chunks: DataFrame, reps: DataFrame, common: tuple[np.ndarray, np.n
     return chunks.groupBy("_chunk").cogroup(reps.groupBy("_chunk")).applyInArrow(work, "bucket int, part long, keys binary, low binary, n binary")
 
 
-MET = "kind string, a long, b long, na long, nb long, c long"
+def _forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest node that links (u, v) lead to."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[u], label[v])
+        old = label.copy()
+        np.minimum.at(label, u, low)
+        np.minimum.at(label, v, low)
+        label = label[label]
+        if (label == old).all():
+            return label
 
 
-def _met(kind: str, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, c: np.ndarray) -> pa.Table:
-    cols = [pa.array(np.asarray(x, np.int64)) for x in (a, b, na, nb, c)]
-    return pa.table([pa.array([kind] * len(a), pa.string()), *cols], names=[k.split()[0] for k in MET.split(", ")])
-
-
-def _counted(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct pairs of possible sizes, the smaller row first, with the number of times each occurs."""
-    ok = 4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)
-    a, b, na, nb = a[ok], b[ok], na[ok], nb[ok]
-    swap = a > b
-    a, b, na, nb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
-    order = np.lexsort((b, a))
-    a, b, na, nb = a[order], b[order], na[order], nb[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    head = np.flatnonzero(new)
-    return a[head], b[head], na[head], nb[head], np.diff(np.append(head, len(a)))
+def _stars(row: np.ndarray, label: np.ndarray) -> pa.Table:
+    """(u, v): each row that isn't the root of its component, with that root."""
+    away = np.flatnonzero(label != np.arange(len(row)))
+    return pa.table({"u": pa.array(row[label[away]], pa.int64()), "v": pa.array(row[away], pa.int64())})
 
 
 def _meet(prefixes: DataFrame) -> DataFrame:
-    """What the classes that hold an n-gram give, by kind. pair: the two of an n-gram that two hold; hub: the least and each other of more
-    than two, both with the number of n-grams they meet in within a fragment; big: a (n-gram) and b (class) of more than two, c of them.
+    """(u, v): edges that join all classes of a fragment that meet in a prefix n-gram and may link by their sizes, a forest per fragment.
+
+    Of the classes that hold an n-gram, in order of size, neighbours of possible sizes are joined; all pairs of possible sizes lie in one such run.
     """
 
     def work(t: pa.Table) -> pa.Table:
@@ -209,151 +208,212 @@ def _meet(prefixes: DataFrame) -> DataFrame:
         low = [np.frombuffer(x, np.uint32) for x in t["low"].to_pylist()]
         row = np.concatenate([(p << 32) | x.astype(np.int64) for p, x in zip(t["part"].to_pylist(), low, strict=True)])
         n = np.concatenate([np.frombuffer(x, np.uint32) for x in t["n"].to_pylist()]).astype(np.int64)
-        order = np.lexsort((row, key))
+        order = np.lexsort((n, key))
         key, row, n = key[order], row[order], n[order]
-        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.append(head, len(key)))
-        lead, width = np.repeat(head, size), np.repeat(size, size)
-        at = np.arange(len(key))
-        two, hub, big = np.flatnonzero((width == 2) & (at > lead)), np.flatnonzero((width > 2) & (at > lead)), np.flatnonzero(width > 2)
-        parts = [_met(kind, *_counted(row[lead[i]], row[i], n[lead[i]], n[i])) for kind, i in (("pair", two), ("hub", hub))]
-        return pa.concat_tables([*parts, _met("big", key[big].view(np.int64), row[big], n[big], n[big], width[big])])
+        at = np.flatnonzero((key[1:] == key[:-1]) & (4 * n[:-1] >= 3 * n[1:]))
+        node, ends = np.unique(np.concatenate((row[at], row[at + 1])), return_inverse=True)
+        return _stars(node, _forest(ends[: len(at)], ends[len(at) :], len(node)))
 
-    return prefixes.groupBy("bucket").applyInArrow(work, MET)
+    return prefixes.groupBy("bucket").applyInArrow(work, "u long, v long")
 
 
-def _segments(chunks: DataFrame, wanted: DataFrame, gram: int, fragments: int) -> DataFrame:
-    """(row, frag, seg): the set of each wanted row, cut into fragments of the n-gram order by hash."""
+def _sets(chunks: DataFrame, members: DataFrame, gram: int) -> DataFrame:
+    """(place, fam, row, n, grams): the sets of members(_chunk, _row, place, fam)."""
 
-    def work(t: pa.Table, r: pa.Table) -> pa.Table:
+    def work(t: pa.Table, m: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        if t.num_rows and r.num_rows:
-            t = t.filter(pc.is_in(t["_row"], r["_row"].combine_chunks()))
+        if t.num_rows and m.num_rows:
+            where = {r: (p, f) for r, p, f in zip(m["_row"].to_pylist(), m["place"].to_pylist(), m["fam"].to_pylist(), strict=True)}
+            t = t.filter(pc.is_in(t["_row"], m["_row"].combine_chunks()))
             h, ends = shingle_sets(texts_of(t["text"]), gram)
-            out = [(row, f, blob(h[lo:hi][s])) for row, lo, hi in zip(t["_row"].to_pylist(), ends[:-1], ends[1:], strict=True) for f, s in cut(h[lo:hi], fragments)]
-        return pa.table({"row": pa.array([x[0] for x in out], pa.int64()), "frag": pa.array([x[1] for x in out], pa.int32()), "seg": pa.array([x[2] for x in out], pa.binary())})
-
-    return chunks.groupBy("_chunk").cogroup(wanted.groupBy("_chunk")).applyInArrow(work, "row long, frag int, seg binary")
-
-
-def _linked(chunks: DataFrame, pairs: DataFrame, rows: DataFrame, gram: int) -> DataFrame:
-    """Those of pairs(a, b, na, nb) that reach the threshold, as (u, v)."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
-    wanted = rows.select("_row", F.col("chunk").alias("_chunk")).join(ends, "_row")
-    segs = materialize(_segments(chunks, wanted, gram, FRAGMENTS))
-    one, two = (segs.select(F.col("row").alias(x), "frag", F.col("seg").alias(f"s{x}")) for x in "ab")
-    met = pairs.join(one, "a").join(two, ["b", "frag"])
-
-    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            size = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(x["sa"].to_pylist(), x["sb"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([x["a"], x["b"], x["na"], x["nb"], pa.array(size, pa.int64())], ["a", "b", "na", "nb", "i"])
-
-    parts = met.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(overlap, "a long, b long, na long, nb long, i long")
-    whole = parts.groupBy("a", "b").agg(F.sum("i").alias("i"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return whole.where(7 * F.col("i") >= 3 * (F.col("na") + F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-
-def _pairs_within(key: np.ndarray, row: np.ndarray, n: np.ndarray, comp: np.ndarray) -> pa.Table:
-    """All pairs of different components within each key, with counts."""
-    order = np.lexsort((row, key))
-    key, row, n, comp = key[order], row[order], n[order], comp[order]
-    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
-    size = np.diff(np.append(head, len(key)))
-    mixed = np.repeat(np.minimum.reduceat(comp, head) != np.maximum.reduceat(comp, head), size) if len(key) else np.empty(0, bool)
-    at, last = np.flatnonzero(mixed), np.repeat(head + size - 1, size)
-    left, right, step = [], [], 1
-    while len(at := at[at + step <= last[at]]):
-        apart = at[comp[at] != comp[at + step]]
-        left.append(apart)
-        right.append(apart + step)
-        step += 1
-    i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-    return _met("pair", *_counted(row[i], row[j], n[i], n[j]))
-
-
-def _within_families(rows: DataFrame, buckets: int) -> DataFrame:
-    """Pairs of different components within each family (fam), with all n-grams they share counted in one place."""
+            out = [(*where[row], row, int(hi - lo), blob(h[lo:hi])) for row, lo, hi in zip(t["_row"].to_pylist(), ends[:-1], ends[1:], strict=True)]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table({k.split()[0]: pa.array([x[i] for x in out], kind) for i, (k, kind) in enumerate(zip(SETS.split(", "), kinds, strict=True))})
+
+    return chunks.groupBy("_chunk").cogroup(members.groupBy("_chunk")).applyInArrow(work, SETS)
+
+
+SETS = "place long, fam long, row long, n long, grams binary"
+
+
+def _holders(sets: list[bytes], members: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The n-grams of some members, ascending; where each begins, how many hold it, and all holders, by n-gram."""
+    parts = [np.frombuffer(sets[i], np.uint64) for i in members]
+    h, who = np.concatenate(parts), np.repeat(np.arange(len(members)), [len(x) for x in parts])
+    order = np.argsort(h, kind="stable")
+    h, who = h[order], who[order]
+    head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    return h[head], head, np.diff(np.append(head, len(h))), who
+
+
+def _overlaps(sets: list[bytes], left: np.ndarray, right: np.ndarray | None = None) -> np.ndarray:
+    """How many n-grams each of the left members shares with each of the right ones (or of the left): partial counts, fragment by
+    fragment of the order of the n-grams that may count, summed per pair. Of n-grams of few holders pairs are counted one by one, of others by products.
+    """
+    ga, sa, wa, ia = _holders(sets, left)
+    if right is None:
+        gb, sb, wb, ib = ga, sa, wa, ia
+        ca = cb = np.flatnonzero(wa > 1)
+    else:
+        gb, sb, wb, ib = _holders(sets, right)
+        _, ca, cb = np.intersect1d(ga, gb, assume_unique=True, return_indices=True)
+    rows, cols = len(left), len(left) if right is None else len(right)
+    total = np.zeros((rows, cols), np.int32)
+    sa, wa, sb, wb = sa[ca], wa[ca], sb[cb], wb[cb]
+    few = wa * wb <= FEW if rows * cols > FEW else np.zeros(len(wa), bool)
+    thin = np.flatnonzero(few)
+    for part in np.split(thin, np.searchsorted(np.cumsum((wa * wb)[thin]), np.arange(PAIRS, int((wa * wb)[thin].sum()), PAIRS))) if len(thin) else ():
+        size = (wa * wb)[part]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        across = np.repeat(wb[part], size)
+        i, j = ia[np.repeat(sa[part], size) + at // across], ib[np.repeat(sb[part], size) + at % across]
+        total += np.bincount(i * cols + j, minlength=rows * cols).reshape(rows, cols).astype(np.int32)
+    wide = np.flatnonzero(~few)
+    step = max(256, CELLS // (rows + cols))
+    for lo in range(0, len(wide), step):
+        part = wide[lo : lo + step]
+
+        def held(starts: np.ndarray, widths: np.ndarray, who: np.ndarray, n: int) -> np.ndarray:
+            m = np.zeros((n, len(part)), np.float32)
+            at = np.arange(widths.sum()) - np.repeat(np.cumsum(widths) - widths, widths)
+            m[who[np.repeat(starts, widths) + at], np.repeat(np.arange(len(part)), widths)] = 1
+            return m
+
+        one = held(sa[part], wa[part], ia, rows)
+        two = one if right is None else held(sb[part], wb[part], ib, cols)
+        total += (one @ two.T).astype(np.int32)
+    return total
+
+
+def _links(sets: list[bytes], n: np.ndarray, left: np.ndarray, right: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of left and right members that reach the threshold."""
+    m, o = n[left], n[left if right is None else right]
+    i, j = np.nonzero(7 * _overlaps(sets, left, right).astype(np.int64) >= 3 * (m[:, None] + o[None, :]))
+    if right is None:
+        i, j = i[i < j], j[i < j]
+    return left[i], (left if right is None else right)[j]
+
+
+def _whole_families(sets: DataFrame) -> DataFrame:
+    """(u, v) of each family that lies in one place."""
 
     def work(t: pa.Table) -> pa.Table:
-        key, row, n, comp, fam = (t[c].to_numpy() for c in ("key", "row", "n", "comp", "fam"))
-        order = np.argsort(fam, kind="stable")
-        parts = []
-        for g in np.split(order, np.flatnonzero(np.diff(fam[order])) + 1):
-            ids, first, at = np.unique(row[g], return_index=True, return_inverse=True)
-            label, size = comp[g][first], n[g][first]
-            if not len(g) or label.min() == label.max():
-                continue
-            _, col = np.unique(key[g], return_inverse=True)
-            total = np.zeros((len(ids), len(ids)), np.float32)
-            for lo in range(0, int(col.max()) + 1, TILE):  # an incidence matrix of TILE n-grams at a time
-                some = (col >= lo) & (col < lo + TILE)
-                hold = np.zeros((len(ids), TILE), np.float32)
-                hold[at[some], col[some] - lo] = 1
-                total += hold @ hold.T
-            i, j = np.nonzero(np.triu(total, 1) * (label[:, None] != label[None, :]))
-            ok = 4 * np.minimum(size[i], size[j]) >= 3 * np.maximum(size[i], size[j])
-            i, j = i[ok], j[ok]
-            parts.append(_met("pair", ids[i], ids[j], size[i], size[j], total[i, j]))
-        return pa.concat_tables([*parts, _met("pair", *[np.empty(0, np.int64)] * 5)])
-
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("fam"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(work, MET)
-
-
-def _across(big: DataFrame, comps: DataFrame, families: DataFrame, buckets: int) -> DataFrame:
-    """Pairs (with counts) of classes in different components that hold one n-gram of more than two classes.
-
-    Classes of one family (joined by hubs they share much with, verified or not) are counted per family, if it has at most FAMILY
-    classes; all other pairs per n-gram, long groups of those tile by tile. A component lies within a family.
+        fam, row, n = (t[c].to_numpy() for c in ("fam", "row", "n"))
+        order = np.lexsort((row, fam))
+        sets = t["grams"].to_pylist()
+        found = [_links(sets, n, g) for g in np.split(order, np.flatnonzero(np.diff(fam[order])) + 1)]
+        u, v = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        back = np.argsort(order)
+        return _stars(row[order], _forest(back[u], back[v], len(row)))
+
+    return sets.groupBy("place").applyInArrow(work, "u long, v long")
+
+
+def _tiled_families(sets: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(u, v) of families of many tiles, sets(fam, band, tile, row, n, grams) with their tiles(fam, band, tiles).
+
+    Each tile is counted for itself and names the member that links with most others. All tiles are counted with
+    those hubs. What then is outside the family's largest component is counted with all tiles of bands that its sizes may link with.
+    A component inside a family stays one, so pairs inside it need no count.
     """
-    sizes = families.groupBy("comp").agg(F.count("*").alias("members")).withColumnRenamed("comp", "fam")
-    members = families.withColumnsRenamed({"node": "row", "comp": "fam"}).join(sizes, "fam")
-    known = members.join(comps.withColumnRenamed("node", "row"), "row", "left")
-    named = big.join(known, "row", "left").withColumns({"comp": F.coalesce("comp", "row"), "fam": F.coalesce("fam", "row"), "members": F.coalesce("members", F.lit(1))})
-    named = materialize(named.select("key", "row", "n", "c", "comp", "fam", "members"))
-    inside = _within_families(named.where((F.col("members") > 1) & (F.col("members") <= FAMILY)).select("key", "row", "n", "comp", "fam"), buckets)
-    named = named.select("key", "row", "n", "c", F.when(F.col("members") <= FAMILY, F.col("fam")).otherwise(F.col("comp")).alias("comp"))
-
-    def short(t: pa.Table) -> pa.Table:
-        return _pairs_within(*(t[c].to_numpy() for c in ("key", "row", "n", "comp")))
-
-    out = named.where(F.col("c") <= TILE).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(short, MET)
-    named = named.where(F.col("c") > TILE)
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    named = named.join(mixed, "key").withColumn("tiles", F.ceil(F.col("c") / TILE).cast("int"))
-    named = named.withColumn("tile", F.pmod(F.xxhash64("row"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    named = named.select("key", "row", "n", "comp", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile")
-    named = named.withColumn("bucket", F.pmod(F.xxhash64("key", "t1", "t2"), F.lit(buckets)).cast("int"))
-
-    def tiled(t: pa.Table) -> pa.Table:
-        key, row, n, comp, t1, t2, tile = (t[c].to_numpy().astype(np.int64) for c in ("key", "row", "n", "comp", "t1", "t2", "tile"))
-        order = np.lexsort((t2, t1, key))
-        edges = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(t1[order]) != 0) | (np.diff(t2[order]) != 0)) + 1
-        parts = []
-        for g in np.split(order, edges):
-            one, two = g[tile[g] == t1[g]], g[tile[g] == t2[g]]
-            i, j = np.nonzero(comp[one][:, None] != comp[two][None, :])
-            if t1[g[0]] == t2[g[0]]:
-                i, j = i[i < j], j[i < j]
-            parts.append((one[i], two[j]))
-        left, right = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in (0, 1))
-        return _met("pair", *_counted(row[left], row[right], n[left], n[right]))
-
-    return out.unionByName(named.groupBy("bucket").applyInArrow(tiled, MET)).unionByName(inside).select("a", "b", "na", "nb", "c")
-
-
-def _summed(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
-
-
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose components differ."""
-    one, two = (comps.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
-    out = pairs.join(one, "a", "left").join(two, "b", "left")
-    return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
-
-
-def _classified(docs: DataFrame, gram: int = GRAM, hub_rounds: int = HUB_ROUNDS, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
+    key = ["fam", "band", "tile"]
+
+    def alone(t: pa.Table) -> pa.Table:
+        row, n = t["row"].to_numpy(), t["n"].to_numpy()
+        order = np.argsort(row, kind="stable")
+        u, v = _links(t["grams"].to_pylist(), n, order)
+        back = np.argsort(order)
+        tree = _stars(row[order], _forest(back[u], back[v], len(row)))
+        degree = np.bincount(np.concatenate((u, v)), minlength=len(row))
+        best = int(np.argmax(degree))
+        hub = pa.table({"u": pa.array([int(row[best])], pa.int64()), "v": pa.array([int(row[best])], pa.int64())})
+        degrees = pa.array([None] * tree.num_rows + [int(degree[best])], pa.int64())
+        return pa.concat_tables([tree, hub]).append_column("degree", degrees)
+
+    def both(t: pa.Table, m: pa.Table) -> pa.Table:
+        """t: a tile's sets; m: (row, comp) of its members, and others with their sets, to be counted against them."""
+        told = m.filter(pc.is_null(m["grams"]))
+        named = dict(zip(told["row"].to_pylist(), told["comp"].to_pylist(), strict=True))
+        other = m.filter(pc.is_valid(m["grams"]))
+        if not t.num_rows or not other.num_rows:
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        row = np.concatenate((t["row"].to_numpy(), other["row"].to_numpy()))
+        n = np.concatenate((t["n"].to_numpy(), other["n"].to_numpy()))
+        comp = np.concatenate((np.asarray([named[r] for r in t["row"].to_pylist()], np.int64), other["comp"].to_numpy()))
+        at = np.arange(len(row))
+        i, j = _links(t["grams"].to_pylist() + other["grams"].to_pylist(), n, at[: t.num_rows], at[t.num_rows :])
+        _, first, label = np.unique(comp, return_index=True, return_inverse=True)
+        tree = _forest(label[i], label[j], len(first))
+        away = np.flatnonzero(tree != np.arange(len(tree)))
+        return pa.table({"u": pa.array(row[first[tree[away]]], pa.int64()), "v": pa.array(row[first[away]], pa.int64())})
+
+    ids = sets.select(*key, "row", "n")
+    none = F.lit(None).cast("binary").alias("grams")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        comps = components(links).withColumnRenamed("node", "row")
+        return materialize(ids.join(comps, "row", "left").withColumn("comp", F.coalesce("comp", "row")))
+
+    found = materialize(sets.groupBy(*key).applyInArrow(alone, "u long, v long, degree long"))
+    links = found.where("degree is null").select("u", "v")
+    known = labelled(links)
+    # Hubs are those of the tiles' best linked members that fit a place; which they are decides nothing but the work that is left.
+    order = Window.partitionBy("fam").orderBy(F.desc("degree"), "row")
+    hubs = known.join(found.where("degree is not null").select(F.col("u").alias("row"), "degree"), "row").withColumns({"_k": F.row_number().over(order), "_g": F.sum("n").over(order)})
+    hubs = materialize(hubs.where((F.col("_k") <= HUBS) & ((F.col("_k") == 1) | (F.col("_g") <= GRAMS))).select("row", "comp").join(sets, "row").select("fam", "row", "n", "comp", "grams"))
+    spread = tiles.select("fam", "band", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    met = known.select(*key, "row", "n", "comp", none).unionByName(hubs.join(spread, "fam").select(*key, "row", "n", "comp", "grams"))
+    links = links.unionByName(materialize(sets.groupBy(*key).cogroup(met.groupBy(*key)).applyInArrow(both, "u long, v long")))
+    known = labelled(links)
+    main = known.groupBy("fam", "comp").count().groupBy("fam").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+    rest = known.join(main, "fam").where("comp <> main").select("row", "comp")
+    rest = materialize(sets.join(rest, "row"))
+    if not rest.limit(1).count():
+        return links
+    parts = rest.groupBy("fam", F.col("band").alias("from_band")).agg(F.count("*").alias("members"), F.sum("n").alias("grams"))
+    parts = materialize(parts.select("fam", "from_band", _tiles_of(F.col("members"), F.col("grams")).alias("parts")))
+    near = F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1))))
+    keys = [*key, "from_band", "part"]
+
+    def told(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("from_band", near).join(parts, ["fam", "from_band"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    asked = rest.withColumnRenamed("band", "from_band").join(parts, ["fam", "from_band"]).withColumn("part", F.pmod(F.xxhash64("row", F.lit(1)), "parts").cast("int"))
+    asked = asked.withColumn("band", F.explode(F.array(*(F.col("from_band") + k for k in (-1, 0, 1))))).drop("tile").join(spread, ["fam", "band"])
+    met = told(known).select(*keys, "row", "n", "comp", none).unionByName(asked.select(*keys, "row", "n", "comp", "grams"))
+    return links.unionByName(materialize(told(sets).groupBy(*keys).cogroup(met.groupBy(*keys)).applyInArrow(both, "u long, v long")))
+
+
+def _tiles_of(members, grams):
+    """How many tiles hold so many members and n-grams: some less than TILE and GRAMS each, as they are dealt by hash."""
+    return F.greatest(F.ceil(members / (0.8 * TILE)), F.ceil(grams / (0.8 * GRAMS))).cast("int")
+
+
+def _connected(chunks: DataFrame, classes: DataFrame, edges: DataFrame, gram: int) -> DataFrame:
+    """(node, comp) of the classes that link: every family, which edges join, is counted whole."""
+    families = components(edges).select(F.col("node").alias("rep"), F.col("comp").alias("fam"))
+    members = materialize(families.join(classes.select("rep", "chunk", "n"), "rep"))
+    sizes = members.groupBy("fam").agg(F.count("*").alias("members"), F.sum("n").alias("grams"))
+    sizes = materialize(sizes.withColumn("whole", (F.col("members") <= TILE) & (F.col("grams") <= GRAMS)))
+    total = sizes.where("whole").agg(F.sum("grams")).collect()[0][0] or 0
+    places = max(64, -(-total // GRAMS))
+    picked = members.join(sizes, "fam").withColumnsRenamed({"rep": "_row", "chunk": "_chunk"})
+    small = picked.where("whole").select("_chunk", "_row", F.pmod(F.xxhash64("fam"), F.lit(places)).alias("place"), "fam")
+    links = materialize(_whole_families(_sets(chunks, small, gram)))
+    comps = links.select(F.col("v").alias("node"), F.col("u").alias("comp")).unionByName(links.select(F.col("u").alias("node"), F.col("u").alias("comp")).distinct())
+    if not sizes.where("not whole").limit(1).count():
+        return comps
+    # Sizes that may link are at most one band apart.
+    large = picked.where("not whole").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.35))).cast("int"))
+    tiles = materialize(large.groupBy("fam", "band").agg(F.count("*").alias("members"), F.sum("n").alias("grams")).select("fam", "band", _tiles_of(F.col("members"), F.col("grams")).alias("tiles")))
+    large = large.join(tiles, ["fam", "band"]).withColumn("tile", F.pmod(F.xxhash64("_row"), "tiles").cast("int"))
+    place = F.shiftleft(F.col("band").cast("long"), 32) + F.col("tile")
+    sets = materialize(_sets(chunks, large.select("_chunk", "_row", place.alias("place"), "fam"), gram))
+    sets = sets.withColumns({"band": F.shiftright("place", 32).cast("int"), "tile": F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")}).drop("place")
+    return comps.unionByName(components(_tiled_families(sets, tiles)))
+
+
+def _classified(docs: DataFrame, gram: int = GRAM, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
     """The chunks of docs, and for each of their rows _row, _chunk, doc_id, n_shingles, component_id and kept (one row of each component)."""
     chunks = chunked(docs.drop("_chunk", "_row"))
     size = (chunks.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0) // 7
@@ -367,29 +427,9 @@ def _classified(docs: DataFrame, gram: int = GRAM, hub_rounds: int = HUB_ROUNDS,
     reps = classes.select(F.col("rep").alias("_row"), F.col("chunk").alias("_chunk"))
     order = _wide(_prefixes(chunks, reps, order, buckets, gram), order, buckets, common)
     release(docs)
-    met = materialize(_meet(_prefixes(chunks, reps, order, buckets, gram)))
+    edges = materialize(_meet(_prefixes(chunks, reps, order, buckets, gram)))
     release(docs)
-    big = met.where("kind = 'big'").select(F.col("a").alias("key"), F.col("b").alias("row"), F.col("na").alias("n"), "c")
-    # Worth a look first: what shares a fifth of its prefix with a hub.
-    hubs = _summed(met.where("kind = 'hub'").select("a", "b", "na", "nb", "c")).where(5 * F.col("c") >= F.col("nb") / 4)
-    hubs = materialize(hubs)
-    none = docs.sparkSession.createDataFrame([], "a long, b long")
-    families = materialize(components(hubs.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    done, links, comps = none, none.toDF("u", "v"), none.toDF("node", "comp")
-    for _ in range(hub_rounds):
-        left = _apart(hubs, comps).join(done, ["a", "b"], "left_anti")
-        best = F.max_by(F.struct("a", "na", "nb"), F.struct("c", -F.col("a")))
-        pairs = materialize(left.groupBy("b").agg(best.alias("h")).select("h.a", "b", "h.na", "h.nb"))
-        links = links.unionByName(materialize(_linked(chunks, pairs, rows, gram)))
-        done = done.unionByName(pairs.select("a", "b"))
-        comps = materialize(components(links))
-    parts = met.where("kind = 'pair'").select("a", "b", "na", "nb", "c").unionByName(_across(big, comps, families, buckets))
-    # Of n-grams up to the smaller of the two prefixes' ends all shared ones are counted; beyond it is at most a suffix.
-    rest = lambda n: F.ceil(F.col(n) * 3 / 4) - 1
-    left = _summed(parts).where(7 * (F.col("c") + F.greatest(rest("na"), rest("nb"))) >= 3 * (F.col("na") + F.col("nb")))
-    left = materialize(_apart(left, comps).join(done, ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
-    if left.limit(1).count():
-        comps = components(links.unionByName(materialize(_linked(chunks, left, rows, gram))))
+    comps = _connected(chunks, classes, edges, gram)
     named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     first = F.min_by("rep", F.struct(F.col("least").isNull(), "least", "rep"))
     named = named.join(named.groupBy("comp").agg(F.min("least").alias("component_id"), first.alias("stays")), "comp").select("sig", "n", "component_id", "stays")
@@ -405,9 +445,9 @@ def _classified(docs: DataFrame, gram: int = GRAM, hub_rounds: int = HUB_ROUNDS,
     )
 
 
-def join(docs: DataFrame, gram: int = GRAM, hub_rounds: int = HUB_ROUNDS, common: int = COMMON) -> DataFrame:
+def join(docs: DataFrame, gram: int = GRAM, common: int = COMMON) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id and kept, true for one row of each component."""
-    return _classified(docs.select("doc_id", "text"), gram, hub_rounds, common)[1].drop("_row", "_chunk")
+    return _classified(docs.select("doc_id", "text"), gram, common)[1].drop("_row", "_chunk")
 
 
 def representatives(docs: DataFrame, gram: int = GRAM) -> DataFrame:

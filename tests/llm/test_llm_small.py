@@ -320,10 +320,13 @@ def brute_join(docs):
     return sorted(((d[0], len(sets[i]), (min(least[find(i)]) if least[find(i)] else None) if sets[i] else d[0]) for i, d in enumerate(docs)), key=repr)
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_ngram_join(spark, rounds):
+@pytest.mark.parametrize(("tile", "grams", "few"), [(1024, 1_500_000, 256), (4, 1_500_000, 256), (16, 900, 4)])
+def test_ngram_join(spark, monkeypatch, tile, grams, few):
     import random
 
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "GRAMS", grams)
+    monkeypatch.setattr(ngram_join, "FEW", few)
     r = random.Random(5)
     base = [f"v{r.randrange(4000)}" for _ in range(90)]
     rows = [x for x in EDGE]
@@ -334,7 +337,11 @@ def test_ngram_join(spark, rounds):
         rows.append((100 + i, " ".join(w), "en", "a", 1))
     for i in range(40):  # a passage that many share
         rows.append((300 + i, " ".join([f"u{r.randrange(9999)}" for _ in range(r.randrange(10, 60))] + base[:30]), "en", "a", 1))
-    got = sorted((tuple(x) for x in ngram_join.join(frame(spark, rows), hub_rounds=rounds).select("doc_id", "n_shingles", "component_id").collect()), key=repr)
+    w = [f"z{r.randrange(4000)}" for _ in range(120)]
+    for i in range(30):  # a chain: each links with its neighbours and not with the ends
+        rows.append((500 - i, " ".join(w), "en", "a", 1))
+        w = w[6:] + [f"y{r.randrange(9999)}" for _ in range(6 if i != 14 else 40)]
+    got = sorted((tuple(x) for x in ngram_join.join(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()), key=repr)
     assert got == brute_join([x[:2] for x in rows])
 
 
@@ -344,17 +351,17 @@ def test_representatives(spark):
     assert ngram_join.representatives(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("most", [0, 3, 2000])
-def test_tiles_and_families(spark, monkeypatch, most):
-    monkeypatch.setattr(ngram_join, "TILE", 4)
-    monkeypatch.setattr(ngram_join, "FAMILY", most)
-    families = spark.createDataFrame([*((r, 0) for r in range(8) if r % 2 == 0 or r < 6), (8, 8), (10, 8), (7, 7), (9, 7)], "node long, comp long")
-    big = spark.createDataFrame([(1, r, 10, 11) for r in range(11)] + [(2, r, 10, 3) for r in range(3)], "key long, row long, n long, c long")
-    comp = {0: 0, 1: 1, 2: 0, 3: 1, 4: 4, 5: 5, 6: 4, 7: 7, 8: 8, 9: 7, 10: 10}
-    got = Counter()
-    for r in ngram_join._across(big, spark.createDataFrame(list(comp.items()), "node long, comp long"), families, 7).collect():
-        got[r["a"], r["b"]] += r["c"]
-    assert got == Counter((a, b) for m in (11, 3) for a in range(m) for b in range(a + 1, m) if comp[a] != comp[b])
+@pytest.mark.parametrize(("few", "cells", "pairs"), [(256, 4_000_000, 2_000_000), (4, 600, 7)])
+def test_partial_overlaps(monkeypatch, few, cells, pairs):
+    for name, value in (("FEW", few), ("CELLS", cells), ("PAIRS", pairs)):
+        monkeypatch.setattr(ngram_join, name, value)
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 400, r.integers(1, 300)).astype(np.uint64)) for _ in range(60)]
+    held = [x.tobytes() for x in sets]
+    want = np.asarray([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    got = ngram_join._overlaps(held, np.arange(60))
+    assert (np.triu(got, 1) == np.triu(want, 1)).all()
+    assert (ngram_join._overlaps(held, np.arange(20), np.arange(20, 60)) == want[:20, 20:]).all()
 
 
 # 6 ---
