@@ -3,17 +3,17 @@
 A document's set holds the hashes of its distinct 5-word shingles. Documents with one set are one class (any number of exact
 copies costs one row per document). Classes link when 7 * overlap >= 3 * (size + size), that is at a Jaccard similarity of 3/4.
 
-The global order has the n-grams that many classes share last, by count, and all others first, by hash. What is common is found in two
-passes: what chunks hold more than once, then what many classes have in their prefixes. Any fixed order gives right results; this one
-keeps common passages out of the prefixes. The order is cut into fragments:
+The global order of n-grams is by the number of sets that hold them (copies in different chunks of texts count again), then by hash.
+It is cut into fragments by hash, and each fragment counts its n-grams exactly; chunks send it their distinct n-grams once and
+get back those that more than one set holds. Any order gives right results; this one keeps common passages out of the prefixes.
 
-1. Each class sends the first n - ceil(3n/4) + 1 n-grams of its set (two linked classes share one of them) to their fragments. A
+1. Two linked classes share one of the first n - ceil(3n/4) + 1 n-grams of their sets. Of these each class sends those that others hold to their fragments. A
    fragment joins the classes that meet in it and may link by their sizes, and sends on a forest of such edges, never pairs.
 2. What these edges connect is a family; two linked classes are in one. A family's whole sets come to one place. It counts the
    overlaps of pairs fragment by fragment, sums them per pair and sends on a tree of each component of links, so that rows grow
    with a family's classes and not with its pairs.
 3. A family of more than TILE classes or GRAMS n-grams is cut into tiles by size and hash: each tile is counted for itself, then against
-   the tiles' best linked members, then what is outside the family's largest component against the tiles it may link with.
+   the tiles' best linked members, then what is outside the family's largest component against the tiles with which it shares n-grams of prefixes.
    A link inside a component changes nothing, so no link that matters is left out. Work grows with the square of a family only as
    far as its classes don't link.
 
@@ -38,10 +38,6 @@ from phrasewell.llm._shared import materialize, table
 from phrasewell.llm._vec import gram_hashes, mix64, word_hashes
 
 GRAM = 5
-#: At most so many common n-grams are ordered by count (8 bytes each); they are seen in at least LEAST_SEEN classes of chunks that hold them twice.
-COMMON, LEAST_SEEN = 1 << 18, 2
-#: What so many classes have in their first prefixes is common, too.
-WIDE = 6
 #: A place counts at most so many classes and n-grams (8 bytes each) against as many; larger families are cut into tiles.
 TILE, GRAMS = 1024, 1_500_000
 #: Hubs of a tiled family.
@@ -77,105 +73,111 @@ def _signatures(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
 DESCRIBED = "kind string, _row long, chunk long, doc_id long, n long, sig long, bucket int, keys binary, counts binary"
 
 
-def _described(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-    return pa.table({k.split()[0]: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(zip(DESCRIBED.split(", "), kinds, strict=True))})
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.table({name: pa.array([r[i] for r in rows], kinds[kind]) for i, (name, kind) in enumerate(f.split() for f in schema.split(", "))})
 
 
 def _describe(chunks: DataFrame, buckets: int, gram: int) -> DataFrame:
-    """Rows of kind doc (its set's size and signature) and kind seen (n-grams that several sets of the chunk hold)."""
+    """Rows of kind doc (its set's size and signature; buckets below 0) and kind seen: the n-grams of the chunk's distinct sets by fragment, in how many of them each is."""
 
     def work(t: pa.Table) -> pa.Table:
         h, ends = shingle_sets(texts_of(t["text"]), gram)
         sig, n, chunk = _signatures(h, ends), np.diff(ends), t["_chunk"][0].as_py()
         docs = pa.table({
             "kind": pa.array(["doc"] * t.num_rows), "_row": t["_row"].combine_chunks(), "chunk": t["_chunk"].combine_chunks(), "doc_id": t["doc_id"].combine_chunks().cast(pa.int64()), "n": pa.array(n, pa.int64()),
-            "sig": pa.array(sig), "bucket": pa.nulls(t.num_rows, pa.int32()), "keys": pa.nulls(t.num_rows, pa.binary()), "counts": pa.nulls(t.num_rows, pa.binary()),
+            "sig": pa.array(sig), "bucket": pa.array([-1 - chunk % buckets] * t.num_rows, pa.int32()), "keys": pa.nulls(t.num_rows, pa.binary()), "counts": pa.nulls(t.num_rows, pa.binary()),
         })
         _, first = np.unique(sig, return_index=True)
         once = np.zeros(t.num_rows, bool)
         once[first] = True
         key, count = np.unique(h[np.repeat(once, n)], return_counts=True)
-        key, count = key[count > 1], count[count > 1].astype(np.int32)
-        seen = _described([("seen", None, chunk, None, None, None, b, blob(key[s]), blob(count[s])) for b, s in cut(key, buckets)])
-        return pa.concat_tables([docs.cast(seen.schema), seen])
+        # Most n-grams are in one set: of the others only are places and counts told.
+        seen = []
+        for b, s in cut(key, buckets):
+            more = np.flatnonzero(count[s] > 1)
+            seen.append(("seen", None, chunk, None, None, None, b, blob(key[s]), blob(np.concatenate((more, count[s][more])).astype(np.uint32))))
+        return pa.concat_tables([docs.cast(_table([], DESCRIBED).schema), _table(seen, DESCRIBED)])
 
     return chunks.groupBy("_chunk").applyInArrow(work, DESCRIBED)
 
 
-def _common(seen: DataFrame, buckets: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent n-grams, ascending, with their counts: at most `most`, gathered as at most four times as many."""
-    each = max(16, 4 * most // buckets)
+def _counted(described: DataFrame) -> DataFrame:
+    """The rows of kind doc as they are, and of kind common: those of a chunk's n-grams that several sets hold, over all chunks, with their number (copies
+    in other chunks count again)."""
 
     def work(t: pa.Table) -> pa.Table:
-        key = np.concatenate([np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()])
-        count = np.concatenate([np.frombuffer(x, np.int32) for x in t["counts"].to_pylist()])
-        key, back = np.unique(key, return_inverse=True)
-        total = np.bincount(back, count).astype(np.int64)
-        top = np.flatnonzero(total >= LEAST_SEEN)
-        top = top[np.argsort(-total[top], kind="stable")][:each]
-        return pa.table({"keys": pa.array([blob(key[top])], pa.binary()), "counts": pa.array([blob(total[top])], pa.binary())})
-
-    rows = seen.groupBy("bucket").applyInArrow(work, "keys binary, counts binary").collect()
-    key = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows] or [np.empty(0, np.uint64)])
-    total = np.concatenate([np.frombuffer(r[1], np.int64) for r in rows] or [np.empty(0, np.int64)])
-    top = np.lexsort((key, -total))[:most]
-    top = top[np.argsort(key[top])]
-    return key[top], total[top]
-
-
-def _wide(prefixes: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: int, most: int, least: int = WIDE) -> tuple[np.ndarray, np.ndarray]:
-    """common with the n-grams that at least `least` classes have in their prefixes, by that number: again at most `most`."""
-    each = max(16, 2 * most // buckets)
-
-    def work(t: pa.Table) -> pa.Table:
-        key, count = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]), return_counts=True)
-        top = np.flatnonzero(count >= least)
-        top = top[np.argsort(-count[top], kind="stable")][:each]
-        return pa.table({"keys": pa.array([blob(key[top])], pa.binary()), "counts": pa.array([blob(count[top].astype(np.int64))], pa.binary())})
-
-    rows = prefixes.groupBy("bucket").applyInArrow(work, "keys binary, counts binary").collect()
-    key = np.concatenate([common[0], *(np.frombuffer(r[0], np.uint64) for r in rows)])
-    total = np.concatenate([common[1], *(np.frombuffer(r[1], np.int64) for r in rows)])
-    order = np.lexsort((-total, key))
-    key, total = key[order], total[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    key, total = key[new], total[new]
-    top = np.sort(np.lexsort((key, -total))[:most])
-    return key[top], total[top]
-
-
-def _prefixes(chunks: DataFrame, reps: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: int, gram: int) -> DataFrame:
-    """(bucket, part, keys, low, n): the prefix n-grams of the chunk's classes by fragment; _row is part << 32 | low."""
-    shared = chunks.sparkSession.sparkContext.broadcast(common)  # at most COMMON entries
+        if t["bucket"][0].as_py() < 0:
+            return t
+        parts = [np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
+        counts = [np.ones(len(x), np.int64) for x in parts]
+        for c, x in zip(counts, t["counts"].to_pylist(), strict=True):
+            at, more = np.split(np.frombuffer(x, np.uint32), 2)
+            c[at] = more
+        every = np.concatenate(parts)
+        order = np.argsort(every, kind="stable")
+        group = np.zeros(len(every), np.int64)
+        group[order] = np.cumsum(np.concatenate(([True], every[order][1:] != every[order][:-1]))) - 1
+        total = np.bincount(group, np.concatenate(counts)).astype(np.int64)[group]
+        ends = np.cumsum([len(x) for x in parts])
+        out = []
+        for chunk, key, n in zip(t["chunk"].to_pylist(), parts, np.split(total, ends[:-1]), strict=True):
+            if (some := n > 1).any():
+                out.append(("common", None, chunk, None, None, None, None, blob(key[some]), blob(np.minimum(n[some], 2**32 - 1).astype(np.uint32))))
+        return _table(out, DESCRIBED)
+
+    return described.groupBy("bucket").applyInArrow(work, DESCRIBED)
+
+
+PREFIXES = "bucket int, part long, keys binary, low binary, n binary"
+
+
+def _prefixes(chunks: DataFrame, reps: DataFrame, common: DataFrame, buckets: int, gram: int) -> DataFrame:
+    """(bucket, part, keys, low, n): of the prefixes of the chunk's classes the n-grams that others hold, by fragment; _row is part << 32 | low."""
+    told = reps.select("_chunk", "_row", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"))
+    told = told.unionByName(common.select(F.col("chunk").alias("_chunk"), F.lit(None).cast("long").alias("_row"), "keys", "counts"))
 
     def work(t: pa.Table, r: pa.Table) -> pa.Table:
+        wanted, order = r.filter(pc.is_valid(r["_row"])), r.filter(pc.is_valid(r["keys"]))
         out: list[tuple] = []
-        if t.num_rows and r.num_rows:
-            t = t.filter(pc.is_in(t["_row"], r["_row"].combine_chunks()))
+        if t.num_rows and wanted.num_rows and order.num_rows:
+            t = t.filter(pc.is_in(t["_row"], wanted["_row"].combine_chunks()))
             h, ends = shingle_sets(texts_of(t["text"]), gram)
             n = np.diff(ends)
             d = np.repeat(np.arange(t.num_rows), n)
-            keys, total = shared.value
-            rank = np.zeros(len(h), np.int64)
-            if len(keys):
-                i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                rank = np.where(keys[i] == h, total[i], 0)
-            order = np.lexsort((h, rank, d))
-            at = np.arange(len(h)) - ends[:-1][d]
-            order = order[at < (n - (3 * n + 3) // 4 + 1)[d]]
-            h, d = h[order], d[order]
-            order = np.argsort(h, kind="stable")
-            h, d = h[order], d[order]
+            keys = np.concatenate([np.frombuffer(x, np.uint64) for x in order["keys"].to_pylist()])
+            total = np.concatenate([np.frombuffer(x, np.uint32) for x in order["counts"].to_pylist()]).astype(np.int64)
+            by = np.argsort(keys)
+            keys, total = keys[by], total[by]
+            i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            rank = np.where(keys[i] == h, total[i], 1)
+            # Alone: at their hash's place before all others, and nothing to meet. So only the others need an order.
+            alone = np.bincount(d[rank == 1], minlength=t.num_rows)
+            some = np.flatnonzero(rank > 1)
+            some = some[np.lexsort((h[some], rank[some], d[some]))]
+            h, d = h[some], d[some]
+            at = np.arange(len(h)) - np.searchsorted(d, d) + alone[d]
+            first = at < (n - (3 * n + 3) // 4 + 1)[d]
+            h, d = h[first], d[first]
+            by = np.argsort(h, kind="stable")
+            h, d = h[by], d[by]
             row = np.asarray(t["_row"].to_pylist(), np.int64)
             low, size = (row & 0xFFFFFFFF).astype(np.uint32)[d], n.astype(np.uint32)[d]
             part = int(row[0] >> 32) if len(row) else 0
             out = [(b, part, blob(h[s]), blob(low[s]), blob(size[s])) for b, s in cut(h, buckets)]
-        names, kinds = ("bucket", "part", "keys", "low", "n"), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table({k: pa.array([x[i] for x in out], kind) for i, (k, kind) in enumerate(zip(names, kinds, strict=True))})
+        return _table(out, PREFIXES)
+
+    return chunks.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(work, PREFIXES)
+
 
-    return chunks.groupBy("_chunk").cogroup(reps.groupBy("_chunk")).applyInArrow(work, "bucket int, part long, keys binary, low binary, n binary")
+def _entries(prefixes: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n-gram, row and size of every entry."""
+    if not prefixes.num_rows:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    key = np.concatenate([np.frombuffer(x, np.uint64) for x in prefixes["keys"].to_pylist()])
+    row = np.concatenate([(p << 32) | np.frombuffer(x, np.uint32).astype(np.int64) for p, x in zip(prefixes["part"].to_pylist(), prefixes["low"].to_pylist(), strict=True)])
+    n = np.concatenate([np.frombuffer(x, np.uint32) for x in prefixes["n"].to_pylist()]).astype(np.int64)
+    return key, row, n
 
 
 def _forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -204,10 +206,7 @@ def _meet(prefixes: DataFrame) -> DataFrame:
     """
 
     def work(t: pa.Table) -> pa.Table:
-        key = np.concatenate([np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()])
-        low = [np.frombuffer(x, np.uint32) for x in t["low"].to_pylist()]
-        row = np.concatenate([(p << 32) | x.astype(np.int64) for p, x in zip(t["part"].to_pylist(), low, strict=True)])
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in t["n"].to_pylist()]).astype(np.int64)
+        key, row, n = _entries(t)
         order = np.lexsort((n, key))
         key, row, n = key[order], row[order], n[order]
         at = np.flatnonzero((key[1:] == key[:-1]) & (4 * n[:-1] >= 3 * n[1:]))
@@ -227,8 +226,7 @@ def _sets(chunks: DataFrame, members: DataFrame, gram: int) -> DataFrame:
             t = t.filter(pc.is_in(t["_row"], m["_row"].combine_chunks()))
             h, ends = shingle_sets(texts_of(t["text"]), gram)
             out = [(*where[row], row, int(hi - lo), blob(h[lo:hi])) for row, lo, hi in zip(t["_row"].to_pylist(), ends[:-1], ends[1:], strict=True)]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.table({k.split()[0]: pa.array([x[i] for x in out], kind) for i, (k, kind) in enumerate(zip(SETS.split(", "), kinds, strict=True))})
+        return _table(out, SETS)
 
     return chunks.groupBy("_chunk").cogroup(members.groupBy("_chunk")).applyInArrow(work, SETS)
 
@@ -309,12 +307,12 @@ def _whole_families(sets: DataFrame) -> DataFrame:
     return sets.groupBy("place").applyInArrow(work, "u long, v long")
 
 
-def _tiled_families(sets: DataFrame, tiles: DataFrame) -> DataFrame:
+def _tiled_families(sets: DataFrame, tiles: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(u, v) of families of many tiles, sets(fam, band, tile, row, n, grams) with their tiles(fam, band, tiles).
 
     Each tile is counted for itself and names the member that links with most others. All tiles are counted with
-    those hubs. What then is outside the family's largest component is counted with all tiles of bands that its sizes may link with.
-    A component inside a family stays one, so pairs inside it need no count.
+    those hubs. What then is outside the family's largest component is counted with those tiles that hold members of which it shares
+    a prefix n-gram and whose sizes may link with its own. A component inside a family stays one, so pairs inside it need no count.
     """
     key = ["fam", "band", "tile"]
 
@@ -370,16 +368,25 @@ def _tiled_families(sets: DataFrame, tiles: DataFrame) -> DataFrame:
     rest = materialize(sets.join(rest, "row"))
     if not rest.limit(1).count():
         return links
-    parts = rest.groupBy("fam", F.col("band").alias("from_band")).agg(F.count("*").alias("members"), F.sum("n").alias("grams"))
-    parts = materialize(parts.select("fam", "from_band", _tiles_of(F.col("members"), F.col("grams")).alias("parts")))
-    near = F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1))))
-    keys = [*key, "from_band", "part"]
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gram, row, _ = _entries(b)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(row, pa.int64())], ["gram", "row"])
+
+    held = materialize(prefixes.mapInArrow(listed, "gram long, row long").join(ids, "row").select("gram", "row", *key))
+    holding = held.select("gram", *key).distinct()
+    near = F.abs(F.col("band") - F.col("from_band")) <= 1
+    asked = held.join(rest.select("row"), "row").select("gram", "row", "fam", F.col("band").alias("from_band")).join(holding, ["gram", "fam"]).where(near).select("row", *key).distinct()
+    asked = rest.select("row", "n", "comp", "grams").join(asked, "row")
+    parts = asked.groupBy(*key).agg(F.count("*").alias("members"), F.sum("n").alias("grams")).select(*key, _tiles_of(F.col("members"), F.col("grams")).alias("parts"))
+    parts = materialize(parts)
+    keys = [*key, "part"]
 
     def told(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("from_band", near).join(parts, ["fam", "from_band"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return rows.join(parts, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
-    asked = rest.withColumnRenamed("band", "from_band").join(parts, ["fam", "from_band"]).withColumn("part", F.pmod(F.xxhash64("row", F.lit(1)), "parts").cast("int"))
-    asked = asked.withColumn("band", F.explode(F.array(*(F.col("from_band") + k for k in (-1, 0, 1))))).drop("tile").join(spread, ["fam", "band"])
+    asked = asked.join(parts, key).withColumn("part", F.pmod(F.xxhash64("row", F.lit(1)), "parts").cast("int"))
     met = told(known).select(*keys, "row", "n", "comp", none).unionByName(asked.select(*keys, "row", "n", "comp", "grams"))
     return links.unionByName(materialize(told(sets).groupBy(*keys).cogroup(met.groupBy(*keys)).applyInArrow(both, "u long, v long")))
 
@@ -389,9 +396,9 @@ def _tiles_of(members, grams):
     return F.greatest(F.ceil(members / (0.8 * TILE)), F.ceil(grams / (0.8 * GRAMS))).cast("int")
 
 
-def _connected(chunks: DataFrame, classes: DataFrame, edges: DataFrame, gram: int) -> DataFrame:
-    """(node, comp) of the classes that link: every family, which edges join, is counted whole."""
-    families = components(edges).select(F.col("node").alias("rep"), F.col("comp").alias("fam"))
+def _connected(chunks: DataFrame, classes: DataFrame, prefixes: DataFrame, gram: int) -> DataFrame:
+    """(node, comp) of the classes that link: every family, which the edges of prefixes join, is counted whole."""
+    families = components(_meet(prefixes)).select(F.col("node").alias("rep"), F.col("comp").alias("fam"))
     members = materialize(families.join(classes.select("rep", "chunk", "n"), "rep"))
     sizes = members.groupBy("fam").agg(F.count("*").alias("members"), F.sum("n").alias("grams"))
     sizes = materialize(sizes.withColumn("whole", (F.col("members") <= TILE) & (F.col("grams") <= GRAMS)))
@@ -410,26 +417,23 @@ def _connected(chunks: DataFrame, classes: DataFrame, edges: DataFrame, gram: in
     place = F.shiftleft(F.col("band").cast("long"), 32) + F.col("tile")
     sets = materialize(_sets(chunks, large.select("_chunk", "_row", place.alias("place"), "fam"), gram))
     sets = sets.withColumns({"band": F.shiftright("place", 32).cast("int"), "tile": F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")}).drop("place")
-    return comps.unionByName(components(_tiled_families(sets, tiles)))
+    return comps.unionByName(components(_tiled_families(sets, tiles, prefixes)))
 
 
-def _classified(docs: DataFrame, gram: int = GRAM, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
+def _classified(docs: DataFrame, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """The chunks of docs, and for each of their rows _row, _chunk, doc_id, n_shingles, component_id and kept (one row of each component)."""
     chunks = chunked(docs.drop("_chunk", "_row"))
     size = (chunks.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0) // 7
-    buckets = bucket_count(size // 4)
-    described = materialize(_describe(chunks, buckets, gram))
+    described = materialize(_counted(_describe(chunks, bucket_count(size), gram)))
+    release(docs)
     rows = described.where("kind = 'doc'").select("_row", "chunk", "doc_id", "n", "sig")
-    seen = described.where("kind = 'seen'").select("bucket", "keys", "counts")
-    order = _common(seen, buckets, common)
     first = F.min_by(F.struct(F.col("_row").alias("rep"), "chunk"), F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
     classes = materialize(rows.where("n > 0").groupBy("sig", "n").agg(first.alias("f"), F.min("doc_id").alias("least")).select("sig", "n", "f.rep", "f.chunk", "least"))
     reps = classes.select(F.col("rep").alias("_row"), F.col("chunk").alias("_chunk"))
-    order = _wide(_prefixes(chunks, reps, order, buckets, gram), order, buckets, common)
-    release(docs)
-    edges = materialize(_meet(_prefixes(chunks, reps, order, buckets, gram)))
+    common = described.where("kind = 'common'").select("chunk", "keys", "counts")
+    prefixes = materialize(_prefixes(chunks, reps, common, bucket_count(size // 16), gram))
     release(docs)
-    comps = _connected(chunks, classes, edges, gram)
+    comps = _connected(chunks, classes, prefixes, gram)
     named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     first = F.min_by("rep", F.struct(F.col("least").isNull(), "least", "rep"))
     named = named.join(named.groupBy("comp").agg(F.min("least").alias("component_id"), first.alias("stays")), "comp").select("sig", "n", "component_id", "stays")
@@ -445,9 +449,9 @@ def _classified(docs: DataFrame, gram: int = GRAM, common: int = COMMON) -> tupl
     )
 
 
-def join(docs: DataFrame, gram: int = GRAM, common: int = COMMON) -> DataFrame:
+def join(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id and kept, true for one row of each component."""
-    return _classified(docs.select("doc_id", "text"), gram, common)[1].drop("_row", "_chunk")
+    return _classified(docs.select("doc_id", "text"), gram)[1].drop("_row", "_chunk")
 
 
 def representatives(docs: DataFrame, gram: int = GRAM) -> DataFrame:
