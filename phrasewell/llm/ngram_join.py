@@ -86,7 +86,7 @@ def _describe(chunks: DataFrame, buckets: int, gram: int) -> DataFrame:
         sig, n, chunk = _signatures(h, ends), np.diff(ends), t["_chunk"][0].as_py()
         docs = pa.table({
             "kind": pa.array(["doc"] * t.num_rows), "_row": t["_row"].combine_chunks(), "chunk": t["_chunk"].combine_chunks(), "doc_id": t["doc_id"].combine_chunks().cast(pa.int64()), "n": pa.array(n, pa.int64()),
-            "sig": pa.array(sig), "bucket": pa.array([-1 - chunk % buckets] * t.num_rows, pa.int32()), "keys": pa.nulls(t.num_rows, pa.binary()), "counts": pa.nulls(t.num_rows, pa.binary()),
+            "sig": pa.array(sig), "bucket": pa.array([-1 - (chunk + (chunk >> 32)) % buckets] * t.num_rows, pa.int32()), "keys": pa.nulls(t.num_rows, pa.binary()), "counts": pa.nulls(t.num_rows, pa.binary()),
         })
         _, first = np.unique(sig, return_index=True)
         once = np.zeros(t.num_rows, bool)
