@@ -399,6 +399,48 @@ def test_mixing(spark):
     assert all(r["taken"] == 0 for r in mixing.mix(frame(spark, EDGE[:3])).collect())
 
 
+def solved(size: list[int], target: float) -> list[float]:
+    """Rates of one source's documents by bisection of the dual."""
+    mean = sum(size) / len(size)
+    lo, hi = -1e4, 1e4
+    rate = lambda lam: [math.exp(min(math.log(3), max(-700.0, lam * x / mean))) for x in size]
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(w * x for w, x in zip(rate(mid), size, strict=True)) < target else (lo, mid)
+    return rate(lo)
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_entropy_balance(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+    import random
+
+    r = random.Random(3)
+    rows = [(i, " ".join(["w"] * (1 + int(r.paretovariate(0.8)) % 3000)), "en", ["a", "b", "c", "d", None][min(4, int(r.expovariate(0.9)))], 1) for i in range(500)]
+    got = mixing.mix(frame(spark, rows).repartition(5)).collect()
+    by = {}
+    for x in got:
+        by.setdefault(x["source"], []).append(x)
+    assert len(by) == 5
+    for found in by.values():
+        size, target = [x["size"] for x in found], found[0]["target"]
+        want = solved(size, target) if target < 3 * sum(size) * (1 - 1e-9) else [3.0] * len(size)
+        assert [x["rate"] for x in found] == pytest.approx(want, abs=2e-6)
+        assert abs(sum(x["taken"] for x in found) - target) <= 1
+        assert all(x["taken"] <= 3 * x["size"] and math.floor(x["rate"]) * x["size"] <= x["taken"] <= math.floor(x["rate"] + 1) * x["size"] for x in found)
+    assert max(len({x["rate"] for x in found}) for found in by.values()) > 20  # rates differ within a source
+
+
+def test_newton_meets_the_constraints(spark):
+    counts = spark.createDataFrame([("a", 1 + k * k, 1 + k % 3) for k in range(60)] + [("b", 7, 5), ("b", 9000, 1), (None, 3, 2)], "source string, size long, _n long")
+    whole = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("_n")).alias("source_size"))
+    for share in (0.001, 0.3, 1.0, 1.7, 2.999):
+        found = mixing.rates(counts, whole.withColumn("target", share * F.col("source_size"))).collect()
+        assert len(found) == 3 and all(abs(x["gradient"]) <= 1e-9 for x in found)
+    none = mixing.rates(counts, whole.withColumn("target", F.lit(0.0))).collect()
+    assert all(x["lambda"] is None for x in none)
+
+
 # 7 ---
 
 
