@@ -9,6 +9,7 @@ SEPARATOR = " [PAR] "
 _SEP = r" \[PAR\] "
 #: The white space that separates words of a context.
 CONTEXT_SPACE = r"[ \t\r\n ]+"
+NO_SPACE = r"[^ \t\r\n ]+"
 ARTICLES = r"(?U)\b(a|an|the)\b"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 TERM = r"[\p{L}0-9]+"
@@ -35,6 +36,12 @@ def paragraph_ordinal(context: Column, at: Column) -> Column:
     return F.size(F.split(F.substring(context, F.lit(1), at + 4), r"\[PAR\]")) - 1
 
 
+def word_places(context: Column) -> Column:
+    """array of struct(gap, word): each word of a context with the number of characters before it since the word before."""
+    gaps = F.transform(F.split(context, NO_SPACE), lambda g: F.length(g))
+    return F.zip_with(F.regexp_extract_all(context, F.lit(NO_SPACE), F.lit(0)), F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda w, g: F.struct(g.alias("gap"), w.alias("word")))
+
+
 def count_of(s: Column, what: str) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(what), F.lit("")))
 
@@ -74,11 +81,32 @@ def word_index(s: Column, at: Column) -> Column:
     return F.size(context_words(F.substring(s, F.lit(1), at + 1))) - 1
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, also where body uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
+def answer_span(tokens: Column, first: Column, last: Column, answer: Column) -> Column:
+    """The first place between two tokens at which the answer's tokens stand, as struct(start, end); first and last themselves where there is none."""
+    n = F.size(answer)
+
+    def at(t: Column) -> Column:
+        places = F.when(last - n + 1 >= first, F.sequence(first, last - n + 1)).otherwise(F.expr("cast(array() as array<int>)"))
+        hit = F.filter(places, lambda i: F.slice(t, i + 1, n) == answer)
+        start = F.get(hit, 0)
+        return F.struct(F.coalesce(start, first).alias("start"), F.when(start.isNotNull(), start + n - 1).otherwise(last).alias("end"))
+
+    return let(tokens, at)
+
+
 def terms(s: Column) -> Column:
     """Lower-case terms and pairs of adjacent terms."""
-    t = F.regexp_extract_all(F.lower(s), F.lit(TERM), F.lit(0))
-    pairs = F.transform(F.when(F.size(t) > 1, F.sequence(F.lit(0), F.size(t) - 2)).otherwise(F.expr("cast(array() as array<int>)")), lambda i: F.concat(t[i], F.lit(" "), t[i + 1]))
-    return F.concat(t, pairs)
+
+    def with_pairs(t: Column) -> Column:
+        n = F.greatest(F.size(t) - 1, F.lit(0))
+        return F.concat(t, F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+    return let(F.regexp_extract_all(F.lower(s), F.lit(TERM), F.lit(0)), with_pairs)
 
 
 def term_id(term: Column) -> Column:

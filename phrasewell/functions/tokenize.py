@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The ranges of CJK ideographs in Unicode.
 _CJK = re.compile("([一-鿿㐀-䶿\U00020000-\U0002a6df\U0002a700-\U0002b73f\U0002b740-\U0002b81f\U0002b820-\U0002ceaf豈-﫿\U0002f800-\U0002fa1f])")
 
 
@@ -117,14 +118,42 @@ def with_tokenizer(c: Column, tokenizer: Callable[[str], list[str]]) -> Column:
     return run(c)
 
 
+def _letters_of(c: str, lower: bool) -> int:
+    """How many characters of tokens one character of a text gives."""
+    if _is_space(c) or c in "\x00\ufffd" or _is_control(c):
+        return 0
+    if not lower:
+        return 1
+    return sum(unicodedata.category(x) != "Mn" for x in unicodedata.normalize("NFD", c.lower()))
+
+
 def aligned_span(original: str, tokenized: str, lower: bool = True) -> tuple[int, int]:
-    """Where the tokenised text stands in the original, matched by characters other than spaces; all of it if there is no match."""
-    whole = (0, len(original))
-    source = [(i, c) for i, c in enumerate(original) if not c.isspace()]
-    plain = "".join(unicodedata.normalize("NFD", c.lower())[0] if lower else c for _, c in source)
-    wanted = "".join(tokenized.replace(" ##", "").split())
-    at = plain.find(wanted)
-    return (source[at][0], source[at + len(wanted) - 1][0] + 1) if wanted and at >= 0 else whole
+    """Where tokens (joined by spaces, pieces marked by ##) stand in the original; all of it where they don't.
+
+    They are looked for in the original's own tokens; the characters of those are counted against the original's, an accent with its letter.
+    """
+    wanted = " ".join(tokenized.replace(" ##", "").replace("##", "").split())
+    tokens = " ".join(basic_tokens(original, lower))
+    at = tokens.find(wanted)
+    if not wanted or at < 0:
+        return 0, len(original)
+    first = at - tokens.count(" ", 0, at)
+    last = first + len(wanted) - wanted.count(" ") - 1
+    sizes = [_letters_of(c, lower) for c in original]
+    if sum(sizes) != len(tokens) - tokens.count(" "):
+        return 0, len(original)
+    place = [i for i, n in enumerate(sizes) for _ in range(n)]
+    end = place[last] + 1
+    while end < len(original) and unicodedata.category(original[end]) == "Mn":  # accents of the last letter
+        end += 1
+    return place[first], end
+
+
+def span_in_words(words: list[str], first: int, last: int, tokenized: str, lower: bool = True) -> tuple[int, int]:
+    """The same for tokens that come from words first to last of a text whose words are joined by single spaces; places count from the text's start."""
+    before = sum(len(w) + 1 for w in words[:first])
+    start, end = aligned_span(" ".join(words[first : last + 1]), tokenized, lower)
+    return before + start, before + end
 
 
 def final_text(original: Column, tokenized: Column) -> Column:
@@ -135,22 +164,59 @@ def final_text(original: Column, tokenized: Column) -> Column:
     return run(original, tokenized)
 
 
-def noisy(ids: Column, key: Column, vocab_size: int, replace: float = 0.1, shuffle: float = 0.1, seed: int = 29) -> Column:
-    """Ids clamped to the vocabulary, each replaced by a random one or changed with its neighbour with some probability, fixed by the key."""
+def _draw(key: Column, what: str, at: Column | int = 0) -> Column:
+    """A number in [0, 1) fixed by the key, the kind of draw and the place."""
+    text = F.concat_ws(":", key.cast("string"), F.lit(what), (at if isinstance(at, Column) else F.lit(at)).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
-    @F.pandas_udf("array<long>")
-    def run(a: pd.Series, k: pd.Series) -> pd.Series:
-        import random
 
-        def one(x, key) -> list[int]:
-            r = random.Random(f"{seed}:{key}")
-            out = [min(max(0, int(i)), vocab_size - 1) for i in x]
-            out = [r.randrange(vocab_size) if r.random() < replace else i for i in out]
-            for i in range(len(out) - 1):
-                if r.random() < shuffle:
-                    out[i], out[i + 1] = out[i + 1], out[i]
-            return out
+def _pick(draw: Column, low: int | Column, high: int | Column) -> Column:
+    """low to high, both included, by a draw."""
+    low, high = (x if isinstance(x, Column) else F.lit(x) for x in (low, high))
+    return (low + F.floor(draw * (high - low + 1))).cast("long")
+
+
+def shortened(ids: Column, key: Column, share: float, least: int = 0, most: int = 300, always_shorter: bool = False) -> Column:
+    """Ids (a mark, the tokens, an end mark) cut to a drawn number of tokens, the end mark kept; always_shorter draws at most their own number."""
+    n = F.size(ids) - 2
+    to = _pick(_draw(key, "length"), least, F.least(n, F.lit(most)) if always_shorter else most)
+    cut = F.concat(F.slice(ids, F.lit(1), (to + 1).cast("int")), F.slice(ids, -1, 1))
+    return F.when((_draw(key, "shorten") < share) & (to < n), cut).otherwise(ids)
+
+
+def replaced(ids: Column, key: Column, share: float, unknown_share: float, vocab_size: int = 30522, unknown: int = 100, least_id: int = 999) -> Column:
+    """Tokens between the marks replaced with a probability: by the unknown id or by one drawn from least_id up."""
+
+    def one(x: Column, i: Column) -> Column:
+        new = F.when(_draw(key, "unknown", i) < unknown_share, F.lit(unknown).cast("long")).otherwise(_pick(_draw(key, "new", i), least_id, vocab_size - 1))
+        return F.when((i > 0) & (i < F.size(ids) - 1) & (_draw(key, "replace", i) < share), new).otherwise(x.cast("long"))
+
+    return F.transform(ids, one)
+
+
+def shuffled(ids: Column, key: Column, share: float) -> Column:
+    """From the first token to the last, each takes with a probability the id of a token drawn from the sequence as it then is. For a model's input of bounded length."""
+
+    def step(acc: Column, i: Column) -> Column:
+        other = F.element_at(acc, (_pick(_draw(key, "other", i), 1, F.size(ids) - 2) + 1).cast("int"))
+        new = F.concat(F.slice(acc, F.lit(1), i), F.array(other), F.slice(acc, i + 2, F.size(ids)))
+        return F.when(_draw(key, "shuffle", i) < share, new).otherwise(acc)
+
+    return F.when(F.size(ids) > 2, F.aggregate(F.sequence(F.lit(1), F.size(ids) - 2), ids, step)).otherwise(ids)
+
+
+def noisy(ids: Column, key: Column, vocab_size: int = 30522, shorten: float = 0.5, replace: float = 0.3, unknown: float = 0.1, shuffle: float = 0.2, least: int = 0, most: int = 300) -> Column:
+    """A passage's ids with noise: shortened, some tokens replaced, some shuffled. All draws are fixed by the key."""
+    return shuffled(replaced(shortened(ids, key, shorten, least, most), key, replace, unknown, vocab_size), key, shuffle)
+
+
+def noisy_negative(ids: Column, key: Column, vocab_size: int = 30522, share: float = 1.0, shorten: float = 1.0, replace: float = 1.0, unknown: float = 1.0, shuffle: float = 1.0, least: int = 0, most: int = 300) -> Column:
+    """The same for a share of negatives, which are cut to at most their own length and by default lose all their tokens."""
+    changed = shuffled(replaced(shortened(ids, key, shorten, least, most, always_shorter=True), key, replace, unknown, vocab_size), key, shuffle)
+    return F.when(_draw(key, "negative") < share, changed).otherwise(ids)
 
-        return pd.Series([one(x, y) for x, y in zip(a, k, strict=True)])
 
-    return run(ids, key)
+def framed(ids: Column, start: int, end: int, most: int | None = None) -> Column:
+    """Ids between a start and an end mark, cut to `most` tokens first."""
+    ids = ids if most is None else F.slice(ids, 1, most)
+    return F.concat(F.array(F.lit(start).cast("long")), ids.cast("array<long>"), F.array(F.lit(end).cast("long")))

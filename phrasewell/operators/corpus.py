@@ -20,6 +20,19 @@ def max_context(windows: Column, token: Column) -> Column:
     return -F.array_max(scored).i
 
 
+def best_window(token: Column, n: Column, size: int, stride: int) -> Column:
+    """max_context over token_windows(n, size, stride) without the windows: only the few that can hold the token are worked out."""
+    count = F.greatest(F.lit(0), F.ceil((n - size) / stride)) + 1
+    first = F.greatest(F.lit(0), F.floor((token - size) / stride) + 1)
+    last = F.least(count - 1, F.floor(token / stride))
+
+    def scored(k: Column) -> Column:
+        length = F.least(F.lit(size), n - k * stride)
+        return F.struct((F.least(token - k * stride, k * stride + length - 1 - token) + 0.01 * length).alias("s"), (-k).alias("k"))
+
+    return -F.array_max(F.transform(F.sequence(first, last), scored)).k
+
+
 def merge_paragraphs(pars: DataFrame, low: int, high: int, doc: str = "doc_id") -> DataFrame:
     """Paragraphs of a document appended with a space until they have `low` characters; those of `high` or more are skipped, a short remainder is dropped.
 
@@ -69,10 +82,19 @@ def two_stage_sample(words: DataFrame, docs_share: float, words_share: float, gr
     return numbered.join(draws.select("doc_idx", "draw", "_at"), ["doc_idx", "_at"]).drop("_at")
 
 
-def draws(rows: DataFrame, n: int, seed: int = 29) -> DataFrame:
-    """About n draws with replacement."""
+def draws(rows: DataFrame, n: int, key: str, seed: str = "29") -> DataFrame:
+    """n draws with replacement, numbered from 1: each names a place in the rows' hash order."""
+    numbered = shards(rows, 1, key, seed).withColumnRenamed("shard", "_at")
     total = rows.count()
-    return rows.sample(True, min(1.0, n / max(1, total)) if n <= total else n / max(1, total), seed)
+    asked = rows.sparkSession.range(1, n + 1).withColumnRenamed("id", "draw")
+    asked = asked.withColumn("_at", F.floor(hash_share(F.col("draw"), seed) * total).cast("long"))
+    return numbered.join(F.broadcast(asked), "_at").drop("_at")
+
+
+def with_dummy(rows: DataFrame, key: str, text: str, dummy: Column, first: Column) -> DataFrame:
+    """Two documents for each row, its own text and a made-up one, which comes first where `first` holds: rows with doc_idx and text."""
+    pair = F.array(F.struct(F.when(first, 1).otherwise(0).alias("doc_idx"), F.col(text).alias("_t")), F.struct(F.when(first, 0).otherwise(1).alias("doc_idx"), dummy.alias("_t")))
+    return rows.withColumn("_p", F.explode(pair)).withColumns({"doc_idx": F.col("_p.doc_idx"), text: F.col("_p._t")}).drop("_p")
 
 
 def shards(rows: DataFrame, per_shard: int, key: str, seed: str = "29") -> DataFrame:
@@ -85,9 +107,15 @@ def shards(rows: DataFrame, per_shard: int, key: str, seed: str = "29") -> DataF
     return out.withColumn("shard", F.floor((F.col("_at") + F.col("_before")) / per_shard).cast("long")).drop("_h", "_range", "_at", "_before")
 
 
-def gaps(ranges: DataFrame) -> DataFrame:
-    """Of (start, end) ranges those that don't begin where the one before ends."""
-    before = F.lag("end").over(Window.orderBy("start"))
+def gaps(ranges: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Of (start, end) ranges those that don't begin where the one before ends, with what was expected.
+
+    With start, the first range must begin there; with end, a last row (end, end) tells where the ranges stop short of it or beyond.
+    """
+    first = F.lit(start).cast("long")
+    if end is not None:
+        ranges = ranges.select("start", "end").unionByName(ranges.sparkSession.createDataFrame([(end, end)], "start long, end long"))
+    before = F.coalesce(F.lag("end").over(Window.orderBy("start", "end")), first)
     return ranges.withColumn("expected", before).where(F.col("expected").isNotNull() & (F.col("expected") != F.col("start")))
 
 

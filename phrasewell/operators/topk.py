@@ -24,38 +24,68 @@ def ordered(results: DataFrame) -> DataFrame:
 
 
 def score_all(questions: DataFrame, words: DataFrame, k: int, q_vec: str = "q_start", vec: str = "start", block: int = BLOCK) -> DataFrame:
-    """The k best words of every question by inner product over all words: (qid, doc_idx, word_idx, score).
+    """The k best words of every question by inner product over all words: (qid, doc_idx, word_idx, score). Words without a vector are no candidates.
 
-    Questions are taken in blocks; for each block a scan of the words keeps the k best of every batch, so a scan returns at
-    most k rows a question and batch, and the final cut orders those.
+    Questions are taken in blocks of consecutive ids; for each block a scan of the words keeps the k best of each partition, so a scan
+    returns at most k rows a question and partition, and the final cut orders those.
     """
-    ids = [r[0] for r in questions.select("qid").orderBy("qid").collect()] if questions.limit(block + 1).count() > block else None
-    edges = [None] if ids is None else [(ids[i], ids[min(i + block, len(ids)) - 1]) for i in range(0, len(ids), block)]
     out = None
-    for edge in edges:
-        part = questions if edge is None else questions.where(F.col("qid").between(*edge))
-        part = best_in_batches(part, words, k, q_vec, vec)
+    for low, high in _blocks(questions, block):
+        part = questions if low is None else questions.where(F.col("qid").between(low, high))
+        part = best_of_partitions(part, words, k, q_vec, vec)
         out = part if out is None else out.unionByName(part)
     return top(out, k)
 
 
-def best_in_batches(questions: DataFrame, words: DataFrame, k: int, q_vec: str, vec: str) -> DataFrame:
+def _blocks(questions: DataFrame, block: int) -> list[tuple]:
+    """First and last qid of blocks; only these two a block come to the driver. (None, None) stands for all where one block holds them."""
+    if questions.limit(block + 1).count() <= block:
+        return [(None, None)]
+    # Blocks are made from counts per range of ids, so no task orders all questions.
+    rows = questions.select("qid", F.floor(F.col("qid") / block).alias("_r"))
+    sizes = rows.groupBy("_r").agg(F.count("*").alias("_n"), F.min("qid").alias("lo"), F.max("qid").alias("hi"))
+    before = F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    group = F.floor(F.coalesce(before, F.lit(0)) / block)
+    return [tuple(r) for r in sizes.withColumn("_g", group).groupBy("_g").agg(F.min("lo"), F.max("hi")).drop("_g").collect()]
+
+
+class _Best:
+    """The k best places of each question among what was offered so far; of equal scores the first by doc_idx, word_idx."""
+
+    def __init__(self, questions: int, k: int) -> None:
+        self.k = k
+        self.score = np.full((questions, 0), -np.inf)
+        self.doc = np.empty((questions, 0), np.int64)
+        self.word = np.empty((questions, 0), np.int64)
+
+    def offer(self, scores: np.ndarray, doc: np.ndarray, word: np.ndarray) -> None:
+        n = scores.shape[0]
+        if scores.shape[1] > self.k:  # whatever reaches the k-th best score stays, ties and all
+            least = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
+            some = np.flatnonzero((scores >= least[:, None]).any(axis=0))
+            scores, doc, word = scores[:, some], doc[some], word[some]
+        score = np.concatenate((self.score, scores), axis=1)
+        doc = np.concatenate((self.doc, np.broadcast_to(doc, (n, len(doc)))), axis=1)
+        word = np.concatenate((self.word, np.broadcast_to(word, (n, len(word)))), axis=1)
+        order = np.lexsort((word, doc, -score), axis=1)[:, : self.k]
+        self.score, self.doc, self.word = (np.take_along_axis(x, order, 1) for x in (score, doc, word))
+
+
+def best_of_partitions(questions: DataFrame, words: DataFrame, k: int, q_vec: str, vec: str) -> DataFrame:
     rows = questions.select("qid", q_vec).orderBy("qid").collect()  # one block
     qid, matrix = np.asarray([r[0] for r in rows], np.int64), np.asarray([r[1] for r in rows], np.float64)
     shared = words.sparkSession.sparkContext.broadcast((qid, matrix))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
+        best = _Best(len(ids), k)
         for b in batches:
             if not len(b) or not len(ids):
                 continue
             x = np.asarray(b.column(2).flatten(), np.float64).reshape(len(b), -1)
-            doc, word = np.asarray(b.column(0), np.int64), np.asarray(b.column(1), np.int64)
-            first = np.lexsort((word, doc))
-            x, doc, word = x[first], doc[first], word[first]
-            scores = q @ x.T
-            n = min(k, len(doc))
-            near = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(doc[near].ravel()), pa.array(word[near].ravel()), pa.array(np.take_along_axis(scores, near, 1).ravel())], ["qid", "doc_idx", "word_idx", "score"])
-
-    return words.select("doc_idx", "word_idx", vec).mapInArrow(work, "qid long, doc_idx long, word_idx long, score double")
+            best.offer(q @ x.T, np.asarray(b.column(0), np.int64), np.asarray(b.column(1), np.int64))
+        n = best.score.shape[1]
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best.doc.ravel()), pa.array(best.word.ravel()), pa.array(best.score.ravel())], ["qid", "doc_idx", "word_idx", "score"])
+
+    return words.where(F.col(vec).isNotNull()).select("doc_idx", "word_idx", vec).mapInArrow(work, "qid long, doc_idx long, word_idx long, score double")

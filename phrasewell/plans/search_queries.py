@@ -11,6 +11,7 @@ from phrasewell.operators import sparse as P
 from phrasewell.operators import topk as K
 from phrasewell.plans import search as Q
 from phrasewell.plans.registry import query
+from phrasewell.sources import io as IO
 from phrasewell.sources import views as D
 
 R6 = lambda c: F.round(c, 6).alias(c)
@@ -19,14 +20,41 @@ SPANS = "(SELECT {t}.qid, rank, a.doc_idx, a.word_idx AS i, b.word_idx AS j, {fi
 BEST = "SELECT qid, rank, doc_idx, i, arg_max(j, struct_pack(s := score, k := -j)) AS j, round(max(score), 6) AS score FROM {spans} GROUP BY qid, rank, doc_idx, i"
 
 
+#: Open search over placed words, and spans as answers with their text.
+PLACED = DOT.replace("FROM q, w)", "FROM q, pw)")
+PSPANS = SPANS.replace("JOIN w ", "JOIN pw ")
+RESULTS = """
+res AS (SELECT r.qid, r.rank, r.doc_idx, title, r.i, r.j, r.score, substr(context, h.char_start + 1, coalesce(t.char_end, h.char_start + 1) - h.char_start) AS answer, string_split(substr(context, 1, h.char_start), ' [PAR] ')[-1] AS lft, string_split(substr(context, coalesce(t.char_end, h.char_start + 1) + 1), ' [PAR] ')[1] AS rgt
+  FROM r JOIN pw h ON h.doc_idx = r.doc_idx AND h.word_idx = r.i LEFT JOIN pw t ON t.doc_idx = r.doc_idx AND t.word_idx = r.j JOIN ctx c ON c.doc_idx = r.doc_idx),
+shown AS (SELECT qid, rank, doc_idx, title, i, j, score, answer, lft || answer || rgt AS context, len(lft)::BIGINT AS start_pos, (len(lft) + len(answer))::BIGINT AS end_pos FROM res)
+"""
+
+
+def _shown(spans, words, contexts, presentable=False):
+    out = Q.results(spans, words, contexts, presentable).withColumn("score", F.round("score", 6))
+    return out.withColumns({c: F.col(c).cast("long") for c in ("start_pos", "end_pos")})
+
+
 @query("w1_topk_start", DOT + " SELECT qid, rank, doc_idx, word_idx, round(score, 6) AS score FROM top5", "w q")
 def w1(spark, d):
     return Q.starts_open(D.questions(spark, d), D.words(spark, d), 5).select("qid", "rank", "doc_idx", "word_idx", R6("score"))
 
 
-@query("q1_dense_search", DOT + " " + BEST.format(spans=SPANS.format(t="top5", first="list_dot_product(qs, a.s)")), "w q")
+@query("q1_dense_search", PLACED + ", r AS (" + BEST.format(spans=PSPANS.format(t="top5", first="list_dot_product(qs, a.s)")) + ")," + RESULTS + "SELECT * FROM shown", "pw q")
 def q1(spark, d):
-    return Q.search(D.questions(spark, d), D.words(spark, d)).select("qid", "rank", "doc_idx", "i", "j", R6("score"))
+    w = D.placed_words(spark, d)
+    return _shown(Q.search(D.questions(spark, d), w), w, D.titled_contexts(spark, d))
+
+
+OWN_PAR = "ownp AS (SELECT q.*, doc_idx AS qd, par_idx AS qpar FROM q JOIN pw ON word_id = qid), sc AS (SELECT qid, pw.doc_idx, word_idx, list_dot_product(qs, s) AS score FROM ownp JOIN pw ON pw.doc_idx = qd AND pw.par_idx = qpar), top5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_idx, word_idx) AS rank FROM sc) WHERE rank <= 5)"
+
+
+@query("q1_closed_paragraph", OWN_PAR + ", r AS (" + BEST.format(spans=PSPANS.format(t="top5", first="list_dot_product(qs, a.s)")) + ")," + RESULTS + "SELECT * FROM shown", "pw q")
+def q1p(spark, d):
+    """Among the words of the question's own paragraph."""
+    w = D.placed_words(spark, d)
+    asked = D.questions(spark, d).join(w.select(F.col("word_id").alias("qid"), "doc_idx", "par_idx"), "qid")
+    return _shown(Q.search(asked, w, scope=("doc_idx", "par_idx")), w, D.titled_contexts(spark, d))
 
 
 @query("w3_final_order", DOT + ", r AS (" + BEST.format(spans=SPANS.format(t="top5", first="list_dot_product(qs, a.s)")) + ") SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS place FROM r", "w q")
@@ -54,10 +82,15 @@ def q2(spark, d):
     return closed.join(Q.starts_open(q, w, 1).select("qid", F.round("score", 6).alias("open_best")), "qid")
 
 
-@query("q3_complete_phrase", CLOSED + " " + BEST.format(spans=SPANS.format(t="top5", first="list_dot_product(qs, a.s)")), "w q")
+#: Only words with a good boundary logit end a span.
+KEPT = "(SELECT {t}.qid, rank, a.doc_idx, a.word_idx AS i, b.word_idx AS j, {first} + coalesce(list_dot_product(qe, b.e) + qp * list_dot_product(a.sa, b.sb), -1e9) AS score FROM {t} JOIN q ON q.qid = {t}.qid JOIN pw a ON a.doc_idx = {t}.doc_idx AND a.word_idx = {t}.word_idx LEFT JOIN pw b ON b.doc_idx = a.doc_idx AND b.fe > 0.1 AND b.word_idx BETWEEN a.word_idx AND a.word_idx + 4)"
+
+
+@query("q3_complete_phrase", CLOSED.replace("JOIN w ON", "JOIN pw ON") + ", r AS (" + BEST.format(spans=KEPT.format(t="top5", first="list_dot_product(qs, a.s)")) + ")," + RESULTS + "SELECT * FROM shown", "pw q")
 def q3(spark, d):
-    q, w = _own(spark, d), D.words(spark, d)
-    return Q.complete(q, Q.starts_closed(q, w, 5), w).select("qid", "rank", "doc_idx", "i", "j", R6("score"))
+    """Starts without a kept end get the character after them and a score of their own."""
+    q, w = _own(spark, d), D.placed_words(spark, d)
+    return _shown(Q.complete(q, Q.starts_closed(q, w, 5), w, ends=w.where("filter_end > 0.1")), w, D.titled_contexts(spark, d))
 
 
 @query("j4_end_candidates", CLOSED + " SELECT top5.qid, rank, b.doc_idx, top5.word_idx AS i, b.word_idx AS j, round(list_dot_product(qe, b.e), 6) AS end_score FROM top5 JOIN q ON q.qid = top5.qid JOIN w b ON b.doc_idx = top5.doc_idx AND b.word_idx BETWEEN top5.word_idx AND top5.word_idx + 4", "w q")
@@ -78,22 +111,59 @@ def j1(spark, d):
 CELL = "cen AS (SELECT label AS cluster_id, arg_min(s, word_id) AS c FROM w GROUP BY label), cell AS (SELECT word_id, doc_idx, word_idx, s, cluster_id FROM (SELECT w.*, cluster_id, row_number() OVER (PARTITION BY word_id ORDER BY list_sum(list_transform(range(1, 25), lambda k: (s[k] - c[k]) * (s[k] - c[k]))), cluster_id) AS n FROM w, cen) WHERE n = 1), probe AS (SELECT qid, qs, cluster_id FROM (SELECT q.*, cluster_id, row_number() OVER (PARTITION BY qid ORDER BY list_sum(list_transform(range(1, 25), lambda k: (qs[k] - c[k]) * (qs[k] - c[k]))), cluster_id) AS n FROM q, cen) WHERE n <= 3)"
 
 
+#: 8-bit codes by ranges over all words, and what they stand for.
+CODED = ", lohi AS (SELECT [" + ", ".join(f"min(s[{i}])" for i in range(1, 25)) + "] AS lo, [" + ", ".join(f"max(s[{i}])" for i in range(1, 25)) + "] AS hi FROM w), coded AS (SELECT word_id, doc_idx, word_idx, cluster_id, list_transform(range(1, 25), lambda k: floor((s[k] - lo[k]) / (hi[k] - lo[k]) * 255 + 0.5)) AS codes, list_transform(range(1, 25), lambda k: lo[k] + floor((s[k] - lo[k]) / (hi[k] - lo[k]) * 255 + 0.5) / 255.0 * (hi[k] - lo[k])) AS dec FROM cell, lohi)"
+
+
+def _index(spark, d, stages=("coarse", "fine", "add", "merge"), keys=("doc_idx", "word_idx"), words=None):
+    """An index of all words, added in two batches of documents."""
+    w = D.words(spark, d) if words is None else words
+    path = IO.scratch(spark)
+    for stage in stages:
+        parts = {"0": w.where("doc_idx % 2 = 0"), "1": w.where("doc_idx % 2 = 1")} if stage == "add" else {"0": w}
+        for shard, part in parts.items():
+            I.build(part, path, I.label_centroids(w), stage, shard=shard, keys=keys)
+    return path
+
+
 @query("i1_coarse_cells", CELL + " SELECT word_id, cluster_id FROM cell", "w q")
 def i1(spark, d):
     w = D.words(spark, d)
     return I.assign(w, I.label_centroids(w)).select("word_id", "cluster_id")
 
 
-@query("i3_cell_sizes", CELL + " SELECT cluster_id, count(*) AS n, min(word_id) AS first FROM cell GROUP BY cluster_id", "w q")
+@query("i3_cell_sizes", CELL + CODED + " SELECT cluster_id, count(*) AS n, min(word_id) AS first, sum(list_sum(codes))::BIGINT AS total FROM coded GROUP BY cluster_id", "w q")
 def i3(spark, d):
-    w = D.words(spark, d)
-    return I.assign(w, I.label_centroids(w)).groupBy("cluster_id").agg(F.count("*").alias("n"), F.min("word_id").alias("first"))
+    stored = spark.read.parquet(f"{_index(spark, d)}/index")
+    sums = F.aggregate("codes", F.lit(0).cast("long"), lambda s, x: s + x)
+    return stored.groupBy("cluster_id").agg(F.count("*").alias("n"), F.min(F.col("doc_idx") * D.PER_DOC + F.col("word_idx")).alias("first"), F.sum(sums).alias("total"))
+
+
+@query("i3_paragraph_mode", CELL + " SELECT cluster_id, pw.doc_idx, par_idx, count(*) AS n FROM cell JOIN pw USING (word_id) GROUP BY ALL", "pw q")
+def i3p(spark, d):
+    """The index keeps each word's paragraph. Centroids are those of all words."""
+    w, path = D.placed_words(spark, d), IO.scratch(spark)
+    for stage in ("coarse", "fine", "add", "merge"):
+        I.build(w, path, I.label_centroids(D.words(spark, d)), stage, keys=("doc_idx", "par_idx", "word_idx"))
+    return spark.read.parquet(f"{path}/index").groupBy("cluster_id", "doc_idx", F.col("par_idx").cast("long").alias("par_idx")).agg(F.count("*").alias("n"))
 
 
-@query("j2_cell_join", CELL + ", sc AS (SELECT qid, doc_idx, word_idx, list_dot_product(qs, s) AS score FROM probe JOIN cell USING (cluster_id)) SELECT qid, rank, doc_idx, word_idx, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_idx, word_idx) AS rank FROM sc) WHERE rank <= 5", "w q")
+BY_CELLS = CELL + CODED + ", sc AS (SELECT qid, doc_idx, word_idx, list_dot_product(qs, dec) AS score FROM probe JOIN coded USING (cluster_id)), top5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_idx, word_idx) AS rank FROM sc) WHERE rank <= 5)"
+
+
+@query("j2_cell_join", BY_CELLS + " SELECT qid, rank, doc_idx, word_idx, round(score, 6) AS score FROM top5", "w q")
 def j2(spark, d):
+    """Only the folders of probed cells are read, and only their codes."""
+    path = _index(spark, d)
+    return Q.starts_by_cells(D.questions(spark, d), I.stored(spark, path), spark.read.parquet(f"{path}/centroids"), 3, 5).select("qid", "rank", "doc_idx", "word_idx", R6("score"))
+
+
+@query("q1_indexed_search", BY_CELLS + " " + BEST.format(spans=SPANS.format(t="top5", first="list_dot_product(qs, a.s)")), "w q")
+def q1i(spark, d):
+    """Candidates by decoded vectors from cells, scores by the words' own vectors."""
+    path = _index(spark, d)
     w = D.words(spark, d)
-    return Q.starts_by_cells(D.questions(spark, d), w, I.label_centroids(w), 3, 5).select("qid", "rank", "doc_idx", "word_idx", R6("score"))
+    return Q.search(D.questions(spark, d), w, cells=I.stored(spark, path), centroids=spark.read.parquet(f"{path}/centroids"), nprobe=3).select("qid", "rank", "doc_idx", "i", "j", R6("score"))
 
 
 @query("i2_scalar_quantizer", "lo AS (SELECT [" + ", ".join(f"min(s[{i}])" for i in range(1, 25)) + "] AS lo, [" + ", ".join(f"max(s[{i}])" for i in range(1, 25)) + "] AS hi FROM w) SELECT word_id, array_to_string(list_transform(range(1, 25), lambda k: floor((s[k] - lo[k]) / (hi[k] - lo[k]) * 255 + 0.5)::INT), ',') AS codes FROM w, lo", "w")
@@ -101,22 +171,34 @@ def i2(spark, d):
     return I.scalar_codes(D.words(spark, d), 24).select("word_id", F.array_join("codes", ",").alias("codes"))
 
 
-@query("i2_product_quantizer")
+def _lloyd(k: int, steps: int, first: int = 1, size: int = 24, name: str = "a") -> str:
+    """CTEs {name}0 to {name}{steps}: centroids after each of Lloyd's steps on components first to first + size - 1; {name}: each word's cell."""
+    vec = f"s[{first}:{first + size - 1}]"
+    nearest = f"(SELECT word_id, v, id FROM (SELECT word_id, v, id, row_number() OVER (PARTITION BY word_id ORDER BY list_sum(list_transform(range(1, {size + 1}), lambda k: (v[k] - c[k]) * (v[k] - c[k]))), id) AS n FROM {name}v, {{c}}) WHERE n = 1)"
+    out = [f"{name}v AS MATERIALIZED (SELECT word_id, {vec} AS v FROM w)", f"{name}0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5('29:' || word_id), word_id) - 1 AS id, v AS c FROM {name}v QUALIFY id < {k})"]
+    for step in range(steps):
+        means = "[" + ", ".join(f"avg(v[{i}])" for i in range(1, size + 1)) + "]"
+        out.append(f"{name}{step + 1} AS MATERIALIZED (SELECT o.id, coalesce(m.c, o.c) AS c FROM {name}{step} o LEFT JOIN (SELECT id, {means} AS c FROM {nearest.format(c=f'{name}{step}')} GROUP BY id) m ON m.id = o.id)")
+    out.append(f"{name} AS MATERIALIZED (SELECT word_id, id FROM {nearest.format(c=f'{name}{steps}')})")
+    return ", ".join(out)
+
+
+@query("i2_product_quantizer", ", ".join(_lloyd(8, 10, 1 + 6 * p, 6, "abcd"[p] + "x") for p in range(4)) + " SELECT word_id, ax.id || ',' || bx.id || ',' || cx.id || ',' || dx.id AS codes FROM ax JOIN bx USING (word_id) JOIN cx USING (word_id) JOIN dx USING (word_id)", "w")
 def i2p(spark, d):
     return I.product_codes(D.words(spark, d), 4, 8).select("word_id", F.array_join("codes", ",").alias("codes"))
 
 
-@query("a17_kmeans")
+@query("a17_kmeans", _lloyd(16, 10) + " SELECT id::INT AS cluster_id, count(*) AS n FROM a GROUP BY id", "w")
 def a17(spark, d):
     w = D.words(spark, d)
     return I.assign(w, I.kmeans_centroids(w, 16)).groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
-@query("u2_merge_shards", "SELECT label, count(*) AS n, sum(word_id)::BIGINT AS total FROM w GROUP BY label", "w")
+@query("u2_merge_shards", CELL + " SELECT cluster_id, count(*) AS n, sum(word_id)::BIGINT AS total FROM cell GROUP BY cluster_id", "w q")
 def u2(spark, d):
-    w = D.words(spark, d)
-    even, odd = w.where("doc_idx % 2 = 0"), w.where("doc_idx % 2 = 1")  # two shards of one index
-    return even.unionByName(odd).groupBy("label").agg(F.count("*").alias("n"), F.sum("word_id").alias("total"))
+    """Two shards of an index, one of even and one of odd documents, as one."""
+    merged = spark.read.parquet(f"{_index(spark, d)}/index").withColumn("word_id", F.col("doc_idx") * D.PER_DOC + F.col("word_idx"))
+    return merged.groupBy("cluster_id").agg(F.count("*").alias("n"), F.sum("word_id").alias("total"))
 
 
 COUNTS = "c AS (SELECT doc_id AS doc_idx, len(text) AS n FROM documents)"
@@ -243,78 +325,94 @@ def s10(spark, d):
 TOKENS = "tk AS (SELECT conv_id, turn, unnest(range(len(t))) AS pos, unnest(t) AS token, 1.0 / (1 + unnest(range(len(t)))) AS weight FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\\pL0-9]+') AS t FROM conversations)), uq AS (SELECT conv_id AS k, turn, pos, token, weight FROM tk WHERE turn % 2 = 0), ac AS (SELECT conv_id AS k, turn, pos, token, weight FROM tk WHERE turn % 2 = 1)"
 
 
-@query("f32_sparse_logits", TOKENS + " SELECT uq.k AS conv_id, uq.turn AS q, ac.turn AS c, ac.pos, round(sum(uq.weight * ac.weight), 6) AS score FROM uq JOIN ac ON uq.k = ac.k AND uq.token = ac.token GROUP BY ALL")
-def f32(spark, d):
+#: Weights of both sides where n tokens in a row agree.
+GRAMS = TOKENS + ", ug AS (SELECT *, lead(token, 1) OVER wn AS t1, lead(token, 2) OVER wn AS t2 FROM uq WINDOW wn AS (PARTITION BY k, turn ORDER BY pos)), ag AS (SELECT *, lead(token, 1) OVER wn AS t1, lead(token, 2) OVER wn AS t2 FROM ac WINDOW wn AS (PARTITION BY k, turn ORDER BY pos)) SELECT ug.k AS conv_id, ug.turn AS q, ag.turn AS c, ag.pos, round(sum(ug.weight * ag.weight), 6) AS score FROM ug JOIN ag ON ug.k = ag.k AND ug.token = ag.token{same} GROUP BY ALL"
+
+
+def _agreeing(spark, d, n):
     t = D.table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(X.TERM), F.lit(0))).alias("pos", "token"))
     t = t.withColumn("weight", 1.0 / (1 + F.col("pos"))).withColumn("token", F.struct("conv_id", "token"))
     q = t.where("turn % 2 = 0").withColumn("qid", F.struct("conv_id", "turn"))
     c = t.where("turn % 2 = 1").withColumn("cid", F.struct("conv_id", "turn"))
-    return P.ngram_matches(q, c).select("qid.conv_id", F.col("qid.turn").alias("q"), F.col("cid.turn").alias("c"), F.col("pos").cast("long").alias("pos"), R6("score"))
+    return P.ngram_matches(q, c, n).select("qid.conv_id", F.col("qid.turn").alias("q"), F.col("cid.turn").alias("c"), F.col("pos").cast("long").alias("pos"), R6("score"))
+
 
+for _n, _name, _same in ((1, "f32_sparse_logits", ""), (2, "f32_sparse_bigrams", " AND ug.t1 = ag.t1"), (3, "f32_sparse_trigrams", " AND ug.t1 = ag.t1 AND ug.t2 = ag.t2")):
+    query(_name, GRAMS.format(same=_same))(lambda spark, d, n=_n: _agreeing(spark, d, n))
 
-# --- dense with sparse: a document's or paragraph's sparse score for a question stands for its label's agreement ---
 
-HYB = """
-dsc AS (SELECT q.qid, w.doc_idx, sum((w.label = qw.label)::INT)::DOUBLE AS score FROM q JOIN w qw ON qw.word_id = q.qid JOIN w ON w.label = qw.label GROUP BY ALL),
-psc AS (SELECT q.qid, w.doc_idx, w.word_idx // 5 AS par_idx, count(*)::DOUBLE AS score FROM q JOIN w qw ON qw.word_id = q.qid JOIN w ON w.label = qw.label GROUP BY ALL),
-al AS (SELECT qid, doc_idx, word_idx, list_dot_product(qs, s) AS score FROM q, w),
+# --- dense with sparse: questions are benchmark items, documents and paragraphs have TF-IDF scores for them ---
+
+HYB = (
+    DOCW
+    + ", "
+    + PAR
+    + """,
+dsc AS (SELECT item_id * 20 AS qid, doc_id AS doc_idx, score FROM ds),
+psc AS (SELECT item_id * 20 AS qid, doc_id AS doc_idx, par_idx, score FROM ps),
+al AS (SELECT qid, doc_idx, word_idx, list_dot_product(qs, s) AS score FROM q, pw),
 den AS (SELECT a.qid, a.doc_idx, a.word_idx, a.score + 0.1 * coalesce(dsc.score, 0) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_idx, word_idx) AS n FROM al) a LEFT JOIN dsc ON dsc.qid = a.qid AND dsc.doc_idx = a.doc_idx WHERE n <= 100),
-dt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_idx) AS n FROM dsc) WHERE n <= 5),
+dt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_idx) AS n FROM dsc) WHERE n <= 50),
 spa AS (SELECT al.qid, al.doc_idx, al.word_idx, al.score + 0.1 * dt.score AS score FROM al JOIN dt ON al.qid = dt.qid AND al.doc_idx = dt.doc_idx)
 """
+)
 TAIL = """
 , mid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_idx, word_idx) AS n FROM st) WHERE n <= 20),
-fu AS (SELECT m.qid, m.doc_idx, m.word_idx, m.score + 0.1 * coalesce(p.score, 0) AS score FROM mid m LEFT JOIN psc p ON p.qid = m.qid AND p.doc_idx = m.doc_idx AND p.par_idx = m.word_idx // 5),
+fu AS (SELECT m.qid, m.doc_idx, m.word_idx, m.score + 0.1 * coalesce(p.score, 0) AS score FROM mid m JOIN pw ON pw.doc_idx = m.doc_idx AND pw.word_idx = m.word_idx LEFT JOIN psc p ON p.qid = m.qid AND p.doc_idx = m.doc_idx AND p.par_idx = pw.par_idx),
 o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_idx, word_idx) AS rank FROM fu) WHERE rank <= 10)
 """
+CUTS = {"start_top_k": 100, "mid_top_k": 20, "doc_top_k": 50}
+
+
+def _sparse(spark, d):
+    return Q.sparse_scores(D.question_texts(spark, d), D.paragraphs(spark, d), _docs(spark, d))
 
 
 def _hybrid(spark, d, strategy):
-    w = D.words(spark, d).withColumn("par_idx", F.floor(F.col("word_idx") / 5).cast("long"))
-    q = D.questions(spark, d)
-    own = q.join(w.select(F.col("word_id").alias("qid"), "label"), "qid").select("qid", "label").join(w.select("label", "doc_idx", "par_idx"), "label")
-    docs = own.groupBy("qid", "doc_idx").agg(F.count("*").cast("double").alias("score"))
-    pars = own.groupBy("qid", "doc_idx", "par_idx").agg(F.count("*").cast("double").alias("score"))
-    return Q.hybrid_search(q, w, docs, pars, strategy, start_top_k=100, mid_top_k=20, out_top_k=10).select("qid", "rank", "doc_idx", "i", "j", R6("score"))
+    w = D.placed_words(spark, d)
+    docs, pars = _sparse(spark, d)
+    found = Q.hybrid_search(D.questions(spark, d), w, docs, pars, strategy, **CUTS)
+    return _shown(found, w, D.titled_contexts(spark, d), presentable=True)
 
 
+MARKS = " WHERE len(context) - len(replace(context, '?', '')) <= 3 AND len(context) - len(replace(context, '!', '')) <= 5"
 for _name, _strategy, _union in (("q4_dense_first", "dense_first", "SELECT * FROM den"), ("q4_sparse_first", "sparse_first", "SELECT * FROM spa"), ("q4_hybrid", "hybrid", "SELECT * FROM den UNION ALL SELECT * FROM spa")):
-    query(_name, HYB + f", st AS ({_union})" + TAIL + BEST.format(spans=SPANS.format(t="o", first="o.score")), "w q")(lambda spark, d, s=_strategy: _hybrid(spark, d, s))
+    query(_name, HYB + f", st AS ({_union})" + TAIL + ", r AS (" + BEST.format(spans=PSPANS.format(t="o", first="o.score")) + ")," + RESULTS + "SELECT * FROM shown" + MARKS, "pw q tfidf qtfidf")(lambda spark, d, s=_strategy: _hybrid(spark, d, s))
+
 
+@query("q4_closed", CLOSED.replace("JOIN w ON", "JOIN pw ON") + ", r AS (" + BEST.format(spans=PSPANS.format(t="top5", first="top5.score")) + ")," + RESULTS + "SELECT * FROM shown", "pw q")
+def q4c(spark, d):
+    w = D.placed_words(spark, d)
+    none = spark.createDataFrame([], "qid long, doc_idx long, par_idx long, score double")
+    return _shown(Q.hybrid_search(_own(spark, d), w, none, none, out_top_k=5, scope=("doc_idx",)), w, D.titled_contexts(spark, d))
 
-@query("j7_score_fusion", HYB + "SELECT qid, doc_idx, word_idx, round(score, 6) AS score FROM den", "w q")
+
+@query("j7_score_fusion", HYB + "SELECT qid, doc_idx, word_idx, round(score, 6) AS score FROM den", "pw q tfidf qtfidf")
 def j7(spark, d):
-    w, q = D.words(spark, d), D.questions(spark, d)
-    own = q.join(w.select(F.col("word_id").alias("qid"), "label"), "qid").select("qid", "label").join(w.select("label", "doc_idx"), "label")
-    docs = own.groupBy("qid", "doc_idx").agg(F.count("*").cast("double").alias("score"))
-    return Q.dense_first(q, w, docs, 100, 0.1).select("qid", "doc_idx", "word_idx", R6("score"))
+    return Q.dense_first(D.questions(spark, d), D.placed_words(spark, d), _sparse(spark, d)[0], 100, 0.1).select("qid", "doc_idx", "word_idx", R6("score"))
 
 
-@query("u1_hybrid_union", HYB + ", st AS (SELECT * FROM den UNION ALL SELECT * FROM spa) SELECT qid, count(*) AS n, round(sum(score), 4) AS total FROM st GROUP BY qid", "w q")
+@query("u1_hybrid_union", HYB + ", st AS (SELECT * FROM den UNION ALL SELECT * FROM spa) SELECT qid, count(*) AS n, round(sum(score), 4) AS total FROM st GROUP BY qid", "pw q tfidf qtfidf")
 def u1(spark, d):
-    w, q = D.words(spark, d), D.questions(spark, d)
-    own = q.join(w.select(F.col("word_id").alias("qid"), "label"), "qid").select("qid", "label").join(w.select("label", "doc_idx"), "label")
-    docs = own.groupBy("qid", "doc_idx").agg(F.count("*").cast("double").alias("score"))
-    both = Q.dense_first(q, w, docs, 100, 0.1).unionByName(Q.sparse_first(q, w, docs, 5, 0.1))
+    w, q, docs = D.placed_words(spark, d), D.questions(spark, d), _sparse(spark, d)[0]
+    both = Q.dense_first(q, w, docs, 100, 0.1).unionByName(Q.sparse_first(q, w, docs, 50, 0.1))
     return both.groupBy("qid").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
 
 
-@query("w2_cascade", HYB + ", st AS (SELECT * FROM den)" + TAIL + "SELECT qid, rank, doc_idx, word_idx, round(score, 6) AS score FROM o", "w q")
+@query("w2_cascade", HYB + ", st AS (SELECT * FROM den)" + TAIL + "SELECT qid, rank, doc_idx, word_idx, round(score, 6) AS score FROM o", "pw q tfidf qtfidf")
 def w2(spark, d):
-    w = D.words(spark, d).withColumn("par_idx", F.floor(F.col("word_idx") / 5).cast("long"))
-    q = D.questions(spark, d)
-    own = q.join(w.select(F.col("word_id").alias("qid"), "label"), "qid").select("qid", "label").join(w.select("label", "doc_idx", "par_idx"), "label")
-    docs = own.groupBy("qid", "doc_idx").agg(F.count("*").cast("double").alias("score"))
-    pars = own.groupBy("qid", "doc_idx", "par_idx").agg(F.count("*").cast("double").alias("score"))
-    mid = K.top(Q.dense_first(q, w, docs, 100, 0.1), 20).drop("rank").join(w.select("doc_idx", "word_idx", "par_idx"), ["doc_idx", "word_idx"])
-    return K.top(Q.fuse(mid, pars, 0.1, ["doc_idx", "par_idx"]), 10).select("qid", "rank", "doc_idx", "word_idx", R6("score"))
+    docs, pars = _sparse(spark, d)
+    return Q.hybrid_starts(D.questions(spark, d), D.placed_words(spark, d), docs, pars, **CUTS).select("qid", "rank", "doc_idx", "word_idx", R6("score"))
 
 
-@query("q5_batch_prediction", DOT + ", r AS (" + BEST.format(spans=SPANS.format(t="top5", first="list_dot_product(qs, a.s)")) + ") SELECT qid, string_agg(doc_idx || ':' || i || '-' || j, '|' ORDER BY score DESC, rank) AS answers FROM r GROUP BY qid", "w q")
+@query("q5_batch_prediction", PLACED + ", r AS (" + BEST.format(spans=PSPANS.format(t="top5", first="list_dot_product(qs, a.s)")) + ")," + RESULTS + "SELECT qid, string_agg(answer, '|' ORDER BY score DESC, rank) AS answers FROM shown GROUP BY qid", "pw q")
 def q5(spark, d):
-    r = Q.search(D.questions(spark, d), D.words(spark, d)).withColumn("score", F.round("score", 6))
-    r = r.withColumn("answer", F.concat("doc_idx", F.lit(":"), "i", F.lit("-"), "j"))
-    return Q.batch_predictions(r).select("qid", F.array_join("answers", "|").alias("answers"))
+    return Q.batch_predictions(q1(spark, d)).select("qid", F.array_join("answers", "|").alias("answers"))
+
+
+@query("q5_closed_prediction", OWN_PAR + ", r AS (" + BEST.format(spans=PSPANS.format(t="top5", first="list_dot_product(qs, a.s)")) + ")," + RESULTS + "SELECT qid, string_agg(answer, '|' ORDER BY score DESC, rank) AS answers FROM shown GROUP BY qid", "pw q")
+def q5p(spark, d):
+    return Q.batch_predictions(q1p(spark, d)).select("qid", F.array_join("answers", "|").alias("answers"))
 
 
 @query("d14_predictions", DOT + " SELECT qid, string_agg(doc_idx || '.' || word_idx, ',' ORDER BY rank) AS starts FROM top5 GROUP BY qid", "w q")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from phrasewell.functions import text as X
 from phrasewell.functions import vectors as V
 
 PER_DOC = 25
@@ -58,3 +59,30 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("truth"))
     told = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("pred"))
     return asked.join(told, ["conv_id", "turn"], "left").select(F.concat_ws("-", "conv_id", "turn").alias("qid"), "truth", "pred")
+
+
+def titled_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_idx, title, context)"""
+    return contexts(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title")), "doc_id").withColumnRenamed("doc_id", "doc_idx")
+
+
+def word_offsets(contexts: DataFrame) -> DataFrame:
+    """(doc_idx, word_idx, par_idx, char_start, char_end) of every word of contexts(doc_idx, context); separators are no words."""
+    rows = contexts.select("doc_idx", F.posexplode(X.word_places(F.col("context"))).alias("_at", "p"))
+    order = Window.partitionBy("doc_idx").orderBy("_at")
+    separator = F.col("p.word") == X.SEPARATOR.strip()
+    rows = rows.select("doc_idx", "_at", separator.alias("_sep"), F.length("p.word").alias("_n"), F.sum(F.col("p.gap") + F.length("p.word")).over(order).alias("char_end"), F.sum(separator.cast("int")).over(order).alias("par_idx"))
+    rows = rows.where(~F.col("_sep")).withColumn("word_idx", F.col("_at") - F.col("par_idx"))
+    return rows.select("doc_idx", F.col("word_idx").cast("long").alias("word_idx"), "par_idx", (F.col("char_end") - F.col("_n")).alias("char_start"), "char_end")
+
+
+def placed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words whose document has a word at their place, with its characters and paragraph."""
+    w = words(spark, sf_dir)
+    own = contexts(spark, sf_dir).withColumnRenamed("doc_id", "doc_idx").join(w.select("doc_idx").distinct(), "doc_idx", "left_semi")
+    return w.join(word_offsets(own), ["doc_idx", "word_idx"])
+
+
+def question_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, text): a benchmark item for each question."""
+    return table(spark, sf_dir, "benchmark").select((F.col("item_id") * QUESTION_EVERY).alias("qid"), "text")

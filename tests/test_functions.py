@@ -127,17 +127,98 @@ def test_gaps(spark):
     make = lambda *r: spark.createDataFrame(list(r), "start long, end long")
     assert C.gaps(make((0, 2), (2, 5))).count() == 0
     assert [tuple(r) for r in C.gaps(make((0, 2), (3, 5))).collect()] == [(3, 5, 2)]
+    assert C.gaps(make((0, 2), (2, 5)), 0, 5).count() == 0
+    assert sorted(tuple(r) for r in C.gaps(make((1, 2), (2, 5)), 0, 7).collect()) == [(1, 2, 0), (7, 7, 5)]
 
 
 def test_tokenizers():
     assert T.basic_tokens("Héllo, wörld! 中文") == ["hello", ",", "world", "!", "中", "文"]
     assert T.basic_tokens(None) == []
     assert T.cleaned("Héllo,\u00a0 wörld!\x00") == "hello, world!" and T.cleaned(None) == ""
-    v = {"un", "##aff", "##able"}
-    assert T.pieces("unaffable", v) == ["un", "##aff", "##able"]
+    v = {"mar", "##ket", "##place"}
+    assert T.pieces("marketplace", v) == ["mar", "##ket", "##place"]
     assert T.pieces("xyz", v) == ["xyz"] and T.pieces("xyz", v, True) == ["[UNK]"]
-    assert T.aligned_span("Steve  Smith's", "steve smith") == (0, 12)
-    assert T.aligned_span("abc", "zzz") == (0, 3)
+
+
+@pytest.mark.parametrize(
+    "original, tokens, want",
+    [
+        ("Green  Lake's shore", "green lake", (0, 11)),
+        ("abc", "zzz", (0, 3)),
+        ("the re\u0301sume\u0301 of Ann", "resume", (4, 12)),  # accents of their own
+        ("the r\u00e9sum\u00e9 of Ann", "resume", (4, 10)),
+        ("a (b) c", "( b )", (2, 5)),
+        ("one two", "t ##wo", (4, 7)),
+        ("x\u200by z", "z", (4, 5)),  # a control character counts nothing
+        ("", "a", (0, 0)),
+    ],
+)
+def test_aligned_span(original, tokens, want):
+    assert T.aligned_span(original, tokens) == want
+
+
+def test_span_in_words():
+    assert T.span_in_words(["Old", "(mill)", "road"], 1, 2, "mill ) road") == (5, 15)
+
+
+def ids_of(spark, column, n=40):
+    return {r["id"]: r["x"] for r in spark.range(n).select("id", column.alias("x")).collect()}
+
+
+def test_noise(spark):
+    ids = F.transform(F.sequence(F.lit(1000), F.lit(1029)), lambda i: i.cast("long"))
+    marked = T.framed(ids, 101, 102)
+    whole = [101, *range(1000, 1030), 102]
+    key = F.col("id")
+    short = ids_of(spark, T.shortened(marked, key, 1.0, 2, 60))
+    assert all(x[0] == 101 and x[-1] == 102 and x[1:-1] == whole[1 : len(x) - 1] for x in short.values())
+    assert {len(x) for x in short.values()} >= {32} and min(len(x) for x in short.values()) >= 4  # a length beyond the text's own leaves it
+    assert all(len(x) <= 32 for x in ids_of(spark, T.shortened(marked, key, 1.0, 0, 300, always_shorter=True)).values())
+    assert set(map(tuple, ids_of(spark, T.shortened(marked, key, 0.0)).values())) == {tuple(whole)}
+    lost = ids_of(spark, T.replaced(marked, key, 1.0, 1.0))
+    assert set(map(tuple, lost.values())) == {(101, *[100] * 30, 102)}
+    drawn = ids_of(spark, T.replaced(marked, key, 1.0, 0.0, vocab_size=1200))
+    assert all(x[0] == 101 and x[-1] == 102 and all(999 <= i < 1200 for i in x[1:-1]) for x in drawn.values())
+    mixed = ids_of(spark, T.shuffled(marked, key, 0.5))
+    assert all(len(x) == 32 and set(x[1:-1]) <= set(whole[1:-1]) and x[0] == 101 and x[-1] == 102 for x in mixed.values()) and len(set(map(tuple, mixed.values()))) == 40
+    empty = T.framed(F.expr("cast(array() as array<long>)"), 101, 102)
+    assert set(map(tuple, ids_of(spark, T.noisy(empty, key)).values())) == {(101, 102)}
+    kept = [x == whole for x in ids_of(spark, T.noisy_negative(marked, key, share=0.5), 200).values()]
+    assert 0.3 < sum(kept) / 200 < 0.7
+
+
+def test_terms_are_linear(spark):
+    import time
+
+    took = []
+    for n in (4_000, 64_000):
+        row = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " ").alias("s"))
+        start = time.time()
+        assert row.select(F.size(X.terms(F.col("s"))).alias("n")).collect()[0][0] == 2 * n - 1
+        took.append(time.time() - start)
+    assert took[1] < 40 * max(took[0], 0.2)
+    assert one(spark, X.terms(F.lit("A b-c"))) == ["a", "b", "c", "a b", "b c"] and one(spark, X.terms(F.lit("a"))) == ["a"] and one(spark, X.terms(F.lit(""))) == []
+
+
+@settings(max_examples=15, deadline=None)
+@given(n=st.integers(1, 60), size=st.integers(1, 12), stride=st.integers(1, 12), at=st.integers(0, 59))
+def test_best_window(spark, n, size, stride, at):
+    stride, at = min(stride, size), at % n
+    assert one(spark, C.best_window(F.lit(at), F.lit(n), size, stride)) == one(spark, C.max_context(C.token_windows(F.lit(n), size, stride), F.lit(at)))
+
+
+def test_answer_span(spark):
+    t = F.array(*map(F.lit, "a b a b c".split()))
+    find = lambda *w: tuple(one(spark, X.answer_span(t, F.lit(1), F.lit(4), F.array(*map(F.lit, w)))))
+    assert find("a", "b") == (2, 3) and find("b") == (1, 1) and find("z") == (1, 4) and find(*"bbbbbb") == (1, 4)
+
+
+def test_draws_and_dummy(spark):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(7)], "k long, text string")
+    got = C.draws(rows, 30, "k").collect()
+    assert sorted(r["draw"] for r in got) == list(range(1, 31)) and {r["k"] for r in got} <= set(range(7))
+    both = C.with_dummy(rows.where("k < 2"), "k", "text", F.lit("d"), F.col("k") == 0).collect()
+    assert sorted((r["k"], r["doc_idx"], r["text"]) for r in both) == [(0, 0, "d"), (0, 1, "t0"), (1, 0, "t1"), (1, 1, "d")]
 
 
 def test_unknown_quantizer():
