@@ -4,11 +4,11 @@ A text is lower-cased (A-Z) and its words joined by single spaces. A rule is a r
 a keyword that must occur first, with a priority and a confidence. The rule table is built from license families times
 sentence templates, a few hundred rules. Everything happens within a row: one scan, no shuffle, no Python.
 
-Overlaps: detections are taken by start, longest first, better (smaller) priority first; one that lies wholly inside the span of an
-earlier one is suppressed, so of equal spans the better priority stays and a name inside a longer grant goes.
-Detections that only overlap in part both stay.
+Overlaps: a detection that lies wholly inside the span of another is suppressed if the other's priority is as good (small) or better; of equal
+spans the better priority stays, then the first rule. So a name inside a grant goes, and a grant inside the loose mention of
+another license stays beside it. Detections that only overlap in part both stay.
 
-Null or empty texts have no words and no detections. Repeated rows are scanned each for itself; extra columns pass
+Null or empty texts have no words and no detections, and an empty table gives an empty result. Very long texts are scanned whole, within their row. Repeated rows are scanned each for itself; extra columns pass
 through `scan` and are left out of the digest.
 """
 
@@ -168,12 +168,17 @@ def _found(norm: Column, r: Column) -> Column:
 
 
 def _kept(found: Column) -> Column:
-    """The detections that aren't inside an earlier one's span."""
+    """The detections that aren't inside the span of one with as good a priority.
 
-    def step(last: Column, d: Column) -> Column:
-        return F.struct(F.greatest(last, -d.ne).alias("st"), F.when(-d.ne > last, d).alias("el"))
+    In order of start, longer ones first, what holds a detection comes before it; for each priority the furthest end so far of that or a better one decides.
+    """
+    levels = range(1, 1 + max(r[4] for r in rules()))
+
+    def step(ends: Column, d: Column) -> Column:
+        to = F.transform(ends, lambda e, i: F.when(i + 1 >= d.pr, F.greatest(e, -d.ne)).otherwise(e))
+        return F.struct(to.alias("st"), F.when(-d.ne > F.element_at(ends, d.pr), d).alias("el"))
 
-    return _gather(F.array_sort(found), F.lit(-1), step)
+    return _gather(F.array_sort(found), F.array(*[F.lit(-1) for _ in levels]), step)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -230,6 +235,7 @@ def sql() -> str:
     """The digest in DuckDB SQL. Its regexes have no look-around, so there each word has a space of its own on both sides."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     rows = ",\n  ".join(f"({i}, {quote(label)}, {quote(kw)}, {quote(' (?:' + rx.replace(' ', '(?:  )') + ') ')}, {pr}, {conf}::DOUBLE, {base})" for i, (_, label, kw, rx, pr, conf, base) in enumerate(rules()))
+    levels = " ".join(f"WHEN {k} THEN max(CASE WHEN pr <= {k} THEN e END) OVER before" for k in range(1, 1 + max(r[4] for r in rules())))
     return f"""
 WITH rules(id, label, kw, rx, pr, conf, base) AS (VALUES
   {rows}),
@@ -252,8 +258,8 @@ found AS (
     FROM (SELECT *, array_to_string(rest[1:i], '') || array_to_string(hits[1:i - 1], '') AS b
           FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM hit WHERE len(hits) > 0)))),
 judged AS (
-  SELECT *, e > coalesce(max(e) OVER (PARTITION BY r ORDER BY s, e DESC, pr, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS kept
-  FROM found),
+  SELECT *, e > coalesce(CASE pr {levels} END, -1) AS kept
+  FROM found WINDOW before AS (PARTITION BY r ORDER BY s, e DESC, pr, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 per AS (
   SELECT r, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
