@@ -6,7 +6,8 @@ documents is far above that of clean ones, weighted by the log ratio of the two;
 sums the weights of the longest entry at each word, leaving out words inside exception phrases. The sum, normalised by the text's length,
 goes through a logistic curve that is fitted to the labels, so 0.5 means as likely toxic as not.
 
-Null and empty texts have no matches and get the score of a text without any. Without labels of both kinds every score is 0.
+Null and empty texts have no matches and get the score of a text without any; very long ones are folded and matched whole. A score of just the threshold
+is predicted toxic; an empty table gives an empty result. Without labels of both kinds every score is 0.
 Rows of the labels without a document, or with a null label, teach nothing. Repeated labels count each. Extra columns are ignored.
 """
 
@@ -34,9 +35,10 @@ LOOK_ALIKE = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
 #: Phrases in which an entry's words don't count.
 EXCEPTIONS = ("clown fish", "class clown fish", "pathetic fallacy", "village idiot pub", "idiot proof", "worthless check", "white trash bag", "trash can", "trash bin", "pond scum", "sore loser rule")
-#: A stem has so many letters; an entry needs SUPPORT toxic documents and WEIGHT.
+#: A stem has so many letters; an entry needs SUPPORT toxic documents, SHARE of all toxic documents and WEIGHT.
+#: By the share a lexicon has at most 1 / SHARE times as many entries as a toxic document has on average, whatever the corpus.
 STEMS = range(4, 9)
-SUPPORT, WEIGHT = 3, 2.5
+SUPPORT, SHARE, WEIGHT = 3, 5e-4, 2.5
 #: Documents, share of the toxic documents and weight that make an entry stay whatever else explains its documents.
 FREQUENT = (6, 0.025, 3.5)
 #: The curve is fitted on at most so many labelled rows, those with the least hash.
@@ -130,20 +132,23 @@ def _distinct_stems(top: DataFrame) -> DataFrame:
     return rows.groupBy("root").applyInArrow(work, "entry string, toxic long, clean long, w double")
 
 
-def _needed(weights: dict[str, float], matched: list[list[str]], support: int) -> dict[str, float]:
-    """Of the entries those that explain documents no better entry explains: a greedy cover of the toxic documents.
+def _needed(weights: dict[str, float], matched: list[tuple[frozenset, int]], support: int) -> dict[str, float]:
+    """Of the entries those that explain documents no better entry explains: a greedy cover of the toxic documents, given as sets of entries and how many documents have each.
 
     Near copies make any word of theirs look toxic; once their real entry is taken, such words have nothing left to explain.
     """
-    left = [set(m) for m in matched if m]
+    left = [(m, n) for m, n in matched if m]
     kept: dict[str, float] = {}
     while left:
-        count = Counter(e for m in left for e in m)
+        count: Counter = Counter()
+        for m, n in left:
+            for e in m:
+                count[e] += n
         best = max(count, key=lambda e: (count[e] * weights[e], e))
         if count[best] < support:
             break
         kept[best] = weights[best]
-        left = [m for m in left if best not in m]
+        left = [(m, n) for m, n in left if best not in m]
     return kept
 
 
@@ -218,7 +223,7 @@ def _matcher(model: dict) -> Matcher:
     return _matchers[key]
 
 
-def learn(labelled: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, support: int = SUPPORT, least_weight: float = WEIGHT) -> dict:
+def learn(labelled: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, support: int = SUPPORT, least_weight: float = WEIGHT, share: float = SHARE) -> dict:
     """The lexicon and the curve from labelled(text, toxic)."""
     labelled = materialize(labelled.where("toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic")))
     counts = materialize(_counts(labelled))
@@ -228,20 +233,23 @@ def learn(labelled: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, support
     if not toxic or not clean:
         return model
     ratio = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    top = counts.where((F.col("entry") != " ") & (F.col("toxic") >= support)).withColumn("w", ratio).where(F.col("w") >= least_weight)
+    top = counts.where((F.col("entry") != " ") & (F.col("toxic") >= max(support, share * toxic))).withColumn("w", ratio).where(F.col("w") >= least_weight)
     found = [tuple(r) for r in _distinct_stems(top).collect()]
     model["weights"] = {e: w for e, _, _, w in found}
     some = labelled.withColumn("_h", F.xxhash64("text")).orderBy("_h").limit(FIT_ROWS).select("text", "toxic") if labelled.count() > FIT_ROWS else labelled
-    first = labelled.sparkSession.sparkContext.broadcast(model)  # what passes support, weight and pruning
+    first = labelled.sparkSession.sparkContext.broadcast(model)  # what passes support, share, weight and pruning
+    names = sorted(model["weights"])
 
     def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _matcher(first.value)
+        m, number = _matcher(first.value), {e: i for i, e in enumerate(sorted(first.value["weights"]))}
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([m.entries(x.as_py()) for x in b.column(0)], pa.list_(pa.string()))], ["e"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(number[e] for e in m.entries(x.as_py())) for x in b.column(0)], pa.list_(pa.int32()))], ["e"])
 
-    # An entry of a fair share of all toxic documents stays in any case.
+    # An entry of a fair share of all toxic documents stays in any case. At most FIT_ROWS sets of entries come to the driver, equal ones once.
     frequent = {e for e, t, _, w in found if t >= max(FREQUENT[0], FREQUENT[1] * toxic) and w >= FREQUENT[2]} & model["weights"].keys()
-    model = model | {"weights": {e: model["weights"][e] for e in sorted(frequent)} | _needed(model["weights"], [r[0] for r in some.where("toxic = 1").select("text").mapInArrow(matches, "e array<string>").collect()], support)}
+    sets = some.where("toxic = 1").select("text").mapInArrow(matches, "e array<int>").where(F.size("e") > 0).groupBy("e").count().collect()
+    cover = _needed(model["weights"], [(frozenset(names[i] for i in r["e"]), r["count"]) for r in sets], support)
+    model = model | {"weights": {e: model["weights"][e] for e in sorted(frequent)} | cover}
     shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
