@@ -6,7 +6,7 @@ bit-sliced Bloom filter: slot by slot a mask of languages, so that one lookup (t
 languages that hold an n-gram. A text is decided by popcounts per language, each corrected for its filter's false positives.
 
 Null texts and texts without letters are `und` with score 0. So is everything if nothing could be learned. Rows without
-language, and empty ones, teach nothing. Equal counts go to the language first in code-point order. The score is the share of the text's n-grams
+language, and empty ones, teach nothing; an empty table gives an empty result. Equal counts go to the language first in code-point order. The score is the share of the text's n-grams
 that the language has, after the correction. Texts are handled whole, in pieces that end between words (a single word of
 more than PIECE letters may be cut). Columns of the input pass through `detect` unchanged, except that columns named lang_pred and score are replaced.
 """
@@ -26,6 +26,8 @@ from phrasewell.llm._vec import mix64
 
 GRAM, RATE, HASHES, SLOTS = 4, 1e-5, 3, 1 << 21
 PIECE = 1 << 20
+#: Languages of one filter, which is broadcast: 64 MB with all slots.
+LANGS_AT_ONCE = 256
 #: Texts whose winner scores less are rejected by the pipeline's stage.
 REJECT_BELOW = 0.2
 
@@ -127,21 +129,25 @@ def learn(labelled: DataFrame, gram: int = GRAM, rate: float = RATE, slots: int
 
     rows = labelled.where("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, part int, keys binary, counts binary")
     summed = materialize(rows.groupBy("lang", "part").applyInArrow(total, "lang string, keys binary, counts binary, n long"))
-    all_grams = {r[0]: r[1] for r in summed.groupBy("lang").agg(F.sum("n")).collect()}
+    all_grams = {r[0]: r[1] for r in summed.groupBy("lang").agg(F.sum("n")).collect()}  # a number a language
+    langs = sorted(all_grams, key=lambda x: x.encode())
+    return {"langs": langs, "gram": gram, "block": lambda at: _block(summed, langs[at : at + LANGS_AT_ONCE], all_grams, rate, slots)}
+
+
+def _block(summed: DataFrame, langs: list[str], all_grams: dict[str, int], rate: float, slots: int) -> dict:
+    """The filter of some languages: at most 1 / rate n-grams each."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for lang, k, n in zip(b["lang"].to_pylist(), b["keys"].to_pylist(), b["counts"].to_pylist(), strict=True):
-                key, n = np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64)
-                out.append((lang, blob(key[n >= max(2.0, rate * all_grams[lang])])))
+                out.append((lang, blob(np.frombuffer(k, np.uint64)[np.frombuffer(n, np.int64) >= rate * all_grams[lang]])))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], ["lang", "keys"])
 
-    chosen: dict[str, list] = {}
-    for r in summed.select("lang", "keys", "counts").mapInArrow(choose, "lang string, keys binary").collect():  # at most 1 / rate n-grams a language
-        chosen.setdefault(r[0], []).append(np.frombuffer(r[1], np.uint64))
-    langs = sorted(chosen, key=lambda x: x.encode())
-    keys = [np.concatenate(chosen[x]) for x in langs]
+    chosen: dict[str, list] = {x: [] for x in langs}
+    for r in summed.where(F.col("lang").isin(langs)).select("lang", "keys", "counts").mapInArrow(choose, "lang string, keys binary").collect():
+        chosen[r[0]].append(np.frombuffer(r[1], np.uint64))
+    keys = [np.concatenate(chosen[x] or [np.empty(0, np.uint64)]) for x in langs]
     need = 16 * max([1, *map(len, keys)])
     m = min(slots, 1 << max(12, (need - 1).bit_length()))
     masks = np.zeros((-(-len(langs) // 64) or 1, m), np.uint64)
@@ -149,7 +155,7 @@ def learn(labelled: DataFrame, gram: int = GRAM, rate: float = RATE, slots: int
         for at in _slots(k, m):
             masks[i // 64][at] |= np.uint64(1 << (i % 64))
     fill = [float(np.mean((masks[i // 64] >> np.uint64(i % 64)) & np.uint64(1))) for i in range(len(langs))]
-    return {"langs": langs, "masks": masks, "false": [f**HASHES for f in fill], "gram": gram}
+    return {"langs": langs, "masks": masks, "false": [f**HASHES for f in fill]}
 
 
 def _slots(h: np.ndarray, m: int) -> Iterator[np.ndarray]:
@@ -158,10 +164,11 @@ def _slots(h: np.ndarray, m: int) -> Iterator[np.ndarray]:
         h = mix64(h + np.uint64(j + 1))
 
 
-def decide(text: str | None, model: dict) -> tuple[str, float]:
-    langs, masks = model["langs"], model["masks"]
+def decide(text: str | None, block: dict, gram: int = GRAM) -> tuple[str, float]:
+    """The best language of a block and its score."""
+    langs, masks = block["langs"], block["masks"]
     hits, total = np.zeros(len(langs)), 0
-    for h in _grams(text or "", model["gram"]):
+    for h in _grams(text or "", gram):
         total += len(h)
         found = None
         for at in _slots(h, masks.shape[1]):
@@ -171,26 +178,38 @@ def decide(text: str | None, model: dict) -> tuple[str, float]:
             hits[i] += np.count_nonzero(found[i // 64] & np.uint64(1 << (i % 64)))
     if not total or not langs:
         return "und", 0.0
-    false = np.asarray(model["false"])
+    false = np.asarray(block["false"])
     share = np.clip((hits / total - false) / np.maximum(1e-9, 1 - false), 0, 1)
     best = int(np.argmax(share))
     return langs[best], float(share[best])
 
 
-def detect(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
-    docs = docs.drop("lang_pred", "score")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    names = [*docs.columns, "lang_pred", "score"]
+def _decided(docs: DataFrame, block: dict, gram: int, text: str, first: bool) -> DataFrame:
+    """docs with lang_pred and score, by this block's languages where they do better than those before."""
+    names = docs.columns if not first else [*docs.columns, "lang_pred", "score"]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + (", lang_pred string, score double" if first else "")
     at = docs.columns.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SLOTS masks
+    shared = docs.sparkSession.sparkContext.broadcast(block)  # at most SLOTS masks of LANGS_AT_ONCE bits
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [decide(x.as_py(), shared.value) for x in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names)
+            found = [decide(x.as_py(), shared.value, gram) for x in b.column(at)]
+            rest = b.columns
+            if not first:
+                known = list(zip(b.column(len(rest) - 2).to_pylist(), b.column(len(rest) - 1).to_pylist(), strict=True))
+                found = [new if new[1] > old[1] else old for new, old in zip(found, known, strict=True)]
+                rest = rest[:-2]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names)
 
-    return docs.mapInArrow(work, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(work, fields)
+
+
+def detect(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """docs with lang_pred and score. A model of more languages than LANGS_AT_ONCE looks at the texts once for each such block of them."""
+    out = docs.drop("lang_pred", "score")
+    for at in range(0, max(1, len(model["langs"])), LANGS_AT_ONCE):
+        out = _decided(out, model["block"](at), model["gram"], text, at == 0)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
