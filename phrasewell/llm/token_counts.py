@@ -4,10 +4,11 @@ Texts are cut at safe boundaries, grouped into batches balanced by bytes and enc
 sentencepiece vocabulary a boundary before a space that follows another character is safe: no piece of it has its
 space mark after another character (checked when the model is loaded), so no merge crosses the boundary, and the
 mark that the library puts before each text stands for that space. The parts between such boundaries repeat a lot, so each worker
-remembers the lengths of parts it has encoded, up to a bound.
+remembers the lengths of short parts it has encoded, up to a bound in characters. A text without spaces is one part: pieces may cross any
+other place, so it is encoded whole, and not remembered.
 
 Null texts count as empty and have no tokens. Texts of any length are handled whole; a text is never held more than
-once besides its parts. Repeated rows count each; extra columns are ignored.
+once besides its parts. Repeated rows count each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from phrasewell.llm._shared import table
 
 MODEL = "piece_bpe_32k.model"
 OVER_LIMIT = 4096
-#: Bytes encoded by one call, and lengths remembered by a worker.
-BATCH_BYTES, REMEMBERED = 1 << 20, 300_000
+#: Characters encoded by one call, characters of parts whose lengths a worker remembers in all, and of the longest such part.
+BATCH_BYTES, REMEMBERED, LONGEST_REMEMBERED = 1 << 20, 16 << 20, 64
 
 _PART = re.compile("(?:^[ ▁]*|[ ▁])[ ▁]*[^ ▁]+|[ ▁]+")
 
@@ -39,22 +40,27 @@ class PieceCounter:
         pieces = map(self.model.id_to_piece, range(self.model.get_piece_size()))
         self.safe = not any("▁" in p.lstrip("▁") for p in pieces) and len(self.model.encode("a a")) == 2 * len(self.model.encode("a"))
         self.known: dict[str, int] = {"": 1}
+        self.held = 0
 
-    def _learn(self, parts: set[str]) -> None:
-        if len(self.known) + len(parts) > REMEMBERED:
-            self.known = {"": 1}
-        batch, held = [], 0
+    def _encoded(self, parts: set[str]) -> dict[str, int]:
+        """Counts of parts; short ones are remembered, as far as the bound goes, and all forgotten beyond it."""
+        out, batch, size = {}, [], 0
         for part in parts:
             batch.append(part)
-            held += len(part) + 8
-            if held >= BATCH_BYTES:
-                self._encode(batch)
-                batch, held = [], 0
-        self._encode(batch)
-
-    def _encode(self, batch: list[str]) -> None:
+            size += len(part) + 8
+            if size >= BATCH_BYTES:
+                out.update(zip(batch, map(len, self.model.encode(batch, num_threads=1)), strict=True))
+                batch, size = [], 0
         if batch:
-            self.known.update(zip(batch, map(len, self.model.encode(batch, num_threads=1)), strict=True))
+            out.update(zip(batch, map(len, self.model.encode(batch, num_threads=1)), strict=True))
+        short = {p: n for p, n in out.items() if len(p) <= LONGEST_REMEMBERED}
+        size = sum(len(p) + 8 for p in short)
+        if self.held + size > REMEMBERED:
+            self.known, self.held = {"": 1}, 0
+        if size <= REMEMBERED:
+            self.known.update(short)
+            self.held += size
+        return out
 
     def parts(self, text: str) -> list[str]:
         """Texts whose counts add up to that of text, "" standing for a space at the end."""
@@ -67,12 +73,10 @@ class PieceCounter:
         if not self.safe:
             return [len(x) for x in self.model.encode(texts, num_threads=1)]
         split = [self.parts(t) if t else [] for t in texts]
-        if new := set().union(*split) - self.known.keys():
-            self._learn(new)
-            if not self.known.keys() >= set().union(*split):  # the memory was emptied meanwhile
-                self._encode(list(set().union(*split) - self.known.keys()))
-        look = self.known.__getitem__
-        return [sum(map(look, p)) for p in split]
+        known = self.known
+        if new := set().union(*split) - known.keys():
+            known = {p: known[p] for p in set().union(*split) & known.keys()} | self._encoded(new)
+        return [sum(map(known.__getitem__, p)) for p in split]
 
 
 def grouped(texts: list[str], lengths: list[int], most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
