@@ -8,6 +8,7 @@ the chunks and the texts stay where they are. A key that occurs everywhere costs
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phrasewell.llm._shared import shared_dir
@@ -24,9 +25,8 @@ CHUNK_BYTES = 6 << 20
 LEAST_CHUNKS = 16
 
 
-def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _chunk and _row (unique), as a table bucketed by _chunk; each row of docs is in one chunk of about CHUNK_BYTES of text."""
-    spark = docs.sparkSession
+def write_chunks(docs: DataFrame, path: str, text: str = "text") -> tuple[str, int]:
+    """Writes docs with _chunk and _row (unique) under path, bucketed by _chunk; each row of docs is in one chunk of about CHUNK_BYTES of text. Returns what `read_chunks` needs."""
     total = docs.agg(F.sum(F.octet_length(text))).collect()[0][0] or 0
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     names = [*docs.columns, "_chunk", "_row"]
@@ -44,13 +44,36 @@ def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
             row += n
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunk, pa.int64()), pa.array(rows, pa.int64())], names)
 
+    fields = f"{fields}, _chunk long, _row long"
+    buckets = int(max(LEAST_CHUNKS, -(-total // most)))
     name = f"phrasewell_{uuid.uuid4().hex}"
-    buckets = max(LEAST_CHUNKS, -(-total // most))
-    path = shared_dir(spark)
-    docs.mapInArrow(assign, f"{fields}, _chunk long, _row long").write.bucketBy(int(buckets), "_chunk").sortBy("_chunk").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    docs.mapInArrow(assign, fields).write.bucketBy(buckets, "_chunk").sortBy("_chunk").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    docs.sparkSession.sql(f"DROP TABLE {name}")  # its files stay
+    return fields, buckets
+
+
+def read_chunks(spark: SparkSession, path: str, fields: str, buckets: int) -> DataFrame:
+    """Chunks as a bucketed table. The catalog forgets it when the driver ends."""
+    name = f"phrasewell_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet OPTIONS (path '{path}') CLUSTERED BY (_chunk) SORTED BY (_chunk) INTO {buckets} BUCKETS")
+    atexit.register(_forget, spark, name)
     return spark.table(name)
 
 
+def _forget(spark: SparkSession, name: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # noqa: BLE001  the session is gone, and with it the catalog or its use
+        pass
+
+
+def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with _chunk and _row (unique), written to the shared folder and read again by chunk."""
+    path = shared_dir(docs.sparkSession)
+    return read_chunks(docs.sparkSession, path, *write_chunks(docs, path, text))
+
+
 def texts_of(col: pa.ChunkedArray) -> list[bytes | None]:
     return pc.cast(col, pa.binary()).to_pylist()
 

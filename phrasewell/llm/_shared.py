@@ -20,9 +20,11 @@ SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under the cluster's shared folder (spark.checkpoint.dir); a temporary one where that is unset."""
+    """A new folder name under the cluster's shared folder (spark.checkpoint.dir), removed when the driver ends; a temporary one only in local mode where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "phrasewell-shared")
     path = f"{base.rstrip('/')}/phrasewell-{uuid.uuid4().hex}"
     atexit.register(_drop_quietly, spark, path)
@@ -36,6 +38,13 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none where there is no such folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def _drop_quietly(spark: SparkSession, path: str) -> None:
     try:
         if spark.sparkContext._jsc is not None:

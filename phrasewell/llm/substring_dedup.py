@@ -1,25 +1,31 @@
 """Substring dedup with a log-structured fingerprint index.
 
 A window is `window` consecutive words. A word is removed if a window that covers it also starts earlier: in a row with smaller
-doc_id or before it in the same document. Steps, each over all texts:
+doc_id or before it in the same document. Texts go to the index batch after batch, in doc_id order; for each batch:
 
 1. Anchors. Of every run of 11 10-grams of words the least hash is an anchor (winnowing), so windows of 20 equal words hold
-   equal anchors. Anchors that occur once in the corpus end the matter for their windows.
-2. The other windows go, batch after batch in doc_id order, to the index: sorted immutable runs of the hashes of historical windows
-   with their first place. A batch is merge-joined with each run, bucket by bucket; a hit is verified by a second, independent
-   32-bit hash; what is new becomes a run, and runs are compacted once there are too many.
-3. Each chunk of texts learns which of its windows were there before and cuts the words they cover.
+   equal anchors. The batch's anchors are merge-joined, bucket by bucket, with the index's runs: sorted immutable runs of the anchors of
+   all earlier texts and the chunks of text they are in. Windows whose anchor occurs once end there. The batch's anchors become a run
+   of their own, and runs are compacted once there are too many.
+2. The windows of shared anchors, of the batch's chunks and of the earlier chunks that hold them, meet by their 64-bit hash and are verified by
+   a second, independent 32-bit hash.
+3. Each chunk of the batch learns which of its windows were there before and cuts the words they cover.
+
+The index lasts: a later session opens it under its path and adds the next batch (`FingerprintIndex`, or `dedup` with a path).
 
 Chunks combine equal windows before anything is shuffled, so a passage in a third of all documents gives one entry per chunk.
 
 Null texts have no words. A null doc_id comes after all others. Rows with one doc_id are one document: windows at one start
-in both are not earlier than each other. Texts of fewer words than a window lose nothing. Extra columns pass through `dedup`.
+in both are not earlier than each other. Texts of fewer words than a window lose nothing; very long ones are handled whole, within a chunk.
+An empty table gives an empty result. Extra columns pass through `dedup`, but for its own four and _chunk and _row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasewell.llm._chunks import blob, bucket_count, chunked, cut, release, texts_of
-from phrasewell.llm._shared import drop, materialize, shared_dir, table
+from phrasewell.llm._chunks import blob, bucket_count, cut, read_chunks, release, texts_of, write_chunks
+from phrasewell.llm._shared import drop, listed, materialize, shared_dir, table
 from phrasewell.llm._vec import gram_hashes, word_hashes
 
 WINDOW = 20
-#: A batch is a range of doc_id; the index compacts when it has more runs than this, so the last batch meets one compacted run.
+#: A batch is a range of doc_id; the index compacts when it has more runs than this: here after the third batch.
 BATCHES, MOST_RUNS = 4, 2
 LAST = np.iinfo(np.int64).max
 TOP = np.uint64(2**64 - 1)
@@ -100,30 +106,22 @@ def _ids(col: pa.ChunkedArray) -> np.ndarray:
     return np.asarray([LAST if v is None else v for v in col.to_pylist()], np.int64)
 
 
-def _anchor_requests(chunks: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(bucket, chunk, the chunk's distinct anchors)."""
+REQUESTS = "bucket int, chunk long, keys binary"
 
-    def work(t: pa.Table) -> pa.Table:
-        w = Windows(texts_of(t["text"]), _ids(t["doc_id"]), window)
-        own = np.unique(w.anchor)
-        found = [(b, t["_chunk"][0].as_py(), blob(own[s])) for b, s in cut(own, buckets)]
-        return pa.table({"bucket": [x[0] for x in found], "chunk": [x[1] for x in found], "keys": pa.array([x[2] for x in found], pa.binary())}, schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary())]))
 
-    return chunks.groupBy("_chunk").applyInArrow(work, "bucket int, chunk long, keys binary")
+def _rows(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.table({name: pa.array([r[i] for r in rows], kinds[kind]) for i, (name, kind) in enumerate(f.split() for f in schema.split(", "))})
 
 
-def _shared_anchors(requests: DataFrame) -> DataFrame:
-    """(chunk, those of its anchors that other chunks have too)."""
+def _anchors(chunks: DataFrame, window: int, buckets: int) -> DataFrame:
+    """(bucket, chunk, the chunk's distinct anchors)."""
 
     def work(t: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
-        every = np.sort(np.concatenate(parts))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        out = [(c, p[np.isin(p, twice, assume_unique=True)]) for c, p in zip(t["chunk"].to_pylist(), parts, strict=True)] if len(twice) else []
-        out = [(c, blob(k)) for c, k in out if len(k)]
-        return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "keys": pa.array([x[1] for x in out], pa.binary())})
+        own = np.unique(Windows(texts_of(t["text"]), _ids(t["doc_id"]), window).anchor)
+        return _rows([(b, t["_chunk"][0].as_py(), blob(own[s])) for b, s in cut(own, buckets)], REQUESTS)
 
-    return requests.groupBy("bucket").applyInArrow(work, "chunk long, keys binary")
+    return chunks.groupBy("_chunk").applyInArrow(work, REQUESTS)
 
 
 def _joined(blobs: pa.ChunkedArray, kind: type = np.uint64) -> np.ndarray:
@@ -132,115 +130,190 @@ def _joined(blobs: pa.ChunkedArray, kind: type = np.uint64) -> np.ndarray:
 
 KINDS = {"h1": np.uint64, "h2": np.uint32, "doc": np.int64, "start": np.int64}
 ENTRY = "bucket int, chunk long, h1 binary, h2 binary, doc binary, start binary"
+#: Chunk, document and start of what was there before a batch.
+BEFORE = -1, np.iinfo(np.int64).min, -1
 
 
-def _candidates(chunks: DataFrame, shared: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(bucket, chunk, entries): the chunk's first place of each window that may be in another chunk."""
+def _candidates(chunks: DataFrame, shared: DataFrame, window: int, buckets: int, before: bool = False) -> DataFrame:
+    """ENTRY rows: the chunk's first place of each window with one of the anchors that shared(_chunk, keys) names; with before, no places but that they are earlier."""
 
     def work(t: pa.Table, s: pa.Table) -> pa.Table:
-        out: dict[str, list] = {k.split()[0]: [] for k in ENTRY.split(", ")}
+        out = []
         if t.num_rows and s.num_rows:
             w = Windows(texts_of(t["text"]), _ids(t["doc_id"]), window)
             head, _ = w.firsts(np.flatnonzero(np.isin(w.anchor, _joined(s["keys"]))))
-            first = w.first_start
+            first = w.first_start.astype(np.int64)
             for b, part in cut(w.h1[head], buckets):
                 i = head[part]
-                for k, v in zip(out, (b, t["_chunk"][0].as_py(), blob(w.h1[i]), blob(w.h2[i]), blob(w.key[i]), blob(first[part].astype(np.int64))), strict=True):
-                    out[k].append(v)
-        return pa.table({k: pa.array(v, pa.int32() if k == "bucket" else pa.int64() if k == "chunk" else pa.binary()) for k, v in out.items()})
+                if before:
+                    out.append((b, BEFORE[0], blob(w.h1[i]), blob(w.h2[i]), None, None))
+                else:
+                    out.append((b, t["_chunk"][0].as_py(), blob(w.h1[i]), blob(w.h2[i]), blob(w.key[i]), blob(first[part])))
+        return _rows(out, ENTRY)
 
-    return chunks.groupBy("_chunk").cogroup(shared.withColumnRenamed("chunk", "_chunk").groupBy("_chunk")).applyInArrow(work, ENTRY)
+    return chunks.groupBy("_chunk").cogroup(shared.groupBy("_chunk")).applyInArrow(work, ENTRY)
 
 
 class _Entries:
     """Entries of one bucket as columns, in order of (h1, h2, doc, start)."""
 
     def __init__(self, t: pa.Table) -> None:
-        cols = [[np.frombuffer(x, kind) for x in t[c].to_pylist()] for c, kind in KINDS.items()]
-        self.chunk = np.repeat(np.asarray(t["chunk"].to_pylist(), np.int64), [len(x) for x in cols[0]]) if t.num_rows else np.empty(0, np.int64)
-        self.h1, self.h2, self.doc, self.start = (np.concatenate(c) if c else np.empty(0, k) for c, k in zip(cols, KINDS.values(), strict=True))
-        self.take(np.lexsort((self.start, self.doc, self.h2, self.h1)))
-
-    def take(self, order: np.ndarray) -> None:
-        for k in ("chunk", "h1", "h2", "doc", "start"):
+        self.h1, self.h2 = _joined(t["h1"]), _joined(t["h2"], KINDS["h2"])
+        n = [len(x) // 8 for x in t["h1"].to_pylist()]
+        self.chunk = np.repeat(np.asarray(t["chunk"].to_pylist(), np.int64), n)
+        none = [np.full(k, BEFORE[1 + i], np.int64) for i in range(2) for k in n]
+        self.doc, self.start = (np.concatenate([none[len(n) * i + j] if x is None else np.frombuffer(x, np.int64) for j, x in enumerate(t[c].to_pylist())]) for i, c in enumerate(("doc", "start")))
+        order = np.lexsort((self.start, self.doc, self.h2, self.h1))
+        for k in ("chunk", *KINDS):
             setattr(self, k, getattr(self, k)[order])
 
 
-def _row(kind: str, bucket: int, chunk: int, h1, h2, doc=None, start=None) -> tuple:
-    return kind, bucket, chunk, blob(h1), blob(h2), None if doc is None else blob(doc), None if start is None else blob(start)
-
-
-MERGED = "kind string, " + ENTRY
+def _late(entries: DataFrame) -> DataFrame:
+    """(chunk, h1, h2) of the entries of a batch that have an earlier place, in it or before it. Equal first hashes are verified by the second."""
 
+    def work(t: pa.Table) -> pa.Table:
+        e = _Entries(t)
+        new = np.ones(len(e.h1), bool)
+        new[1:] = (e.h1[1:] != e.h1[:-1]) | (e.h2[1:] != e.h2[:-1])
+        group = np.cumsum(new) - 1
+        late = (e.chunk != BEFORE[0]) & ((e.doc > e.doc[new][group]) | (e.start > e.start[new][group]))
+        order = np.flatnonzero(late)
+        order = order[np.argsort(e.chunk[order], kind="stable")]
+        if not len(order):
+            return _rows([], LATE)
+        c, h1, h2 = e.chunk[order], e.h1[order], e.h2[order]
+        edges = np.flatnonzero(np.diff(c)) + 1
+        return _rows([(int(x[0]), blob(y), blob(z)) for x, y, z in zip(np.split(c, edges), np.split(h1, edges), np.split(h2, edges), strict=True)], LATE)
 
-def _merged(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    names = [k.split()[0] for k in MERGED.split(", ")]
-    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
+    return entries.groupBy("bucket").applyInArrow(work, LATE)
 
 
-class FingerprintIndex:
-    """Sorted immutable runs of window hashes under one folder; add() says which entries of a batch were there before."""
+LATE = "chunk long, h1 binary, h2 binary"
+#: A row of a run: a bucket's anchors, ascending, each with the place of its chunk in owners, which are pairs (batch, chunk).
+RUN = "bucket int, keys binary, at binary, owners binary"
+MATCHED = "kind string, bucket int, batch long, chunk long, keys binary, at binary, owners binary"
 
-    def __init__(self, spark: SparkSession, most_runs: int = MOST_RUNS) -> None:
-        self.spark, self.most_runs = spark, most_runs
-        self.runs: list[str] = []
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(MERGED).parquet(path)
+def _run(bucket: int, keys: list[np.ndarray], owners: np.ndarray) -> tuple:
+    key, at = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    order = np.argsort(key, kind="stable")
+    return bucket, blob(key[order]), blob(at[order].astype(np.uint32)), blob(owners.astype(np.int64))
 
-    def _history(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, map(self._read, self.runs))
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """batch: ENTRY rows, all later in order than what was added before. Returns (chunk, h1, h2) of the entries that have an earlier place."""
+class FingerprintIndex:
+    """A log-structured index of the passages of all texts that were added, under one folder, to be opened again by later sessions.
+
+    Runs are immutable and hold the anchors of a batch's chunks, sorted, with the chunks they occur in; each batch is merge-joined with all runs,
+    bucket by bucket. The texts of earlier batches lie beside them, so what shares an anchor is looked up and verified there. More than
+    most_runs runs are compacted into one. `texts/` and `runs/` hold data, `manifest/` numbered states of which the last whole one counts,
+    so a batch that fails leaves the state before it. One writer at a time. The number of buckets is chosen once, for the size that is expected.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, buckets: int = 64, most_runs: int = MOST_RUNS) -> None:
+        self.spark, self.path, self.most_runs = spark, path.rstrip("/"), most_runs
+        self.state = {"window": window, "buckets": buckets, "runs": [], "texts": [], "compactions": 0}
+        self.serial = 0
+        self.open_texts: list[DataFrame] = []
+        for name in reversed(listed(spark, f"{self.path}/manifest")):
+            if "_SUCCESS" in listed(spark, f"{self.path}/manifest/{name}"):
+                self.state = json.loads("".join(r[0] for r in spark.read.text(f"{self.path}/manifest/{name}", wholetext=True).collect()))
+                self.serial = int(name)
+                break
+        if self.state["window"] != window:
+            raise ValueError(f"the index has windows of {self.state['window']} words")
+        for t in self.state["texts"]:
+            self.open_texts.append(read_chunks(spark, f"{self.path}/{t['folder']}", t["fields"], t["buckets"]))
+
+    def _save(self) -> None:
+        self.serial += 1
+        self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1).write.text(f"{self.path}/manifest/{self.serial:08d}")
+
+    def _runs(self) -> DataFrame:
+        rows = [self.spark.read.schema(RUN).parquet(f"{self.path}/{r}") for r in self.state["runs"]]
+        return reduce(DataFrame.unionByName, rows) if rows else self.spark.createDataFrame([], RUN)
+
+    def _matched(self, anchors: DataFrame, number: int) -> DataFrame:
+        """By kind: run (the batch's own run), own (anchors of its chunks that another chunk has), old (those of them in earlier chunks)."""
 
         def merge(now: pa.Table, runs: pa.Table) -> pa.Table:
             if not now.num_rows:
-                return _merged([])
-            bucket, e = now["bucket"][0].as_py(), _Entries(now)
-            new = np.ones(len(e.h1), bool)
-            new[1:] = (e.h1[1:] != e.h1[:-1]) | (e.h2[1:] != e.h2[:-1])
-            group = np.cumsum(new) - 1
-            late = (e.doc > e.doc[new][group]) | (e.start > e.start[new][group])
-            known = np.zeros(len(e.h1), bool)
-            for a, b in zip(runs["h1"].to_pylist(), runs["h2"].to_pylist(), strict=True):
-                a, b = np.frombuffer(a, KINDS["h1"]), np.frombuffer(b, KINDS["h2"])
-                lo, hi = np.searchsorted(a, e.h1), np.searchsorted(a, e.h1, "right")
-                for step in range(int((hi - lo).max(initial=0))):  # verified by the second hash; more than one step only where first hashes collide
-                    ok = lo + step < hi
-                    known[ok] |= b[lo[ok] + step] == e.h2[ok]
-            lost, fresh = late | known, new & ~known
-            order = np.argsort(e.chunk[lost], kind="stable")
-            c, h1, h2 = e.chunk[lost][order], e.h1[lost][order], e.h2[lost][order]
-            edges = np.flatnonzero(np.diff(c)) + 1
-            rows = [_row("lost", bucket, int(x[0]), y, z) for x, y, z in zip(np.split(c, edges), np.split(h1, edges), np.split(h2, edges), strict=True)] if len(c) else []
-            if fresh.any():
-                rows.append(_row("run", bucket, -1, e.h1[fresh], e.h2[fresh], e.doc[fresh], e.start[fresh]))
-            return _merged(rows)
-
-        path = shared_dir(self.spark)
-        history = self._history() if self.runs else self.spark.createDataFrame([], MERGED)
-        history = history.where("kind = 'run'").select("bucket", "h1", "h2")
-        batch.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(merge, MERGED).write.option("compression", "zstd").partitionBy("kind").parquet(path)
-        self.runs.append(path)
-        lost = self.spark.read.schema(MERGED).parquet(path).where("kind = 'lost'").select("chunk", "h1", "h2")
-        if len(self.runs) > self.most_runs:
+                return _rows([], MATCHED)
+            parts, chunks = [np.frombuffer(x, np.uint64) for x in now["keys"].to_pylist()], now["chunk"].to_numpy()
+            bucket = now["bucket"][0].as_py()
+            run = _run(bucket, parts, np.column_stack((np.full(len(parts), number), chunks)))
+            every = np.frombuffer(run[1], np.uint64)
+            own = [every[1:][every[1:] == every[:-1]]]
+            distinct, out = np.unique(every), [("run", bucket, None, None, *run[1:])]
+            for keys, at, owners in zip(runs["keys"].to_pylist(), runs["at"].to_pylist(), runs["owners"].to_pylist(), strict=True):
+                keys, at, owners = np.frombuffer(keys, np.uint64), np.frombuffer(at, np.uint32), np.frombuffer(owners, np.int64).reshape(-1, 2)
+                hit = np.flatnonzero(distinct[np.minimum(np.searchsorted(distinct, keys), len(distinct) - 1)] == keys)
+                own.append(keys[hit])
+                hit = hit[np.argsort(at[hit], kind="stable")]
+                if len(hit):
+                    for part in np.split(hit, np.flatnonzero(np.diff(at[hit])) + 1):
+                        batch, chunk = owners[at[part[0]]]
+                        out.append(("old", bucket, int(batch), int(chunk), blob(keys[part]), None, None))
+            twice = np.unique(np.concatenate(own))
+            for chunk, keys in zip(chunks.tolist(), parts, strict=True):
+                if len(some := keys[np.isin(keys, twice, assume_unique=True)]):
+                    out.append(("own", bucket, number, chunk, blob(some), None, None))
+            return _rows(out, MATCHED)
+
+        return anchors.groupBy("bucket").cogroup(self._runs().groupBy("bucket")).applyInArrow(merge, MATCHED)
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Adds docs(doc_id, text, ...), all of them later than what is there, and returns them with n_words, n_removed, kept_sha256 and kept_text."""
+        window, buckets, number = self.state["window"], self.state["buckets"], len(self.state["texts"])
+        name = uuid.uuid4().hex
+        folder, run, step = f"texts/{number:06d}-{name}", f"runs/{number:06d}-{name}", shared_dir(self.spark)
+        fields, parts = write_chunks(docs, f"{self.path}/{folder}")
+        chunks = read_chunks(self.spark, f"{self.path}/{folder}", fields, parts)
+        self._matched(_anchors(chunks, window, buckets), number).write.option("compression", "zstd").partitionBy("kind").parquet(step)
+        matched = self.spark.read.schema(MATCHED).parquet(step)
+        matched.where("kind = 'run'").select("bucket", "keys", "at", "owners").write.option("compression", "zstd").parquet(f"{self.path}/{run}")
+        release(docs)
+        asked = matched.withColumnRenamed("chunk", "_chunk").select("kind", "batch", "_chunk", "keys")
+        found = [_candidates(chunks, asked.where("kind = 'own'").drop("kind", "batch"), window, buckets)]
+        wanted = {r[0] for r in asked.where("kind = 'old'").select("batch").distinct().collect()}  # at most one for each batch
+        for at, old in enumerate(self.open_texts):
+            if at in wanted:
+                some = asked.where((F.col("kind") == "old") & (F.col("batch") == at)).drop("kind", "batch")
+                found.append(_candidates(old.select("_chunk", "_row", "doc_id", "text"), some, window, buckets, before=True))
+        late = materialize(_late(reduce(DataFrame.unionByName, found)))
+        drop(self.spark, step)
+        release(docs)
+        self.state["texts"].append({"folder": folder, "fields": fields, "buckets": parts})
+        self.state["runs"].append(run)
+        self.open_texts.append(chunks)
+        if len(self.state["runs"]) > self.most_runs:
             self.compact()
-        return lost
+        else:
+            self._save()
+        return _finished(chunks, late.withColumnRenamed("chunk", "_chunk"), docs, window)
 
     def compact(self) -> None:
-        """All runs become one."""
+        """All runs become one; the old ones are deleted once the new state stands."""
 
         def join(t: pa.Table) -> pa.Table:
-            e = _Entries(t)
-            return _merged([_row("run", t["bucket"][0].as_py(), -1, e.h1, e.h2, e.doc, e.start)])
-
-        path = shared_dir(self.spark)
-        self._history().where("kind = 'run'").select("bucket", "chunk", "h1", "h2", "doc", "start").groupBy("bucket").applyInArrow(join, MERGED).write.option("compression", "zstd").partitionBy("kind").parquet(path)
-        for old in self.runs:
-            drop(self.spark, f"{old}/kind=run")
-        self.runs = [path]
+            keys, owners, shift = [], [], 0
+            at = []
+            for k, a, o in zip(t["keys"].to_pylist(), t["at"].to_pylist(), t["owners"].to_pylist(), strict=True):
+                o = np.frombuffer(o, np.int64)
+                keys.append(np.frombuffer(k, np.uint64))
+                at.append(np.frombuffer(a, np.uint32) + np.uint32(shift))
+                owners.append(o)
+                shift += len(o) // 2
+            key, at = np.concatenate(keys), np.concatenate(at)
+            order = np.argsort(key, kind="stable")
+            return _rows([(t["bucket"][0].as_py(), blob(key[order]), blob(at[order]), blob(np.concatenate(owners)))], RUN)
+
+        run = f"runs/merged-{uuid.uuid4().hex}"
+        self._runs().groupBy("bucket").applyInArrow(join, RUN).write.option("compression", "zstd").parquet(f"{self.path}/{run}")
+        old, self.state["runs"] = self.state["runs"], [run]
+        self.state["compactions"] += 1
+        self._save()
+        for x in old:
+            drop(self.spark, f"{self.path}/{x}")
 
 
 def _marked(w: Windows, lost: pa.Table, window: int) -> np.ndarray:
@@ -261,26 +334,7 @@ def _marked(w: Windows, lost: pa.Table, window: int) -> np.ndarray:
     return np.cumsum(turns[:total]) > 0
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
-    """docs(doc_id, text, ...) with n_words, n_removed, kept_sha256 and kept_text (null where nothing goes)."""
-    docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept_text", "_chunk", "_row")
-    chunks = chunked(docs)
-    stats = chunks.agg(F.sum(F.octet_length("text")), F.min("doc_id"), F.max("doc_id")).collect()[0]
-    buckets = bucket_count((stats[0] or 0) // 40)
-    shared = materialize(_shared_anchors(_anchor_requests(chunks, window, buckets)))
-    release(docs)
-    path = shared_dir(docs.sparkSession)
-    _candidates(chunks, shared, window, buckets).write.option("compression", "zstd").parquet(path)
-    entries = docs.sparkSession.read.schema(ENTRY).parquet(path)
-    # A chunk holds its own range of documents: a batch takes the entries of a doc_id range from every chunk.
-    index = FingerprintIndex(docs.sparkSession)
-    lost = []
-    for lo, hi in _ranges(stats[1], stats[2], batches):
-        release(docs)
-        lost.append(index.add(_between(entries, lo, hi)))
-    drop(docs.sparkSession, path)
-    release(docs)
-    gone_by_chunk = reduce(DataFrame.unionByName, lost).withColumnRenamed("chunk", "_chunk")
+def _finished(chunks: DataFrame, gone_by_chunk: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     kept = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
@@ -298,11 +352,31 @@ def dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> Data
             removed.append(int(away.sum()))
             digests.append(hashlib.sha256(left.encode()).hexdigest())
             rest.append(left if some else None)
-        return pa.table([*(t[c] for c in kept), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(rest, pa.string())], names=[*kept, "n_words", "n_removed", "kept_sha256", "kept_text"])
+        return pa.table([*(t[c] for c in kept), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(rest, pa.string())], names=[*kept, *ADDED])
 
     return chunks.groupBy("_chunk").cogroup(gone_by_chunk.groupBy("_chunk")).applyInArrow(finish, f"{fields}, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
+ADDED = ("n_words", "n_removed", "kept_sha256", "kept_text")
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, path: str | None = None) -> DataFrame:
+    """docs(doc_id, text, ...) with n_words, n_removed, kept_sha256 and kept_text (null where nothing goes).
+
+    docs go to an index in batches of doc_id ranges, in order. A path keeps the index there, or goes on with the one that is there: its
+    texts then come before all of docs. Columns of docs named like the added ones, _chunk or _row are replaced by none.
+    """
+    docs = docs.drop(*ADDED, "_chunk", "_row")
+    spark = docs.sparkSession
+    stats = docs.agg(F.sum(F.octet_length("text")), F.min("doc_id"), F.max("doc_id")).collect()[0]
+    index = FingerprintIndex(spark, path or shared_dir(spark), window, bucket_count((stats[0] or 0) // 40))
+    found = []
+    for lo, hi in _ranges(stats[1], stats[2], batches):
+        part = docs.where(((F.col("doc_id") >= lo) & (F.col("doc_id") < hi)) if hi < LAST else (F.col("doc_id").isNull() | (F.col("doc_id") >= lo)))
+        found.append(index.add(part))
+    return reduce(DataFrame.unionByName, found)
+
+
 def _ranges(lo: int | None, hi: int | None, batches: int) -> Iterator[tuple[int, int]]:
     """Half-open doc_id ranges from below all to above all; the last holds null ids too."""
     if lo is None:
@@ -312,23 +386,6 @@ def _ranges(lo: int | None, hi: int | None, batches: int) -> Iterator[tuple[int,
     yield from zip(edges[:-1], edges[1:], strict=True)
 
 
-def _between(entries: DataFrame, lo: int, hi: int) -> DataFrame:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: dict[str, list] = {n: [] for n in b.schema.names}
-            for r in b.to_pylist():
-                doc = np.frombuffer(r["doc"], np.int64)
-                some = (doc >= lo) & ((doc < hi) | (hi == LAST))
-                if some.any():
-                    for k, kind in KINDS.items():
-                        r[k] = blob(np.frombuffer(r[k], kind)[some])
-                    for k, v in r.items():
-                        rows[k].append(v)
-            yield pa.RecordBatch.from_pydict(rows, schema=b.schema)
-
-    return entries.mapInArrow(work, ENTRY)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
