@@ -78,25 +78,33 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({name: pa.array([r[i] for r in rows], kinds[kind]) for i, (name, kind) in enumerate(f.split() for f in schema.split(", "))})
 
 
-def _describe(chunks: DataFrame, buckets: int, gram: int) -> DataFrame:
-    """Rows of kind doc (its set's size and signature; buckets below 0) and kind seen: the n-grams of the chunk's distinct sets by fragment, in how many of them each is."""
+def _short(h: np.ndarray, bits: int) -> np.ndarray:
+    """The fragment (of 2 ** bits) of each hash and 32 further bits of it, in the hashes' order."""
+    return h >> np.uint64(32 - bits)
+
+
+def _describe(chunks: DataFrame, bits: int, gram: int) -> DataFrame:
+    """Rows of kind doc (its set's size and signature; buckets below 0) and kind seen: the n-grams of the chunk's distinct sets by fragment, in how many of them each is.
+
+    Within a fragment 32 bits name an n-gram. Where two have one name, both seem to be in more sets than they are, which changes their order and no result.
+    """
 
     def work(t: pa.Table) -> pa.Table:
         h, ends = shingle_sets(texts_of(t["text"]), gram)
         sig, n, chunk = _signatures(h, ends), np.diff(ends), t["_chunk"][0].as_py()
         docs = pa.table({
             "kind": pa.array(["doc"] * t.num_rows), "_row": t["_row"].combine_chunks(), "chunk": t["_chunk"].combine_chunks(), "doc_id": t["doc_id"].combine_chunks().cast(pa.int64()), "n": pa.array(n, pa.int64()),
-            "sig": pa.array(sig), "bucket": pa.array([-1 - (chunk + (chunk >> 32)) % buckets] * t.num_rows, pa.int32()), "keys": pa.nulls(t.num_rows, pa.binary()), "counts": pa.nulls(t.num_rows, pa.binary()),
+            "sig": pa.array(sig), "bucket": pa.array([-1 - (chunk + (chunk >> 32)) % (1 << bits)] * t.num_rows, pa.int32()), "keys": pa.nulls(t.num_rows, pa.binary()), "counts": pa.nulls(t.num_rows, pa.binary()),
         })
         _, first = np.unique(sig, return_index=True)
         once = np.zeros(t.num_rows, bool)
         once[first] = True
-        key, count = np.unique(h[np.repeat(once, n)], return_counts=True)
+        key, count = np.unique(_short(h[np.repeat(once, n)], bits), return_counts=True)
         # Most n-grams are in one set: of the others only are places and counts told.
         seen = []
-        for b, s in cut(key, buckets):
+        for b, s in cut(key << np.uint64(32 - bits), 1 << bits):
             more = np.flatnonzero(count[s] > 1)
-            seen.append(("seen", None, chunk, None, None, None, b, blob(key[s]), blob(np.concatenate((more, count[s][more])).astype(np.uint32))))
+            seen.append(("seen", None, chunk, None, None, None, b, blob(key[s].astype(np.uint32)), blob(np.concatenate((more, count[s][more])).astype(np.uint32))))
         return pa.concat_tables([docs.cast(_table([], DESCRIBED).schema), _table(seen, DESCRIBED)])
 
     return chunks.groupBy("_chunk").applyInArrow(work, DESCRIBED)
@@ -109,7 +117,7 @@ def _counted(described: DataFrame) -> DataFrame:
     def work(t: pa.Table) -> pa.Table:
         if t["bucket"][0].as_py() < 0:
             return t
-        parts = [np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
+        parts = [np.frombuffer(x, np.uint32) for x in t["keys"].to_pylist()]
         counts = [np.ones(len(x), np.int64) for x in parts]
         for c, x in zip(counts, t["counts"].to_pylist(), strict=True):
             at, more = np.split(np.frombuffer(x, np.uint32), 2)
@@ -120,10 +128,10 @@ def _counted(described: DataFrame) -> DataFrame:
         group[order] = np.cumsum(np.concatenate(([True], every[order][1:] != every[order][:-1]))) - 1
         total = np.bincount(group, np.concatenate(counts)).astype(np.int64)[group]
         ends = np.cumsum([len(x) for x in parts])
-        out = []
+        out, bucket = [], t["bucket"][0].as_py()
         for chunk, key, n in zip(t["chunk"].to_pylist(), parts, np.split(total, ends[:-1]), strict=True):
             if (some := n > 1).any():
-                out.append(("common", None, chunk, None, None, None, None, blob(key[some]), blob(np.minimum(n[some], 2**32 - 1).astype(np.uint32))))
+                out.append(("common", None, chunk, None, None, None, bucket, blob(key[some]), blob(np.minimum(n[some], 2**32 - 1).astype(np.uint32))))
         return _table(out, DESCRIBED)
 
     return described.groupBy("bucket").applyInArrow(work, DESCRIBED)
@@ -132,10 +140,10 @@ def _counted(described: DataFrame) -> DataFrame:
 PREFIXES = "bucket int, part long, keys binary, low binary, n binary"
 
 
-def _prefixes(chunks: DataFrame, reps: DataFrame, common: DataFrame, buckets: int, gram: int) -> DataFrame:
+def _prefixes(chunks: DataFrame, reps: DataFrame, common: DataFrame, buckets: int, bits: int, gram: int) -> DataFrame:
     """(bucket, part, keys, low, n): of the prefixes of the chunk's classes the n-grams that others hold, by fragment; _row is part << 32 | low."""
-    told = reps.select("_chunk", "_row", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"))
-    told = told.unionByName(common.select(F.col("chunk").alias("_chunk"), F.lit(None).cast("long").alias("_row"), "keys", "counts"))
+    told = reps.select("_chunk", "_row", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"))
+    told = told.unionByName(common.select(F.col("chunk").alias("_chunk"), F.lit(None).cast("long").alias("_row"), "bucket", "keys", "counts"))
 
     def work(t: pa.Table, r: pa.Table) -> pa.Table:
         wanted, order = r.filter(pc.is_valid(r["_row"])), r.filter(pc.is_valid(r["keys"]))
@@ -145,12 +153,13 @@ def _prefixes(chunks: DataFrame, reps: DataFrame, common: DataFrame, buckets: in
             h, ends = shingle_sets(texts_of(t["text"]), gram)
             n = np.diff(ends)
             d = np.repeat(np.arange(t.num_rows), n)
-            keys = np.concatenate([np.frombuffer(x, np.uint64) for x in order["keys"].to_pylist()])
+            keys = np.concatenate([np.uint64(b << 32) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(order["bucket"].to_pylist(), order["keys"].to_pylist(), strict=True)])
             total = np.concatenate([np.frombuffer(x, np.uint32) for x in order["counts"].to_pylist()]).astype(np.int64)
             by = np.argsort(keys)
             keys, total = keys[by], total[by]
-            i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            rank = np.where(keys[i] == h, total[i], 1)
+            short = _short(h, bits)
+            i = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
+            rank = np.where(keys[i] == short, total[i], 1)
             # Alone: at their hash's place before all others, and nothing to meet. So only the others need an order.
             alone = np.bincount(d[rank == 1], minlength=t.num_rows)
             some = np.flatnonzero(rank > 1)
@@ -424,14 +433,15 @@ def _classified(docs: DataFrame, gram: int = GRAM) -> tuple[DataFrame, DataFrame
     """The chunks of docs, and for each of their rows _row, _chunk, doc_id, n_shingles, component_id and kept (one row of each component)."""
     chunks = chunked(docs.drop("_chunk", "_row"))
     size = (chunks.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0) // 7
-    described = materialize(_counted(_describe(chunks, bucket_count(size), gram)))
+    bits = (bucket_count(size) - 1).bit_length()
+    described = materialize(_counted(_describe(chunks, bits, gram)))
     release(docs)
     rows = described.where("kind = 'doc'").select("_row", "chunk", "doc_id", "n", "sig")
     first = F.min_by(F.struct(F.col("_row").alias("rep"), "chunk"), F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
     classes = materialize(rows.where("n > 0").groupBy("sig", "n").agg(first.alias("f"), F.min("doc_id").alias("least")).select("sig", "n", "f.rep", "f.chunk", "least"))
     reps = classes.select(F.col("rep").alias("_row"), F.col("chunk").alias("_chunk"))
-    common = described.where("kind = 'common'").select("chunk", "keys", "counts")
-    prefixes = materialize(_prefixes(chunks, reps, common, bucket_count(size // 16), gram))
+    common = described.where("kind = 'common'").select("chunk", "bucket", "keys", "counts")
+    prefixes = materialize(_prefixes(chunks, reps, common, bucket_count(size // 16), bits, gram))
     release(docs)
     comps = _connected(chunks, classes, prefixes, gram)
     named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
