@@ -5,9 +5,9 @@ doc_id or before it in the same document. Texts go to the index batch after batc
 
 1. Anchors. Of every run of 11 10-grams of words the least hash is an anchor (winnowing), so windows of 20 equal words hold
    equal anchors. The batch's anchors are merge-joined, bucket by bucket, with the index's runs: sorted immutable runs of the anchors of
-   all earlier texts and the chunks of text they are in. Windows whose anchor occurs once end there. The batch's anchors become a run
+   all earlier texts and the rows of text they are in. Rows whose anchors occur once end there. The batch's anchors become a run
    of their own, and runs are compacted once there are too many.
-2. The windows of shared anchors, of the batch's chunks and of the earlier chunks that hold them, meet by their 64-bit hash and are verified by
+2. The windows of shared anchors, in the rows of the batch and in the earlier rows that hold them, meet by their 64-bit hash and are verified by
    a second, independent 32-bit hash.
 3. Each chunk of the batch learns which of its windows were there before and cuts the words they cover.
 
@@ -24,13 +24,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +43,6 @@ WINDOW = 20
 BATCHES, MOST_RUNS = 4, 2
 LAST = np.iinfo(np.int64).max
 TOP = np.uint64(2**64 - 1)
-_SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def _slide_min(a: np.ndarray, w: int) -> np.ndarray:
@@ -106,7 +105,7 @@ def _ids(col: pa.ChunkedArray) -> np.ndarray:
     return np.asarray([LAST if v is None else v for v in col.to_pylist()], np.int64)
 
 
-REQUESTS = "bucket int, chunk long, keys binary"
+REQUESTS = "bucket int, chunk long, keys binary, rows binary"
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.Table:
@@ -114,16 +113,47 @@ def _rows(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({name: pa.array([r[i] for r in rows], kinds[kind]) for i, (name, kind) in enumerate(f.split() for f in schema.split(", "))})
 
 
+def anchors(texts: list[bytes | None], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text of every place that is the least n-gram of some window; windows hold one at least."""
+    words, ends = word_hashes(texts)
+    gram = window // 2
+    span = window - gram + 1
+    n = np.diff(ends)
+    doc = np.repeat(np.arange(len(texts)), n)
+    at = np.arange(len(words)) - ends[:-1][doc] if len(words) else np.empty(0, np.int64)
+    if len(words) < window:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    h = gram_hashes(words, gram, 3)
+    least = _slide_min(h, span)
+    # A place is one if the greatest of the minima of the windows around it is its own hash; windows across texts don't count.
+    least = np.where((at + window <= n[doc])[: len(least)], ~least, TOP)
+    none = np.full(span - 1, TOP)
+    place = np.flatnonzero(~_slide_min(np.concatenate((none, least, none)), span) == h)
+    return h[place], doc[place]
+
+
+def _low(row: pa.ChunkedArray) -> np.ndarray:
+    """What tells a row apart within its chunk."""
+    return (np.asarray(row.to_pylist(), np.int64) & 0xFFFFFFFF).astype(np.uint32)
+
+
 def _anchors(chunks: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(bucket, chunk, the chunk's distinct anchors)."""
+    """(bucket, chunk, the chunk's anchors, ascending, their rows)."""
 
     def work(t: pa.Table) -> pa.Table:
-        own = np.unique(Windows(texts_of(t["text"]), _ids(t["doc_id"]), window).anchor)
-        return _rows([(b, t["_chunk"][0].as_py(), blob(own[s])) for b, s in cut(own, buckets)], REQUESTS)
+        key, doc = anchors(texts_of(t["text"]), window)
+        order = np.argsort(key, kind="stable")
+        key, row = key[order], _low(t["_row"])[doc[order]]
+        return _rows([(b, t["_chunk"][0].as_py(), blob(key[s]), blob(row[s])) for b, s in cut(key, buckets)], REQUESTS)
 
     return chunks.groupBy("_chunk").applyInArrow(work, REQUESTS)
 
 
+def _some(t: pa.Table, s: pa.Table) -> pa.Table:
+    """The rows of a chunk that s names."""
+    return t.filter(pa.array(np.isin(_low(t["_row"]), _joined(s["rows"], np.uint32)), pa.bool_())) if t.num_rows and s.num_rows else t.slice(0, 0)
+
+
 def _joined(blobs: pa.ChunkedArray, kind: type = np.uint64) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for x in blobs.to_pylist()] or [np.empty(0, kind)])
 
@@ -135,11 +165,12 @@ BEFORE = -1, np.iinfo(np.int64).min, -1
 
 
 def _candidates(chunks: DataFrame, shared: DataFrame, window: int, buckets: int, before: bool = False) -> DataFrame:
-    """ENTRY rows: the chunk's first place of each window with one of the anchors that shared(_chunk, keys) names; with before, no places but that they are earlier."""
+    """ENTRY rows: the chunk's first place of each window with one of the anchors that shared(_chunk, keys, rows) names; only its rows are looked at. With before, no places but that they are earlier."""
 
     def work(t: pa.Table, s: pa.Table) -> pa.Table:
-        out = []
-        if t.num_rows and s.num_rows:
+        out, chunk = [], t["_chunk"][0].as_py() if t.num_rows else None
+        t = _some(t, s)
+        if t.num_rows:
             w = Windows(texts_of(t["text"]), _ids(t["doc_id"]), window)
             head, _ = w.firsts(np.flatnonzero(np.isin(w.anchor, _joined(s["keys"]))))
             first = w.first_start.astype(np.int64)
@@ -148,7 +179,7 @@ def _candidates(chunks: DataFrame, shared: DataFrame, window: int, buckets: int,
                 if before:
                     out.append((b, BEFORE[0], blob(w.h1[i]), blob(w.h2[i]), None, None))
                 else:
-                    out.append((b, t["_chunk"][0].as_py(), blob(w.h1[i]), blob(w.h2[i]), blob(w.key[i]), blob(first[part])))
+                    out.append((b, chunk, blob(w.h1[i]), blob(w.h2[i]), blob(w.key[i]), blob(first[part])))
         return _rows(out, ENTRY)
 
     return chunks.groupBy("_chunk").cogroup(shared.groupBy("_chunk")).applyInArrow(work, ENTRY)
@@ -189,15 +220,9 @@ def _late(entries: DataFrame) -> DataFrame:
 
 
 LATE = "chunk long, h1 binary, h2 binary"
-#: A row of a run: a bucket's anchors, ascending, each with the place of its chunk in owners, which are pairs (batch, chunk).
-RUN = "bucket int, keys binary, at binary, owners binary"
-MATCHED = "kind string, bucket int, batch long, chunk long, keys binary, at binary, owners binary"
-
-
-def _run(bucket: int, keys: list[np.ndarray], owners: np.ndarray) -> tuple:
-    key, at = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    order = np.argsort(key, kind="stable")
-    return bucket, blob(key[order]), blob(at[order].astype(np.uint32)), blob(owners.astype(np.int64))
+#: A row of a run: a bucket's anchors, ascending, each with its row and with the place of its chunk in owners, which are pairs (batch, chunk).
+RUN = "bucket int, keys binary, at binary, rows binary, owners binary"
+MATCHED = "kind string, bucket int, batch long, chunk long, keys binary, at binary, rows binary, owners binary"
 
 
 class FingerprintIndex:
@@ -233,30 +258,36 @@ class FingerprintIndex:
         return reduce(DataFrame.unionByName, rows) if rows else self.spark.createDataFrame([], RUN)
 
     def _matched(self, anchors: DataFrame, number: int) -> DataFrame:
-        """By kind: run (the batch's own run), own (anchors of its chunks that another chunk has), old (those of them in earlier chunks)."""
+        """By kind: run (the batch's own run), own (a chunk's anchors that other chunks have, and its rows with any that repeat), old (what of them is in earlier chunks)."""
 
         def merge(now: pa.Table, runs: pa.Table) -> pa.Table:
             if not now.num_rows:
                 return _rows([], MATCHED)
-            parts, chunks = [np.frombuffer(x, np.uint64) for x in now["keys"].to_pylist()], now["chunk"].to_numpy()
-            bucket = now["bucket"][0].as_py()
-            run = _run(bucket, parts, np.column_stack((np.full(len(parts), number), chunks)))
-            every = np.frombuffer(run[1], np.uint64)
-            own = [every[1:][every[1:] == every[:-1]]]
-            distinct, out = np.unique(every), [("run", bucket, None, None, *run[1:])]
-            for keys, at, owners in zip(runs["keys"].to_pylist(), runs["at"].to_pylist(), runs["owners"].to_pylist(), strict=True):
-                keys, at, owners = np.frombuffer(keys, np.uint64), np.frombuffer(at, np.uint32), np.frombuffer(owners, np.int64).reshape(-1, 2)
-                hit = np.flatnonzero(distinct[np.minimum(np.searchsorted(distinct, keys), len(distinct) - 1)] == keys)
-                own.append(keys[hit])
-                hit = hit[np.argsort(at[hit], kind="stable")]
-                if len(hit):
-                    for part in np.split(hit, np.flatnonzero(np.diff(at[hit])) + 1):
-                        batch, chunk = owners[at[part[0]]]
-                        out.append(("old", bucket, int(batch), int(chunk), blob(keys[part]), None, None))
-            twice = np.unique(np.concatenate(own))
-            for chunk, keys in zip(chunks.tolist(), parts, strict=True):
-                if len(some := keys[np.isin(keys, twice, assume_unique=True)]):
-                    out.append(("own", bucket, number, chunk, blob(some), None, None))
+            bucket, chunks = now["bucket"][0].as_py(), now["chunk"].to_numpy()
+            size = [len(x) // 8 for x in now["keys"].to_pylist()]
+            key, row, at = _joined(now["keys"]), _joined(now["rows"], np.uint32), np.repeat(np.arange(len(chunks)), size)
+            order = np.argsort(key, kind="stable")  # chunks stay in order within a key
+            key, row, at = key[order], row[order], at[order]
+            head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            last = np.append(head[1:], len(key)) - 1
+            distinct = key[head]
+            twice, across = last > head, at[head] != at[last]
+            out = [("run", bucket, None, None, blob(key), blob(at.astype(np.uint32)), blob(row), blob(np.column_stack((np.full(len(chunks), number), chunks)).astype(np.int64)))]
+            for k, a, r, o in zip(*(runs[c].to_pylist() for c in ("keys", "at", "rows", "owners")), strict=True):
+                k, a, r, o = np.frombuffer(k, np.uint64), np.frombuffer(a, np.uint32), np.frombuffer(r, np.uint32), np.frombuffer(o, np.int64).reshape(-1, 2)
+                i = np.minimum(np.searchsorted(distinct, k), len(distinct) - 1)
+                hit = np.flatnonzero(distinct[i] == k)
+                twice[i[hit]] = across[i[hit]] = True
+                hit = hit[np.argsort(a[hit], kind="stable")]
+                for part in np.split(hit, np.flatnonzero(np.diff(a[hit])) + 1) if len(hit) else ():
+                    batch, chunk = o[a[part[0]]]
+                    out.append(("old", bucket, int(batch), int(chunk), blob(np.unique(k[part])), None, blob(np.unique(r[part])), None))
+            group = np.repeat(np.arange(len(head)), last - head + 1)
+            some = np.flatnonzero(twice[group])
+            some = some[np.argsort(at[some], kind="stable")]
+            for part in np.split(some, np.flatnonzero(np.diff(at[some])) + 1) if len(some) else ():
+                shared = part[across[group[part]]]
+                out.append(("own", bucket, number, int(chunks[at[part[0]]]), blob(np.unique(key[shared])), None, blob(np.unique(row[part])), None))
             return _rows(out, MATCHED)
 
         return anchors.groupBy("bucket").cogroup(self._runs().groupBy("bucket")).applyInArrow(merge, MATCHED)
@@ -270,16 +301,18 @@ class FingerprintIndex:
         chunks = read_chunks(self.spark, f"{self.path}/{folder}", fields, parts)
         self._matched(_anchors(chunks, window, buckets), number).write.option("compression", "zstd").partitionBy("kind").parquet(step)
         matched = self.spark.read.schema(MATCHED).parquet(step)
-        matched.where("kind = 'run'").select("bucket", "keys", "at", "owners").write.option("compression", "zstd").parquet(f"{self.path}/{run}")
+        matched.where("kind = 'run'").select("bucket", "keys", "at", "rows", "owners").write.option("compression", "zstd").parquet(f"{self.path}/{run}")
         release(docs)
-        asked = matched.withColumnRenamed("chunk", "_chunk").select("kind", "batch", "_chunk", "keys")
+        asked = matched.withColumnRenamed("chunk", "_chunk").select("kind", "batch", "_chunk", "keys", "rows")
         found = [_candidates(chunks, asked.where("kind = 'own'").drop("kind", "batch"), window, buckets)]
         wanted = {r[0] for r in asked.where("kind = 'old'").select("batch").distinct().collect()}  # at most one for each batch
         for at, old in enumerate(self.open_texts):
             if at in wanted:
                 some = asked.where((F.col("kind") == "old") & (F.col("batch") == at)).drop("kind", "batch")
                 found.append(_candidates(old.select("_chunk", "_row", "doc_id", "text"), some, window, buckets, before=True))
-        late = materialize(_late(reduce(DataFrame.unionByName, found)))
+        late = _late(reduce(DataFrame.unionByName, found)).withColumnRenamed("chunk", "_chunk").withColumn("rows", F.lit(None).cast("binary"))
+        none = F.lit(None).cast("binary")
+        late = materialize(late.unionByName(asked.where("kind = 'own'").select("_chunk", none.alias("h1"), none.alias("h2"), "rows")))
         drop(self.spark, step)
         release(docs)
         self.state["texts"].append({"folder": folder, "fields": fields, "buckets": parts})
@@ -289,23 +322,18 @@ class FingerprintIndex:
             self.compact()
         else:
             self._save()
-        return _finished(chunks, late.withColumnRenamed("chunk", "_chunk"), docs, window)
+        return _finished(chunks, late, docs, window)
 
     def compact(self) -> None:
         """All runs become one; the old ones are deleted once the new state stands."""
 
         def join(t: pa.Table) -> pa.Table:
-            keys, owners, shift = [], [], 0
-            at = []
-            for k, a, o in zip(t["keys"].to_pylist(), t["at"].to_pylist(), t["owners"].to_pylist(), strict=True):
-                o = np.frombuffer(o, np.int64)
-                keys.append(np.frombuffer(k, np.uint64))
-                at.append(np.frombuffer(a, np.uint32) + np.uint32(shift))
-                owners.append(o)
-                shift += len(o) // 2
-            key, at = np.concatenate(keys), np.concatenate(at)
+            owners = [np.frombuffer(x, np.int64) for x in t["owners"].to_pylist()]
+            shift = np.cumsum([0, *(len(x) // 2 for x in owners)])
+            key, row = _joined(t["keys"]), _joined(t["rows"], np.uint32)
+            at = np.concatenate([np.frombuffer(a, np.uint32) + np.uint32(n) for a, n in zip(t["at"].to_pylist(), shift[:-1], strict=True)])
             order = np.argsort(key, kind="stable")
-            return _rows([(t["bucket"][0].as_py(), blob(key[order]), blob(at[order]), blob(np.concatenate(owners)))], RUN)
+            return _rows([(t["bucket"][0].as_py(), blob(key[order]), blob(at[order]), blob(row[order]), blob(np.concatenate(owners)))], RUN)
 
         run = f"runs/merged-{uuid.uuid4().hex}"
         self._runs().groupBy("bucket").applyInArrow(join, RUN).write.option("compression", "zstd").parquet(f"{self.path}/{run}")
@@ -339,19 +367,24 @@ def _finished(chunks: DataFrame, gone_by_chunk: DataFrame, docs: DataFrame, wind
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def finish(t: pa.Table, gone: pa.Table) -> pa.Table:
-        texts = texts_of(t["text"])
-        w = Windows(texts, _ids(t["doc_id"]), window)
-        out = _marked(w, gone, window)
-        n, removed, digests, rest = np.diff(w.ends), [], [], []
-        for i, x in enumerate(texts):
-            words = [y for y in _SPLIT.split(x.decode()) if y] if x else []
-            away = out[w.ends[i] : w.ends[i + 1]]
-            if some := bool(away.any()):
-                words = [y for y, z in zip(words, away, strict=True) if not z]
-            left = " ".join(words)
-            removed.append(int(away.sum()))
-            digests.append(hashlib.sha256(left.encode()).hexdigest())
-            rest.append(left if some else None)
+        """gone: hashes of windows that were there before, and the rows with anchors that repeat; only in those anything can go."""
+        named = gone.filter(pc.is_valid(gone["rows"]))
+        some = _some(t, named)
+        away: dict[int, np.ndarray] = {}
+        if some.num_rows:
+            w = Windows(texts_of(some["text"]), _ids(some["doc_id"]), window)
+            out = _marked(w, gone.filter(pc.is_valid(gone["h1"])), window)
+            away = {row: out[a:b] for row, a, b in zip(some["_row"].to_pylist(), w.ends[:-1], w.ends[1:], strict=True) if out[a:b].any()}
+        n, removed, digests, rest = [], [], [], []
+        for row, x in zip(t["_row"].to_pylist(), texts_of(t["text"]), strict=True):
+            words = x.split() if x else []  # of bytes: at U+0020 and U+0009 to U+000D
+            n.append(len(words))
+            if (lost := away.get(row)) is not None:
+                words = [y for y, z in zip(words, lost.tolist(), strict=True) if not z]
+            left = b" ".join(words)
+            removed.append(n[-1] - len(words))
+            digests.append(hashlib.sha256(left).hexdigest())
+            rest.append(None if lost is None else left.decode())
         return pa.table([*(t[c] for c in kept), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(rest, pa.string())], names=[*kept, *ADDED])
 
     return chunks.groupBy("_chunk").cogroup(gone_by_chunk.groupBy("_chunk")).applyInArrow(finish, f"{fields}, n_words long, n_removed long, kept_sha256 string, kept_text string")
