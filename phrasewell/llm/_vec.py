@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes handled at once.
-PIECE = 1 << 21
+PIECE = 1 << 19
 _rng = np.random.default_rng(20240229)
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = int(_rng.integers(1, 2**63)) | 1
