@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phrasewell.functions import text as X
+
 
 def token_windows(n: Column, size: int, stride: int) -> Column:
     """Windows over n tokens: array of struct(start, length); the last is the first that reaches the end."""
@@ -129,6 +131,23 @@ def regroup(windows: DataFrame, doc: str = "doc_id") -> DataFrame:
     return windows.groupBy(doc).agg(F.array_join(F.transform(ordered, lambda x: x.par_text), " [PAR] ").alias("context"))
 
 
+def regroup_windows(pars: DataFrame, size: int, stride: int, doc: str = "doc_id") -> DataFrame:
+    """(doc, word_pos, par_idx, window_idx, char_start, char_end): the words of all windows of a document's paragraphs(doc, par_idx, par_text) one after another.
+
+    Words in several windows come once for each. Places count from the start of the document's paragraphs joined by the marked separator.
+    """
+    before = Window.partitionBy(doc).orderBy("par_idx").rowsBetween(Window.unboundedPreceding, -1)
+    pars = pars.withColumn("_base", F.coalesce(F.sum(F.length("par_text") + len(X.SEPARATOR)).over(before), F.lit(0)))
+    rows = pars.select(doc, "par_idx", "_base", X.word_places(F.col("par_text")).alias("_p"))
+    rows = rows.select(doc, "par_idx", "_base", F.size("_p").alias("_n"), F.posexplode("_p").alias("_i", "_w"))
+    so_far = F.sum(F.col("_w.gap") + F.length("_w.word")).over(Window.partitionBy(doc, "par_idx").orderBy("_i"))
+    rows = rows.select(doc, "par_idx", "_n", "_i", (F.col("_base") + so_far).alias("char_end"), F.length("_w.word").alias("_len"))
+    last = F.least(F.greatest(F.lit(0), F.ceil((F.col("_n") - size) / stride)), F.floor(F.col("_i") / stride))
+    rows = rows.withColumn("window_idx", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("_i") - size) / stride) + 1), last)))
+    place = F.row_number().over(Window.partitionBy(doc).orderBy("par_idx", "window_idx", "_i")) - 1
+    return rows.select(doc, place.cast("long").alias("word_pos"), "par_idx", "window_idx", (F.col("char_end") - F.col("_len")).alias("char_start"), "char_end")
+
+
 def margins(s: Column, start: Column, end: Column, most: int, key: Column, seed: str = "29") -> Column:
     """A crop around a span with margins of up to `most` characters, fixed by the key."""
     left = F.floor(hash_share(F.concat(key.cast("string"), F.lit("l")), seed) * most).cast("int")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phrasewell.functions import vectors as V
+from phrasewell.operators import corpus as C
 
 
 def enumerate_spans(words: DataFrame, longest: int) -> DataFrame:
@@ -43,3 +44,11 @@ def best_end(scored: DataFrame) -> DataFrame:
 def best_span(scored: DataFrame, k: int = 1) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "i", "j")
     return scored.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+
+
+def in_best_window(spans: DataFrame, sizes: DataFrame, size: int, stride: int) -> DataFrame:
+    """The spans (doc_idx, i, j) whose end lies in the window that gives their start most context; sizes: (doc_idx, n)."""
+    n = F.col("_n")
+    k = C.best_window(F.col("i"), n, size, stride)
+    met = spans.join(sizes.select("doc_idx", F.col("n").alias("_n")), "doc_idx")
+    return met.withColumn("_last", k * stride + F.least(F.lit(size), n - k * stride) - 1).where(F.col("j") <= F.col("_last")).drop("_n", "_last")

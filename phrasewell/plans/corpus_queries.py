@@ -245,6 +245,22 @@ def a16(spark, d):
     return C.regroup(D.paragraphs(spark, d)).select("doc_id", F.md5(F.col("context").cast("binary")).alias("h"))
 
 
+WINDOWED = (
+    "pb AS (SELECT doc_id, par_idx, par_text, coalesce(sum(len(par_text) + 7) OVER (PARTITION BY doc_id ORDER BY par_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM par), "
+    "pw0 AS (SELECT doc_id, par_idx, base, regexp_extract_all(par_text, '[^ \\t\\r\\n\\x{202F}]+') AS ws, list_transform(regexp_split_to_array(par_text, '[^ \\t\\r\\n\\x{202F}]+'), lambda g: len(g)) AS gs FROM pb), "
+    "pt AS (SELECT doc_id, par_idx, base, len(ws) AS n, unnest(range(len(ws))) AS i, unnest(ws) AS word, unnest(gs[1:len(ws)]) AS gap FROM pw0), "
+    "pc AS (SELECT doc_id, par_idx, n, i, len(word) AS l, base + sum(gap + len(word)) OVER (PARTITION BY doc_id, par_idx ORDER BY i) AS e FROM pt), "
+    "pk AS (SELECT *, unnest(range(greatest(0, ceil((n - 382) / 128.0))::BIGINT + 1)) AS k FROM pc), "
+    "pp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY par_idx, k, i) - 1 AS pos FROM pk WHERE i >= k * 128 AND i < k * 128 + 382)"
+)
+
+
+@query("a16_window_words", WINDOWED + " SELECT doc_id, par_idx, k AS window_idx, count(*) AS n, min(pos) AS first, sum(e - l)::BIGINT AS starts, sum(e)::BIGINT AS ends FROM pp GROUP BY ALL", "par")
+def a16w(spark, d):
+    words = C.regroup_windows(D.paragraphs(spark, d), WINDOW, STRIDE)
+    return words.groupBy("doc_id", "par_idx", F.col("window_idx").cast("long").alias("window_idx")).agg(F.count("*").alias("n"), F.min("word_pos").alias("first"), F.sum("char_start").alias("starts"), F.sum("char_end").alias("ends"))
+
+
 @query("j8_results_to_examples", "SELECT item_id, doc_id, lang, len(d.text) AS n FROM benchmark b JOIN documents d ON d.doc_id = b.item_id")
 def j8(spark, d):
     return D.table(spark, d, "benchmark").select("item_id").join(_docs(spark, d), F.col("item_id") == F.col("doc_id")).select("item_id", "doc_id", "lang", F.length("text").cast("long").alias("n"))

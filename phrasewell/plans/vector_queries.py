@@ -123,10 +123,21 @@ def a15(spark, d):
     return S.best_span(S.span_scores(own, D.words(spark, d), 5)).select("qid", "i", "j", F.round("score", 6).alias("score"))
 
 
-@query("q6_exhaustive_prediction", SCORES.replace("a.word_idx + 4)", "a.word_idx + 3 AND a.fs >= 0 AND b.fe >= 0)") + " SELECT qid, i, j, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, i, j) AS n FROM sc) WHERE n = 1", "w q")
+EXHAUSTIVE = (
+    SCORES.replace("a.word_idx + 4)", "a.word_idx + 3 AND a.fs >= 0 AND b.fe >= 0)")
+    + ", wn AS (SELECT doc_idx, count(*) AS n FROM w GROUP BY doc_idx), sw AS (SELECT sc.*, n, list_transform(range(greatest(0, ceil((n - 10) / 4.0))::BIGINT + 1), lambda k: CASE WHEN i >= k * 4 AND i < k * 4 + least(10, n - k * 4) THEN least(i - k * 4, k * 4 + least(10, n - k * 4) - 1 - i) + 0.01 * least(10, n - k * 4) ELSE -1 END) AS ls FROM sc JOIN wn USING (doc_idx)), "
+    "kw AS (SELECT *, list_position(ls, list_max(ls)) - 1 AS k FROM sw), inw AS (SELECT * FROM kw WHERE j <= k * 4 + least(10, n - k * 4) - 1)"
+)
+
+
+@query("q6_exhaustive_prediction", EXHAUSTIVE + " SELECT qid, i, j, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, i, j) AS n FROM (SELECT qid, i, j, score FROM inw)) WHERE n = 1", "w q")
 def q6(spark, d):
+    """The best span of each question's document, in windows of 10 words: its start where it has most context, both ends past the boundary filter."""
+    w = D.words(spark, d)
     own = D.questions(spark, d).withColumn("doc_idx", F.floor(F.col("qid") / D.PER_DOC).cast("long"))
-    return S.best_span(S.span_scores(own, D.words(spark, d), 4, 0.0)).select("qid", "i", "j", F.round("score", 6).alias("score"))
+    found = S.span_scores(own, w, 4, 0.0).select("qid", "doc_idx", "i", "j", "score")
+    found = S.in_best_window(found, w.groupBy("doc_idx").agg(F.count("*").alias("n")), 10, 4)
+    return S.best_span(found).select("qid", "i", "j", F.round("score", 6).alias("score"))
 
 
 @query("w9_ordinals", "SELECT word_id, 100000000 + row_number() OVER (ORDER BY doc_idx, word_idx) - 1 AS ordinal FROM w WHERE sqrt(list_dot_product(s, s)) <= 0.7", "w")
