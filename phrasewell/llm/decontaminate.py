@@ -11,7 +11,8 @@ shuffled at all; beyond that, fingerprints are shuffled and joined by hash and t
 A passage in many documents gives each of them its own rows, keyed by document.
 
 Null and empty texts have no words and no hits; an item without words is no item; a null item_id counts as "". Items
-with one item_id count once. Repeated rows of a document get equal results. Extra columns are ignored.
+with one item_id count once. Repeated rows of a document get equal results; very long texts are handled whole, within their row. Empty documents give
+an empty result, an empty benchmark documents without hits. Extra columns are ignored.
 """
 
 from __future__ import annotations

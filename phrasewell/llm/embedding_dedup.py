@@ -10,7 +10,8 @@ pair of tiles is a piece of work of its own, so a list of any length is spread.
 least entry linked with it within the piece, never the pairs.
 
 Vectors that are null, zero, or hold null or non-finite components, and vectors without label, link with nothing and are a
-component each. Vectors of different lengths are never compared. Rows with one vec_id count each. Extra columns are ignored.
+component each. Vectors of different lengths are never compared. Rows with one vec_id count each. A cosine of just the threshold links; of pivots
+equally near the first counts. An empty table gives an empty result. Extra columns are ignored.
 
 The index is approximate: a linked pair that shares fewer than `shared` of its nearest pivots is missed. The tests measure recall
 against brute force.

@@ -12,8 +12,8 @@ All counts are exact and grow with the corpus; none is ever in one place. Each c
 to the bucket of their hash and gets their totals back. EM works on a histogram of (context bucket, log estimates), whose
 size is bounded by its bins and not by the corpus.
 
-Null and empty texts have one token, the end. With no training tokens every estimate but the last is 0. Repeated rows train and are scored
-each. Extra columns are ignored. Words are told apart by 64-bit hashes.
+Null and empty texts have one token, the end; very long ones are scored whole, within a chunk. With no training tokens every estimate but the last is 0.
+Repeated rows train and are scored each; an empty table gives an empty result. Extra columns are ignored. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations

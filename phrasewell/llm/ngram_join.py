@@ -18,7 +18,8 @@ get back those that more than one set holds. Any order gives right results; this
    far as its classes don't link.
 
 Null or empty texts have an empty set and link with nothing. One to four words are one shingle. A null doc_id never names a component
-but where all its members are null. Rows with one doc_id and different texts are documents of their own. Extra columns are ignored.
+but where all its members are null. Rows with one doc_id and different texts are documents of their own. Very long texts are handled whole, within a chunk, as sets of 8 bytes an
+n-gram; a similarity of just 3/4 links. An empty table gives an empty result. Extra columns are ignored; `representatives` keeps all but _chunk and _row.
 Hashes have 64 bits; sets are taken as equal where their 64-bit sums and sizes are.
 """
 
