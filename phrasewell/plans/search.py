@@ -107,11 +107,12 @@ def sparse_first(questions: DataFrame, words: DataFrame, docs: DataFrame, doc_to
 def sparse_scores(texts: DataFrame, paragraphs: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(qid, doc_idx, score) and (qid, doc_idx, par_idx, score): TF-IDF products of texts(qid, text) with paragraphs(doc_id, par_idx, par_text) and their documents.
 
-    Terms are counted once; documents' counts are sums of their paragraphs'. Only pairs that share a term have a row.
+    Only the questions' terms are counted; documents' counts are sums of their paragraphs'. Only pairs that share a term have a row.
     """
-    tf = P.term_counts(paragraphs, ["doc_id", "par_idx"], "par_text")
+    asked = P.term_counts(texts, ["qid"], "text")
+    tf = P.term_counts(paragraphs, ["doc_id", "par_idx"], "par_text", asked.select("term_id").distinct())
     df = P.document_frequencies(tf)
-    asked = P.weights(P.term_counts(texts, ["qid"], "text"), df, documents)
+    asked = P.weights(asked, df, documents)
     whole = P.weights(tf.groupBy("doc_id", "term_id").agg(F.sum("tf").alias("tf")), df, documents)
     docs = P.product(asked, whole, "qid", ["doc_id"]).withColumnRenamed("doc_id", "doc_idx")
     pars = P.product(asked, P.weights(tf, df, documents), "qid", ["doc_id", "par_idx"]).withColumnRenamed("doc_id", "doc_idx")
