@@ -35,12 +35,11 @@ def starts_closed(questions: DataFrame, words: DataFrame, k: int, scope: tuple[s
 
 def starts_by_cells(questions: DataFrame, cells: DataFrame, centroids: DataFrame, nprobe: int, k: int, vec: str = "decoded") -> DataFrame:
     """The same among the words of the nprobe cells nearest to the question. cells: words with cluster_id, as `index.stored` reads them; only probed cells are read."""
-    asked = I.probe(questions, centroids, nprobe).select("qid", "q_start", "cluster_id")
-    named = [r[0] for r in asked.select("cluster_id").distinct().limit(NAMED_CELLS + 1).collect()]
+    asked = I.nearest_cells(questions, centroids, "q_start", nprobe).select("qid", "q_start", "cells")
+    named = [r[0] for r in asked.select(F.explode("cells")).distinct().limit(NAMED_CELLS + 1).collect()]
     if len(named) <= NAMED_CELLS:
         cells = cells.where(F.col("cluster_id").isin(named))
-    met = asked.join(cells.select("cluster_id", "doc_idx", "word_idx", vec), "cluster_id")
-    return K.top(met.withColumn("score", V.dot(F.col("q_start"), F.col(vec))).select("qid", "doc_idx", "word_idx", "score"), k)
+    return K.score_all(asked, cells, k, vec=vec)
 
 
 def complete(questions: DataFrame, starts: DataFrame, words: DataFrame, longest: int = LONGEST, fused: bool = False, ends: DataFrame | None = None) -> DataFrame:

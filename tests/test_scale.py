@@ -3,6 +3,11 @@
 import tracemalloc
 
 import numpy as np
+from pyspark.sql import functions as F
+
+from phrasewell.operators import index as I
+from phrasewell.plans import search as Q
+from phrasewell.sources import views as D
 
 
 def plan(df):
@@ -29,3 +34,16 @@ def test_best_starts_in_bounded_memory():
             score += q[i, k] * x[:, k]
         want = np.lexsort((word, doc, -score))[:5]
         assert best.doc[i].tolist() == doc[want].tolist() and best.word[i].tolist() == word[want].tolist() and best.score[i].tolist() == score[want].tolist()
+
+
+def test_search_by_cells_joins_no_pairs(spark, sf):
+    q, w = D.questions(spark, sf), D.words(spark, sf)
+    centroids = I.label_centroids(w)
+    found = Q.starts_by_cells(q, I.assign(w, centroids).withColumn("decoded", F.col("start")), centroids, 2, 3)
+    assert "Join" not in plan(found)
+    met = I.probe(q, centroids, 2).join(I.assign(w, centroids).select("cluster_id", "doc_idx", "word_idx", "start"), "cluster_id")
+    from phrasewell.functions import vectors as V
+    from phrasewell.operators import topk as K
+
+    want = K.top(met.withColumn("score", V.dot(F.col("q_start"), F.col("start"))), 3).select("qid", "rank", "doc_idx", "word_idx", "score")
+    assert sorted(found.select("qid", "rank", "doc_idx", "word_idx", "score").collect()) == sorted(want.collect())
