@@ -103,25 +103,22 @@ def sparse_first(questions: DataFrame, words: DataFrame, docs: DataFrame, doc_to
     return met.select("qid", "doc_idx", "word_idx", (V.dot(F.col("q_start"), F.col("start")) + weight * F.col("_d")).alias("score"))
 
 
-def sparse_scores(texts: DataFrame, paragraphs: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(qid, doc_idx, score) and (qid, doc_idx, par_idx, score): TF-IDF products of texts(qid, text) with paragraphs(doc_id, par_idx, par_text) and their documents.
+def sparse_scores(texts: DataFrame, documents: DataFrame, within: DataFrame | None = None, k: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """TF-IDF products of texts(qid, text) with documents(doc_id, text) and their paragraphs: (qid, doc_idx, score), (qid, doc_idx, par_idx, score), and each question's k best documents.
 
-    Only the questions' terms are counted; documents' counts are sums of their paragraphs'. Only pairs that share a term have a row.
+    The first two are of the doc_ids in `within`, if given; the best documents are of all. Only pairs that share a term have a row.
     """
-    asked = P.term_counts(texts, ["qid"], "text")
-    tf = P.term_counts(paragraphs, ["doc_id", "par_idx"], "par_text", asked.select("term_id").distinct())
-    df = P.document_frequencies(tf)
-    asked = P.weights(asked, df, documents)
-    whole = P.weights(tf.groupBy("doc_id", "term_id").agg(F.sum("tf").alias("tf")), df, documents)
-    docs = P.product(asked, whole, "qid", ["doc_id"]).withColumnRenamed("doc_id", "doc_idx")
-    pars = P.product(asked, P.weights(tf, df, documents), "qid", ["doc_id", "par_idx"]).withColumnRenamed("doc_id", "doc_idx")
-    return docs, pars
+    products = P.Products(texts, documents)
+    docs, pars = (products.pairs(p, within).withColumnRenamed("doc_id", "doc_idx") for p in (False, True))
+    best = None if k is None else K.top(products.best(k).withColumnRenamed("doc_id", "doc_idx"), k, ties=("doc_idx",)).drop("rank")
+    return docs, pars, best
 
 
 def hybrid_starts(
-    questions: DataFrame, words: DataFrame, docs: DataFrame, pars: DataFrame, strategy: str = "dense_first", start_top_k: int = 1000, mid_top_k: int = 100, out_top_k: int = 10, doc_top_k: int = 5, weight: float = 0.1, sparse_type: str = "dp"
+    questions: DataFrame, words: DataFrame, docs: DataFrame, pars: DataFrame, strategy: str = "dense_first", start_top_k: int = 1000, mid_top_k: int = 100, out_top_k: int = 10, doc_top_k: int = 5, weight: float = 0.1, sparse_type: str = "dp", best: DataFrame | None = None
 ) -> DataFrame:
     """The out_top_k starts of dense and sparse scores. docs: (qid, doc_idx, score); pars: (qid, doc_idx, par_idx, score); words carry par_idx.
+    best: like docs, with at least each question's doc_top_k best documents, where docs leaves out documents without words.
 
     hybrid unites both strategies' starts and keeps duplicates. A letter missing from sparse_type counts as weight 0.
     """
@@ -130,7 +127,7 @@ def hybrid_starts(
     if strategy in ("dense_first", "hybrid"):
         found.append(dense_first(questions, words, docs, start_top_k, doc_weight))
     if strategy in ("sparse_first", "hybrid"):
-        found.append(sparse_first(questions, words, docs, doc_top_k, doc_weight))
+        found.append(sparse_first(questions, words, docs if best is None else best, doc_top_k, doc_weight))
     if not found:
         raise ValueError(f"unknown strategy {strategy}")
     starts = found[0] if len(found) == 1 else found[0].unionByName(found[1])

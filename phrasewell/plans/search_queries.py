@@ -30,8 +30,13 @@ shown AS (SELECT qid, rank, doc_idx, title, i, j, score, answer, lft || answer |
 """
 
 
+def _placed(spark, d):
+    """Placed words, made once: searches read them again and again."""
+    return IO.materialized(D.placed_words(spark, d))
+
+
 def _shown(spans, words, contexts, presentable=False):
-    out = Q.results(spans, words, contexts, presentable).withColumn("score", F.round("score", 6))
+    out = Q.results(spans, words, D.within(contexts, words), presentable).withColumn("score", F.round("score", 6))
     return out.withColumns({c: F.col(c).cast("long") for c in ("start_pos", "end_pos")})
 
 
@@ -42,7 +47,7 @@ def w1(spark, d):
 
 @query("q1_dense_search", PLACED + ", r AS (" + BEST.format(spans=PSPANS.format(t="top5", first="list_dot_product(qs, a.s)")) + ")," + RESULTS + "SELECT * FROM shown", "pw q")
 def q1(spark, d):
-    w = D.placed_words(spark, d)
+    w = _placed(spark, d)
     return _shown(Q.search(D.questions(spark, d), w), w, D.titled_contexts(spark, d))
 
 
@@ -52,7 +57,7 @@ OWN_PAR = "ownp AS (SELECT q.*, doc_idx AS qd, par_idx AS qpar FROM q JOIN pw ON
 @query("q1_closed_paragraph", OWN_PAR + ", r AS (" + BEST.format(spans=PSPANS.format(t="top5", first="list_dot_product(qs, a.s)")) + ")," + RESULTS + "SELECT * FROM shown", "pw q")
 def q1p(spark, d):
     """Among the words of the question's own paragraph."""
-    w = D.placed_words(spark, d)
+    w = _placed(spark, d)
     asked = D.questions(spark, d).join(w.select(F.col("word_id").alias("qid"), "doc_idx", "par_idx"), "qid")
     return _shown(Q.search(asked, w, scope=("doc_idx", "par_idx")), w, D.titled_contexts(spark, d))
 
@@ -89,7 +94,7 @@ KEPT = "(SELECT {t}.qid, rank, a.doc_idx, a.word_idx AS i, b.word_idx AS j, {fir
 @query("q3_complete_phrase", CLOSED.replace("JOIN w ON", "JOIN pw ON") + ", r AS (" + BEST.format(spans=KEPT.format(t="top5", first="list_dot_product(qs, a.s)")) + ")," + RESULTS + "SELECT * FROM shown", "pw q")
 def q3(spark, d):
     """Starts without a kept end get the character after them and a score of their own."""
-    q, w = _own(spark, d), D.placed_words(spark, d)
+    q, w = _own(spark, d), _placed(spark, d)
     return _shown(Q.complete(q, Q.starts_closed(q, w, 5), w, ends=w.where("filter_end > 0.1")), w, D.titled_contexts(spark, d))
 
 
@@ -254,13 +259,11 @@ def _docs(spark, d):
 
 
 def _par_weights(spark, d):
-    tf = _tf(spark, d)
-    return P.weights(tf, P.document_frequencies(tf), _docs(spark, d))
+    return P.document_weights(_docs(spark, d))
 
 
-def _question_weights(spark, d):
-    tf = P.term_counts(D.table(spark, d, "benchmark"), ["item_id"], "text")
-    return P.weights(tf, P.document_frequencies(_tf(spark, d)), _docs(spark, d))
+def _products(spark, d):
+    return P.Products(D.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"), _docs(spark, d))
 
 
 @query("a1_term_frequency", "SELECT doc_id, par_idx, term_id, tf FROM tf", "tf")
@@ -285,8 +288,7 @@ def f29(spark, d):
 
 @query("s6_tfidf_fallback", "SELECT p.doc_id, p.par_idx, coalesce(term_id, 0) AS term_id, round(coalesce(val, 0), 6) AS val FROM par p LEFT JOIN tfidf t ON p.doc_id = t.doc_id AND p.par_idx = t.par_idx", "par tfidf")
 def s6(spark, d):
-    pars = D.paragraphs(spark, d).select("doc_id", "par_idx")
-    return P.with_fallback(pars, _par_weights(spark, d).drop("tf"), ["doc_id", "par_idx"]).select("doc_id", "par_idx", "term_id", R6("val"))
+    return P.document_weights(_docs(spark, d), fallback=True).select("doc_id", "par_idx", "term_id", R6("val"))
 
 
 PAR = "ps AS (SELECT item_id, doc_id, par_idx, sum(a.val * b.val) AS score FROM qtfidf a JOIN tfidf b ON a.term_id = b.term_id WHERE a.val > 0 AND b.val > 0 GROUP BY ALL)"
@@ -294,13 +296,11 @@ PAR = "ps AS (SELECT item_id, doc_id, par_idx, sum(a.val * b.val) AS score FROM
 
 @query("j5_sparse_dot", PAR + " SELECT item_id, doc_id, par_idx, round(score, 5) AS score FROM ps", "tfidf qtfidf")
 def j5(spark, d):
-    return P.product(_question_weights(spark, d), _par_weights(spark, d), "item_id", ["doc_id", "par_idx"]).withColumn("score", F.round("score", 5))
+    return _products(spark, d).pairs(True).select(F.col("qid").alias("item_id"), "doc_id", "par_idx", F.round("score", 5).alias("score"))
 
 
 def _doc_weights(spark, d):
-    tf = _tf(spark, d)
-    whole = tf.groupBy("doc_id", "term_id").agg(F.sum("tf").alias("tf"))
-    return P.weights(whole, P.document_frequencies(tf), _docs(spark, d))
+    return P.document_weights(_docs(spark, d), per_paragraph=False)
 
 
 DOCW = "dtf AS (SELECT doc_id, term_id, sum(tf) AS tf FROM tf GROUP BY ALL), dw AS (SELECT doc_id, term_id, ln(1 + tf) * greatest(0, ln(((SELECT count(*) FROM documents) - nt + 0.5) / (nt + 0.5))) AS val FROM dtf JOIN df USING (term_id)), ds AS (SELECT item_id, doc_id, sum(a.val * b.val) AS score FROM qtfidf a JOIN dw b ON a.term_id = b.term_id WHERE a.val > 0 AND b.val > 0 GROUP BY ALL)"
@@ -308,7 +308,7 @@ DOCW = "dtf AS (SELECT doc_id, term_id, sum(tf) AS tf FROM tf GROUP BY ALL), dw
 
 @query("j6_question_document_product", DOCW + " SELECT item_id, doc_id, round(score, 5) AS score FROM ds", "tfidf qtfidf")
 def j6(spark, d):
-    return P.product(_question_weights(spark, d), _doc_weights(spark, d), "item_id", ["doc_id"]).withColumn("score", F.round("score", 5))
+    return _products(spark, d).pairs(False).select(F.col("qid").alias("item_id"), "doc_id", F.round("score", 5).alias("score"))
 
 
 @query("s8_sparse_lookup", "SELECT l.doc_id, count(term_id) AS terms, round(sum(val), 4) AS total FROM labels l JOIN tfidf t ON l.doc_id = t.doc_id WHERE quality = 1 GROUP BY l.doc_id", "tfidf")
@@ -364,14 +364,15 @@ o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY scor
 CUTS = {"start_top_k": 100, "mid_top_k": 20, "doc_top_k": 50}
 
 
-def _sparse(spark, d):
-    return Q.sparse_scores(D.question_texts(spark, d), D.paragraphs(spark, d), _docs(spark, d))
+def _sparse(spark, d, words):
+    """Scores of documents and paragraphs with words, and the best documents of all."""
+    return Q.sparse_scores(D.question_texts(spark, d), _docs(spark, d), words.select(F.col("doc_idx").alias("doc_id")).distinct(), CUTS["doc_top_k"])
 
 
 def _hybrid(spark, d, strategy):
-    w = D.placed_words(spark, d)
-    docs, pars = _sparse(spark, d)
-    found = Q.hybrid_search(D.questions(spark, d), w, docs, pars, strategy, **CUTS)
+    w = _placed(spark, d)
+    docs, pars, best = _sparse(spark, d, w)
+    found = Q.hybrid_search(D.questions(spark, d), w, docs, pars, strategy, best=best, **CUTS)
     return _shown(found, w, D.titled_contexts(spark, d), presentable=True)
 
 
@@ -382,27 +383,30 @@ for _name, _strategy, _union in (("q4_dense_first", "dense_first", "SELECT * FRO
 
 @query("q4_closed", CLOSED.replace("JOIN w ON", "JOIN pw ON") + ", r AS (" + BEST.format(spans=PSPANS.format(t="top5", first="top5.score")) + ")," + RESULTS + "SELECT * FROM shown", "pw q")
 def q4c(spark, d):
-    w = D.placed_words(spark, d)
+    w = _placed(spark, d)
     none = spark.createDataFrame([], "qid long, doc_idx long, par_idx long, score double")
     return _shown(Q.hybrid_search(_own(spark, d), w, none, none, out_top_k=5, scope=("doc_idx",)), w, D.titled_contexts(spark, d))
 
 
 @query("j7_score_fusion", HYB + "SELECT qid, doc_idx, word_idx, round(score, 6) AS score FROM den", "pw q tfidf qtfidf")
 def j7(spark, d):
-    return Q.dense_first(D.questions(spark, d), D.placed_words(spark, d), _sparse(spark, d)[0], 100, 0.1).select("qid", "doc_idx", "word_idx", R6("score"))
+    w = _placed(spark, d)
+    return Q.dense_first(D.questions(spark, d), w, _sparse(spark, d, w)[0], 100, 0.1).select("qid", "doc_idx", "word_idx", R6("score"))
 
 
 @query("u1_hybrid_union", HYB + ", st AS (SELECT * FROM den UNION ALL SELECT * FROM spa) SELECT qid, count(*) AS n, round(sum(score), 4) AS total FROM st GROUP BY qid", "pw q tfidf qtfidf")
 def u1(spark, d):
-    w, q, docs = D.placed_words(spark, d), D.questions(spark, d), _sparse(spark, d)[0]
-    both = Q.dense_first(q, w, docs, 100, 0.1).unionByName(Q.sparse_first(q, w, docs, 50, 0.1))
+    w, q = _placed(spark, d), D.questions(spark, d)
+    docs, _, best = _sparse(spark, d, w)
+    both = Q.dense_first(q, w, docs, 100, 0.1).unionByName(Q.sparse_first(q, w, best, 50, 0.1))
     return both.groupBy("qid").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
 
 
 @query("w2_cascade", HYB + ", st AS (SELECT * FROM den)" + TAIL + "SELECT qid, rank, doc_idx, word_idx, round(score, 6) AS score FROM o", "pw q tfidf qtfidf")
 def w2(spark, d):
-    docs, pars = _sparse(spark, d)
-    return Q.hybrid_starts(D.questions(spark, d), D.placed_words(spark, d), docs, pars, **CUTS).select("qid", "rank", "doc_idx", "word_idx", R6("score"))
+    w = _placed(spark, d)
+    docs, pars, _ = _sparse(spark, d, w)
+    return Q.hybrid_starts(D.questions(spark, d), w, docs, pars, **CUTS).select("qid", "rank", "doc_idx", "word_idx", R6("score"))
 
 
 @query("q5_batch_prediction", PLACED + ", r AS (" + BEST.format(spans=PSPANS.format(t="top5", first="list_dot_product(qs, a.s)")) + ")," + RESULTS + "SELECT qid, string_agg(answer, '|' ORDER BY score DESC, rank) AS answers FROM shown GROUP BY qid", "pw q")

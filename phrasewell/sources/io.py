@@ -29,6 +29,13 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def materialized(rows: DataFrame) -> DataFrame:
+    """rows written to a new folder under the shared one and read again, where they would be made several times."""
+    path = scratch(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _file_system(spark: SparkSession, path: str) -> tuple:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p

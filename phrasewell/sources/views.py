@@ -11,6 +11,8 @@ from phrasewell.functions import vectors as V
 PER_DOC = 25
 #: Every row whose id is divisible by this is a question, too.
 QUESTION_EVERY = 20
+#: So many document numbers (counted) are broadcast.
+BROADCAST_IDS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +65,14 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def titled_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_idx, title, context)"""
-    return contexts(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title")), "doc_id").withColumnRenamed("doc_id", "doc_idx")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_idx"), F.col("source").alias("title"), F.replace("text", F.lit("\n"), F.lit(" [PAR] ")).alias("context"))
+
+
+def within(rows: DataFrame, wanted: DataFrame, key: str = "doc_idx") -> DataFrame:
+    """The rows of wanted documents; their numbers are broadcast while they are few (counted), so that other texts aren't shuffled."""
+    ids = wanted.select(F.col("doc_idx").alias(key)).distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
 def word_offsets(contexts: DataFrame) -> DataFrame:
@@ -79,7 +88,7 @@ def word_offsets(contexts: DataFrame) -> DataFrame:
 def placed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words whose document has a word at their place, with its characters and paragraph."""
     w = words(spark, sf_dir)
-    own = contexts(spark, sf_dir).withColumnRenamed("doc_id", "doc_idx").join(w.select("doc_idx").distinct(), "doc_idx", "left_semi")
+    own = within(contexts(spark, sf_dir).withColumnRenamed("doc_id", "doc_idx"), w)
     return w.join(word_offsets(own), ["doc_idx", "word_idx"])
 
 

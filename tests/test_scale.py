@@ -47,3 +47,31 @@ def test_search_by_cells_joins_no_pairs(spark, sf):
 
     want = K.top(met.withColumn("score", V.dot(F.col("q_start"), F.col("start"))), 3).select("qid", "rank", "doc_idx", "word_idx", "score")
     assert sorted(found.select("qid", "rank", "doc_idx", "word_idx", "score").collect()) == sorted(want.collect())
+
+
+def test_sparse_weights_shuffle_no_terms(spark):
+    from phrasewell.operators import sparse as P
+    from phrasewell.sources import io as IO
+
+    texts = [(1, "Ab ab c\n\n!?\nc d"), (2, "c"), (3, None), (4, ""), (2, "ab c d\nx"), (5, "x é x é"), (6, "y"), (7, "z")]  # two texts of document 2
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    pars = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("par_idx", "par_text"))
+    tf = P.term_counts(pars, ["doc_id", "par_idx"], "par_text")
+    df, n = P.document_frequencies(tf), lambda rows: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows.collect())
+    got = P.document_weights(docs)
+    assert n(got) == n(P.weights(tf, df, docs).select(*got.columns))
+    filled = P.document_weights(docs, fallback=True).select("doc_id", "par_idx", "term_id", "val")
+    assert n(filled) == n(P.with_fallback(pars.select("doc_id", "par_idx").distinct(), P.weights(tf, df, docs), ["doc_id", "par_idx"]).select(*filled.columns))
+    whole = P.weights(tf.groupBy("doc_id", "term_id").agg(F.sum("tf").alias("tf")), df, docs)
+    asked = spark.createDataFrame([(0, "c d x"), (20, "AB c q"), (40, "q")], "qid long, text string")
+    weighted = P.weights(P.term_counts(asked, ["qid"], "text"), df, docs)
+    products = P.Products(asked, docs)
+    assert n(products.pairs(False)) == n(P.product(weighted, whole, "qid", ["doc_id"]))
+    assert n(products.pairs(True)) == n(P.product(weighted, P.weights(tf, df, docs), "qid", ["doc_id", "par_idx"]))
+    alone = IO.materialized(docs.where("doc_id <> 2"))
+    for made in (P.document_weights(alone), P.Products(asked, alone).pairs(True)):
+        assert "Exchange" not in plan(made)
+
+
+def test_contexts_are_read_without_a_join_of_texts(spark, sf):
+    assert "Join" not in plan(D.titled_contexts(spark, sf))
