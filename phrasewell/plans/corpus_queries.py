@@ -443,11 +443,11 @@ fh AS (SELECT qid, coalesce(min(rank) FILTER (em), 1e9)::DOUBLE AS rank FROM jd
 def _judged(spark, d):
     from phrasewell.plans import search as Q
 
-    w, path = D.placed_words(spark, d), SQ._index(spark, d)
-    contexts = D.titled_contexts(spark, d)
-    found = Q.search(D.questions(spark, d), w, cells=I.stored(spark, path), centroids=spark.read.parquet(f"{path}/centroids"), nprobe=3)
+    w, path = SQ._placed(spark, d), SQ._index(spark, d)
+    contexts, asked = D.within(D.titled_contexts(spark, d), w), D.questions(spark, d)
+    found = Q.search(asked, w, cells=I.stored(spark, path), centroids=spark.read.parquet(f"{path}/centroids"), nprobe=3)
     shown = Q.results(found, w, contexts)
-    truth = w.join(contexts, "doc_idx").select(F.col("word_id").alias("qid"), X.between(F.col("context"), F.col("char_start"), F.col("char_end")).alias("truth"))
+    truth = w.join(asked.select(F.col("qid").alias("word_id")), "word_id", "left_semi").join(contexts, "doc_idx").select(F.col("word_id").alias("qid"), X.between(F.col("context"), F.col("char_start"), F.col("char_end")).alias("truth"))
     return E.scores(shown.join(truth, "qid").withColumnRenamed("answer", "pred"), ["qid", "rank"])
 
 
@@ -460,9 +460,7 @@ def q8(spark, d):
 
 
 def materialized(rows):
-    path = IO.scratch(rows.sparkSession)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return IO.materialized(rows)
 
 
 DUMPED = "fl AS (SELECT * FROM pw WHERE fs > 0), ke AS (SELECT doc_idx, word_idx, row_number() OVER (PARTITION BY doc_idx ORDER BY word_idx) - 1 AS k FROM pw WHERE fe > 0), sp AS (SELECT fl.doc_idx, fl.word_idx, o, k FROM (SELECT *, unnest(range(5)) AS o FROM fl) fl LEFT JOIN ke ON ke.doc_idx = fl.doc_idx AND ke.word_idx = fl.word_idx + o), ag AS (SELECT doc_idx, count(*) FILTER (k IS NOT NULL) AS spans, sum(k)::BIGINT AS ends FROM sp GROUP BY doc_idx)"
